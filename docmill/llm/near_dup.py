@@ -112,23 +112,28 @@ def _sets(id_col: str, text_col: str, k: int):
             raw = [s.tobytes() for _, s in keep]
             digest = [xxhash.xxh3_128_digest(x) for x in raw]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in keep], pa.int64()), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())],
-                names=["id", "class_key", "grams"],
+                [pa.array([i for i, _ in keep], pa.int64()), pa.array(digest, pa.binary()), pa.array([x[:8] for x in digest], pa.binary()), pa.array(raw, pa.binary())],
+                names=["id", "class_key", "class", "grams"],
             )
 
     return run
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(CELLS, np.uint32)
-    seen = False
-    for batch in batches:
-        seen = True
-        flat = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("grams").to_pylist()] or [np.zeros(0, np.uint64)])
-        np.add.at(cells, (flat >> np.uint64(42)).astype(np.int64), np.uint32(1))
-    if seen:
-        parts = [zlib.compress(cells[i : i + SLICE].tobytes(), 1) for i in range(0, CELLS, SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+def _count_cells(column: str):
+    """Per task: a table of counters, by the top bits of the 64-bit values packed in the column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.uint32)
+        seen = False
+        for batch in batches:
+            seen = True
+            flat = np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)
+            np.add.at(cells, (flat >> np.uint64(42)).astype(np.int64), np.uint32(1))
+        if seen:
+            parts = [zlib.compress(cells[i : i + SLICE].tobytes(), 1) for i in range(0, CELLS, SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    return run
 
 
 def _add_cells(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,6 +143,15 @@ def _add_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
+def _table(df: DataFrame, column: str) -> bytes:
+    """The counters over all rows of df: a table of fixed size (16 MB), summed by slice on the executors."""
+    cells = bytearray(4 * CELLS)
+    parts = df.select(column).mapInArrow(_count_cells(column), "part int, counts binary")
+    for row in parts.groupBy("part").applyInPandas(_add_cells, "part int, counts binary").toLocalIterator():
+        cells[4 * SLICE * row["part"] : 4 * SLICE * (row["part"] + 1)] = row["counts"]
+    return bytes(cells)
+
+
 def _needed(n: int, t: float) -> int:
     return math.ceil(t * n - 1e-9)
 
@@ -148,10 +162,15 @@ def _index_entries(cells_b, t: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(cells_b.value, np.uint32)
         for batch in batches:
-            ids = np.array(batch.column("id").to_pylist(), np.int64)
-            raw = batch.column("grams").to_pylist()
-            if not len(ids):
+            raw, classes, seen = [], [], set()
+            for c, x in zip(batch.column("class").to_pylist(), batch.column("grams").to_pylist()):
+                if c not in seen:  # copies enter once a batch here, and once in the index
+                    seen.add(c)
+                    classes.append(c)
+                    raw.append(x)
+            if not raw:
                 continue
+            ids = np.frombuffer(b"".join(classes), np.int64)
             grams = [np.frombuffer(x, np.uint64) for x in raw]
             n = np.array([len(g) for g in grams], np.int64)
             flat = np.concatenate(grams)
@@ -207,7 +226,10 @@ def _tally(t: float):
 
     def run(tab: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _ENTRY) for x in tab.column("entries").to_pylist()])
-        rec = rec[np.argsort(rec["key"], kind="stable")]
+        rec = rec[np.lexsort((rec["id"], rec["key"]))]
+        new = np.ones(len(rec), bool)
+        new[1:] = (rec["key"][1:] != rec["key"][:-1]) | (rec["id"][1:] != rec["id"][:-1])
+        rec = rec[new]
         cut = np.flatnonzero(np.diff(rec["key"])) + 1
         starts = np.concatenate([[0], cut])
         size = np.diff(np.concatenate([starts, [len(rec)]]))
@@ -242,6 +264,30 @@ def _tally(t: float):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("least", pa.int32()), ("shared", pa.int32())])
 
 
+def _mixed(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _mix(np.array(batch.column(column).to_pylist(), np.int64).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in h], pa.binary())], names=[column])
+
+    return run
+
+
+def _among(wanted_b):
+    """Rows whose class may be in some pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(wanted_b.value, np.uint32)
+        for batch in batches:
+            c = np.frombuffer(b"".join(batch.column("class").to_pylist()), np.int64)
+            cell = (_mix(c.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+            keep = pa.array(wanted[cell] > 0)
+            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class_key"), pa.array(c), batch.column("grams")], names=["id", "class_key", "class", "grams"])
+            yield out.filter(keep)
+
+    return run
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ga, gb = batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()
@@ -266,21 +312,14 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(src.mapInArrow(_sets("id", "text", k), "id long, class_key binary, grams binary"), "near-dup-sets")
-    members = sets.select("id", "class_key").distinct().join(
-        sets.groupBy("class_key").agg(F.min("id").alias("class_id")), "class_key"
-    ).select("id", "class_id")
-    firsts = sets.groupBy("class_key").agg(F.min("id").alias("id"))
+    sets = materialize(src.mapInArrow(_sets("id", "text", k), "id long, class_key binary, class binary, grams binary"), "near-dup-sets")
     n = sets.count()
-    counted = sets.select("grams").mapInArrow(_count_cells, "part int, counts binary")
-    cells = bytearray(4 * CELLS)
-    # a table of fixed size (16 MB), summed by slice on the executors
-    for row in counted.groupBy("part").applyInPandas(_add_cells, "part int, counts binary").toLocalIterator():
-        cells[4 * SLICE * row["part"] : 4 * SLICE * (row["part"] + 1)] = row["counts"]
-    shared = spark.sparkContext.broadcast(bytes(cells))
-    reps = sets.join(firsts, ["class_key", "id"], "left_semi").dropDuplicates(["id"]).select("id", "grams")
+    firsts = sets.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    firsts = materialize(firsts, "near-dup-classes")
+    members = sets.select("id", "class_key").join(firsts, "class_key").select("id", "class_id").distinct()
+    rarity = spark.sparkContext.broadcast(_table(sets, "grams"))
     buckets = max(shuffle_partitions(spark), -(-n // 4000))
-    entries = reps.mapInArrow(_index_entries(shared, threshold, buckets), "bucket int, entries binary")
+    entries = sets.select("class", "grams").mapInArrow(_index_entries(rarity, threshold, buckets), "bucket int, entries binary")
     pairs = (
         entries.groupBy("bucket")
         .applyInArrow(_tally(threshold), "a long, b long, least int, shared int")
@@ -290,13 +329,17 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
         .select("a", "b")
     )
     pairs = materialize(pairs, "near-dup-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "grams")
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(
-        some.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b"
-    )
-    links = both.select("a", "b", "grams_a", "grams_b").mapInArrow(_overlap, "a long, b long, similarity double")
-    return members, materialize(links.where(F.col("similarity") >= threshold - 1e-12), "near-dup-links")
+    # only sets of classes in some pair are moved; a table of counters over these classes tells which
+    wanted = spark.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("c")).mapInArrow(_mixed("c"), "c binary"), "c"))
+    some = sets.mapInArrow(_among(wanted), "id long, class_key binary, class long, grams binary")
+    some = some.join(firsts.select("class_key", F.col("class_id").alias("id")), ["class_key", "id"], "left_semi").dropDuplicates(["class_key"])
+    some = materialize(some.select("id", "class", "grams"), "near-dup-some")
+    both = pairs.withColumnsRenamed({"a": "ca", "b": "cb"}).join(
+        some.select(F.col("class").alias("ca"), F.col("id").alias("a"), F.col("grams").alias("grams_a")), "ca"
+    ).join(some.select(F.col("class").alias("cb"), F.col("id").alias("b"), F.col("grams").alias("grams_b")), "cb")
+    links = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grams_a", "grams_b").where("a <> b")
+    links = links.mapInArrow(_overlap, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-12)
+    return members, materialize(links.distinct(), "near-dup-links")
 
 
 def pairs_written_out(members: DataFrame, links: DataFrame) -> DataFrame:
