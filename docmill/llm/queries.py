@@ -9,11 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from docmill.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.neighbors import nearest, neighbor_pairs
+
+    return neighbor_pairs(nearest(table(spark, sf_dir, "chunks"), least=0.85))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.splitting import split_oversized
+
+    pieces = split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+    return pieces.where("piece_no = 0").select("id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.splitting import split_oversized
+
+    return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.near_dup import near_duplicates, pairs_written_out
 
     return pairs_written_out(*near_duplicates(table(spark, sf_dir, "chunks"), k=3, threshold=0.6))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.spam import spam_pages
+
+    return spam_pages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
