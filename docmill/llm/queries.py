@@ -5,10 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docmill.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.markup import residue
+
+    parts = [
+        residue(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("record_table"), F.col("id").cast("long").alias("record_id"))
+        for name, key, text in (("chunks", "id", "text"), ("ocr_results", "ocr_id", "markdown"))
+    ]
+    return parts[0].unionByName(parts[1]).where("record_id is not null").distinct()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.markup import clean_documents
+
+    return clean_documents(table(spark, sf_dir, "chunks")).select("id", "clean_text", "residue_blocks")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.neighbors import nearest, neighbor_pairs
 
