@@ -45,6 +45,19 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.ocr_noise import repair_pages
+
+    found = repair_pages(table(spark, sf_dir, "ocr_results"), kinds_only=True)
+    return found.where("id is not null").select(F.col("id").cast("long").alias("ocr_id"), "page_no", F.explode("noise").alias("noise")).distinct()
+
+
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.ocr_noise import repair_pages
+
+    return repair_pages(table(spark, sf_dir, "ocr_results")).select(F.col("id").alias("ocr_id"), "page_no", "noise", "paragraphs")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.near_dup import near_duplicates, pairs_written_out
 
