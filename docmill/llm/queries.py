@@ -26,6 +26,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_documents(table(spark, sf_dir, "chunks")).select("id", "clean_text", "residue_blocks")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.names import link_names, name_pairs, names_of
+
+    return name_pairs(link_names(names_of(table(spark, sf_dir, "zotero_items"))))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.names import link_names, names_of
+
+    return link_names(names_of(table(spark, sf_dir, "zotero_items")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.neighbors import nearest, neighbor_pairs
 
