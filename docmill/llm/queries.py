@@ -76,6 +76,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_written_out(*near_duplicates(table(spark, sf_dir, "chunks"), k=3, threshold=0.6))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_containers"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.packing import packing_report
+
+    return packing_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_containers"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.mixing import mix_sources, mixture_shares
+
+    return mixture_shares(*mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.spam import spam_pages
 
