@@ -7,8 +7,10 @@ both have the same byte at the same position.
 * A record of n positional bytes that has a Jaccard similarity of at least t with another shares at
   least ceil(t n) of them. So of any common order of all positional bytes its first
   n - ceil(t n) + m entries, with m <= ceil(t n), share at least m entries with the other record's.
-  This m is the guaranteed minimum of matches; only those first entries are indexed.
-* The order puts rare bytes first. Rarity is read from a table of 2**22 counters that covers all
+  This m is the guaranteed minimum of matches; only those first entries are indexed. Against a record
+  that is no shorter it shares at least ceil(2t/(1+t) n), so as the shorter one it needs to show only its
+  first n - ceil(2t/(1+t) n) + m entries.
+* The order puts rare bytes first. Rarity is read from a table of 2**24 counters that covers all
   records; its size is fixed, so it can be broadcast at any scale. The order only decides how many
   candidates arise, never whether a pair is found.
 * The index is partitioned by positional byte. Within each list, pairs are tallied; pairs that reach
@@ -36,8 +38,9 @@ from docmill.session import materialize, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of the rarity table; fixed, so its broadcast does not grow with the data.
-CELLS = 1 << 22
-SLICE = 1 << 16
+CELLS = 1 << 24
+SLICE = 1 << 18
+SHIFT = np.uint64(64 - 24)
 #: Matches that are guaranteed and asked for, where a record has as many positional bytes.
 MATCHES = 4
 #: Entries of one index list that one cell takes.
@@ -102,23 +105,46 @@ def shingle_sets(texts: list, k: int, cache: dict) -> list[np.ndarray]:
     return out
 
 
-def _sets(id_col: str, text_col: str, k: int):
+def _classes(k: int):
+    """Of each record its class key; at the end of a task, its table of counters in slices."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
+        cells = np.zeros(CELLS, np.uint32)
+        names = ["id", "class_key", "part", "counts"]
+        seen = False
         for batch in batches:
-            sets = shingle_sets(batch.column(text_col).to_pylist(), k, cache)
-            ids = batch.column(id_col).to_pylist()
-            keep = [(i, s) for i, s in zip(ids, sets) if i is not None and len(s)]
-            raw = [s.tobytes() for _, s in keep]
-            digest = [xxhash.xxh3_128_digest(x) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in keep], pa.int64()), pa.array(digest, pa.binary()), pa.array([x[:8] for x in digest], pa.binary()), pa.array(raw, pa.binary())],
-                names=["id", "class_key", "class", "grams"],
-            )
+            seen = True
+            sets = shingle_sets(batch.column("text").to_pylist(), k, cache)
+            keep = [(i, s) for i, s in zip(batch.column("id").to_pylist(), sets) if i is not None and len(s)]
+            if keep:
+                np.add.at(cells, (np.concatenate([s for _, s in keep]) >> SHIFT).astype(np.int64), np.uint32(1))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for _, s in keep]
+            none = pa.nulls(len(keep))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        if seen:
+            parts = _slices(cells)
+            none = pa.nulls(len(parts))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
 
+def _slices(cells: np.ndarray) -> list[bytes]:
+    return [zlib.compress(cells[i : i + SLICE].tobytes(), 1) for i in range(0, CELLS, SLICE)]
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact to 127, then sixteenths of powers of two, rounded up."""
+    c = counts.astype(np.float64)
+    return np.where(c < 128, c, np.minimum(255, 128 + np.ceil(4 * np.log2(np.maximum(c, 1) / 128)))).astype(np.uint8)
+
+
+def _count(level: np.ndarray) -> np.ndarray:
+    x = level.astype(np.float64)
+    return np.where(x < 128, x, 128 * 2 ** ((x - 128) / 4)).astype(np.int64)
+
+
 def _count_cells(column: str):
     """Per task: a table of counters, by the top bits of the 64-bit values packed in the column."""
 
@@ -128,9 +154,9 @@ def _count_cells(column: str):
         for batch in batches:
             seen = True
             flat = np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)
-            np.add.at(cells, (flat >> np.uint64(42)).astype(np.int64), np.uint32(1))
+            np.add.at(cells, (flat >> SHIFT).astype(np.int64), np.uint32(1))
         if seen:
-            parts = [zlib.compress(cells[i : i + SLICE].tobytes(), 1) for i in range(0, CELLS, SLICE)]
+            parts = _slices(cells)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     return run
@@ -140,54 +166,51 @@ def _add_cells(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.uint64)
     for x in pdf["counts"]:
         total += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [_level(total).tobytes()]})
 
 
-def _table(df: DataFrame, column: str) -> bytes:
-    """The counters over all rows of df: a table of fixed size (16 MB), summed by slice on the executors."""
-    cells = bytearray(4 * CELLS)
-    parts = df.select(column).mapInArrow(_count_cells(column), "part int, counts binary")
+def _table(parts: DataFrame) -> bytes:
+    """The counters of all tasks as levels: a table of fixed size (16 MB), summed by slice on the executors."""
+    levels = bytearray(CELLS)
     for row in parts.groupBy("part").applyInPandas(_add_cells, "part int, counts binary").toLocalIterator():
-        cells[4 * SLICE * row["part"] : 4 * SLICE * (row["part"] + 1)] = row["counts"]
-    return bytes(cells)
+        levels[SLICE * row["part"] : SLICE * (row["part"] + 1)] = row["counts"]
+    return bytes(levels)
 
 
 def _needed(n: int, t: float) -> int:
     return math.ceil(t * n - 1e-9)
 
 
-def _index_entries(cells_b, t: float, buckets: int):
+def _index_entries(levels_b, k: int, t: float, buckets: int):
     """Of each class, its first positional bytes, packed by bucket of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(cells_b.value, np.uint32)
+        levels = np.frombuffer(levels_b.value, np.uint8)
+        cache = _WordHash()
         for batch in batches:
-            raw, classes, seen = [], [], set()
-            for c, x in zip(batch.column("class").to_pylist(), batch.column("grams").to_pylist()):
-                if c not in seen:  # copies enter once a batch here, and once in the index
-                    seen.add(c)
-                    classes.append(c)
-                    raw.append(x)
-            if not raw:
+            # copies enter once a batch here, and once in the index
+            once = {xxhash.xxh3_128_digest(x.tobytes())[:8]: x for x in shingle_sets(batch.column("text").to_pylist(), k, cache) if len(x)}
+            if not once:
                 continue
-            ids = np.frombuffer(b"".join(classes), np.int64)
-            grams = [np.frombuffer(x, np.uint64) for x in raw]
+            ids = np.frombuffer(b"".join(once), np.int64)
+            grams = list(once.values())
             n = np.array([len(g) for g in grams], np.int64)
             flat = np.concatenate(grams)
             owner = np.repeat(np.arange(len(ids)), n)
-            rarity = cells[(flat >> np.uint64(42)).astype(np.int64)]
+            rarity = levels[(flat >> SHIFT).astype(np.int64)]
             order = np.lexsort((flat, rarity, owner))
             rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             need = np.array([_needed(int(x), t) for x in n], np.int64)
             match = np.minimum(need, MATCHES)
             first = rank < (n - need + match)[owner]
-            key, who, often = flat[order][first], owner[first], rarity[order][first]
-            spread = np.maximum(1, -(-often.astype(np.int64) // HOT))
-            key, who, cell = _triangle(key, who, spread, ids)
-            bucket = ((key >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+            shown = rank < (n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + match)[owner]
+            key, who, often, shown = flat[order][first], owner[first], rarity[order][first], shown[first]
+            spread = np.maximum(1, -(-_count(often) // HOT))
+            key, who, flags = _triangle(key, who, shown, spread, ids)
+            bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             rec = np.empty(len(by), _ENTRY)
-            rec["key"], rec["id"], rec["n"], rec["match"], rec["side"] = key[by], ids[who[by]], n[who[by]], match[who[by]], cell[by]
+            rec["low"], rec["high"], rec["id"], rec["n"], rec["flags"] = key[by] & np.uint64(0xFFFFFFFF), (key[by] >> np.uint64(32)) & np.uint64(0xFFFF), ids[who[by]], n[who[by]], flags[by]
             b = bucket[by]
             cut = np.flatnonzero(np.diff(b)) + 1
             starts = np.concatenate([[0], cut]) if len(b) else []
@@ -199,25 +222,27 @@ def _index_entries(cells_b, t: float, buckets: int):
     return run
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("match", "i1"), ("side", "i1")])
+#: An index entry: the lower 48 bits of the key, class, size; flags: 1 and 2 the side in a cell, 4 shown as the shorter.
+_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("id", "<i8"), ("n", "<i4"), ("flags", "u1")])
 
 
-def _triangle(key, who, spread, ids):
+def _triangle(key, who, shown, spread, ids):
     """Lists expected to be long become cells (i, j) of a triangle; each entry goes to the cells of its group."""
     hot = spread > 1
+    flags = np.where(shown, 4, 0).astype(np.uint8)
     if not hot.any():
-        return key, who, np.zeros(len(key), np.int8)
-    keys, owners, sides = [key[~hot]], [who[~hot]], [np.zeros((~hot).sum(), np.int8)]
+        return key, who, flags
+    keys, owners, sides = [key[~hot]], [who[~hot]], [flags[~hot]]
     with np.errstate(over="ignore"):
         for g in np.unique(spread[hot]).tolist():
             at = spread == g
-            k, w = key[at], who[at]
+            k, w, f = key[at], who[at], flags[at]
             mine = (_mix(ids[w].astype(np.uint64) * np.uint64(_MULT[0])) % np.uint64(g)).astype(np.int64)
             for other in range(g):
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
                 keys.append(_mix(k + (lo * g + hi + 1).astype(np.uint64) * np.uint64(_MULT[2])))
                 owners.append(w)
-                sides.append(np.where(lo == hi, 0, np.where(mine == lo, 1, 2)).astype(np.int8))
+                sides.append(f | np.where(lo == hi, 0, np.where(mine == lo, 1, 2)).astype(np.uint8))
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(sides)
 
 
@@ -226,11 +251,14 @@ def _tally(t: float):
 
     def run(tab: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _ENTRY) for x in tab.column("entries").to_pylist()])
-        rec = rec[np.lexsort((rec["id"], rec["key"]))]
+        key = rec["low"].astype(np.uint64) | rec["high"].astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((rec["id"], key))
+        rec, key = rec[order], key[order]
         new = np.ones(len(rec), bool)
-        new[1:] = (rec["key"][1:] != rec["key"][:-1]) | (rec["id"][1:] != rec["id"][:-1])
-        rec = rec[new]
-        cut = np.flatnonzero(np.diff(rec["key"])) + 1
+        new[1:] = (key[1:] != key[:-1]) | (rec["id"][1:] != rec["id"][:-1])
+        rec, key = rec[new], key[new]
+        side, shown = rec["flags"] & 3, rec["flags"] > 3
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts = np.concatenate([[0], cut])
         size = np.diff(np.concatenate([starts, [len(rec)]]))
         left, right = [], []
@@ -241,15 +269,18 @@ def _tally(t: float):
                 block = at[s : s + max(1, 2_000_000 // len(i)), None]
                 left.append((block + i).ravel())
                 right.append((block + j).ravel())
-                a, b = rec[left[-1]], rec[right[-1]]
-                small, large = np.minimum(a["n"], b["n"]), np.maximum(a["n"], b["n"])
+                la, lb = left[-1], right[-1]
+                na, nb = rec["n"][la], rec["n"][lb]
                 # lengths alone rule a pair out; in a cell across two groups, pairs of one group belong to another cell
-                ok = (small >= np.ceil(t * large - 1e-9)) & ((a["side"] == 0) | (a["side"] != b["side"])) & (a["id"] != b["id"])
+                ok = (np.minimum(na, nb) >= np.ceil(t * np.maximum(na, nb) - 1e-9)) & ((side[la] == 0) | (side[la] != side[lb]))
+                # entries are sorted by class within a list: of two equally long ones, the first counts as the shorter
+                ok &= np.where(na <= nb, shown[la], shown[lb])
                 left[-1], right[-1] = left[-1][ok], right[-1][ok]
         if not left:
             return _PAIRS.empty_table()
         a, b = rec[np.concatenate(left)], rec[np.concatenate(right)]
-        pair = np.stack([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), np.minimum(a["match"], b["match"])], axis=1)
+        match = np.minimum(MATCHES, np.ceil(t * np.minimum(a["n"], b["n"]) - 1e-9).astype(np.int64))
+        pair = np.stack([np.minimum(a["id"], b["id"]), np.maximum(a["id"], b["id"]), match], axis=1)
         order = np.lexsort((pair[:, 1], pair[:, 0]))
         pair = pair[order]
         new = np.concatenate([[True], (np.diff(pair[:, 0]) != 0) | (np.diff(pair[:, 1]) != 0)]) if len(pair) else np.zeros(0, bool)
@@ -273,27 +304,38 @@ def _mixed(column: str):
     return run
 
 
-def _among(wanted_b):
-    """Rows whose class may be in some pair."""
+def _among(wanted_b, k: int):
+    """The positional bytes of records whose id may be in some pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(wanted_b.value, np.uint32)
+        wanted = np.frombuffer(wanted_b.value, np.uint8)
+        cache = _WordHash()
         for batch in batches:
-            c = np.frombuffer(b"".join(batch.column("class").to_pylist()), np.int64)
-            cell = (_mix(c.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
-            keep = pa.array(wanted[cell] > 0)
-            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class_key"), pa.array(c), batch.column("grams")], names=["id", "class_key", "class", "grams"])
-            yield out.filter(keep)
+            ids = np.array(batch.column("id").to_pylist(), np.int64)
+            cell = (_mix(ids.astype(np.uint64)) >> SHIFT).astype(np.int64)
+            some = batch.filter(pa.array(wanted[cell] > 0))
+            sets = shingle_sets(some.column("text").to_pylist(), k, cache)
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([_pack(x) for x in sets], pa.binary())], names=["id", "grams"])
 
     return run
 
 
+def _pack(grams: np.ndarray) -> bytes:
+    """The lower 48 bits of each, for comparing two sets."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ga, gb = batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()
         j = []
-        for x, y in zip(ga, gb):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in batch.column("grams").to_pylist():
+            x, y = _unpack(x), _unpack(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             j.append(both / (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j, pa.float64())], names=["a", "b", "similarity"])
@@ -311,15 +353,16 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     once. Other columns of df are not read. An empty df gives empty tables.
     """
     spark = df.sparkSession
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(src.mapInArrow(_sets("id", "text", k), "id long, class_key binary, class binary, grams binary"), "near-dup-sets")
-    n = sets.count()
-    firsts = sets.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
-    firsts = materialize(firsts, "near-dup-classes")
-    members = sets.select("id", "class_key").join(firsts, "class_key").select("id", "class_id").distinct()
-    rarity = spark.sparkContext.broadcast(_table(sets, "grams"))
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    first = materialize(src.mapInArrow(_classes(k), "id long, class_key binary, part int, counts binary"), "near-dup-classes")
+    keys = first.where("part is null").select("id", "class_key")
+    n = keys.count()
+    reps = keys.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    reps = materialize(reps, "near-dup-reps")
+    members = keys.join(reps, "class_key").select("id", "class_id").distinct()
+    rarity = spark.sparkContext.broadcast(_table(first.where("part is not null").select("part", "counts")))
     buckets = max(shuffle_partitions(spark), -(-n // 4000))
-    entries = sets.select("class", "grams").mapInArrow(_index_entries(rarity, threshold, buckets), "bucket int, entries binary")
+    entries = src.select("text").mapInArrow(_index_entries(rarity, k, threshold, buckets), "bucket int, entries binary")
     pairs = (
         entries.groupBy("bucket")
         .applyInArrow(_tally(threshold), "a long, b long, least int, shared int")
@@ -328,18 +371,31 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
         .where("shared >= least")
         .select("a", "b")
     )
-    pairs = materialize(pairs, "near-dup-pairs")
-    # only sets of classes in some pair are moved; a table of counters over these classes tells which
-    wanted = spark.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("c")).mapInArrow(_mixed("c"), "c binary"), "c"))
-    some = sets.mapInArrow(_among(wanted), "id long, class_key binary, class long, grams binary")
-    some = some.join(firsts.select("class_key", F.col("class_id").alias("id")), ["class_key", "id"], "left_semi").dropDuplicates(["class_key"])
-    some = materialize(some.select("id", "class", "grams"), "near-dup-some")
-    both = pairs.withColumnsRenamed({"a": "ca", "b": "cb"}).join(
-        some.select(F.col("class").alias("ca"), F.col("id").alias("a"), F.col("grams").alias("grams_a")), "ca"
-    ).join(some.select(F.col("class").alias("cb"), F.col("id").alias("b"), F.col("grams").alias("grams_b")), "cb")
-    links = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "grams_a", "grams_b").where("a <> b")
-    links = links.mapInArrow(_overlap, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-12)
-    return members, materialize(links.distinct(), "near-dup-links")
+    # the index names a class by the first 8 bytes of its key
+    named = reps.select("class_id", "class_key").mapInArrow(_short_keys, "class_id long, class long")
+    pairs = (
+        materialize(pairs, "near-dup-pairs")
+        .join(named.select(F.col("class").alias("a"), F.col("class_id").alias("ia")), "a")
+        .join(named.select(F.col("class").alias("b"), F.col("class_id").alias("ib")), "b")
+        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+        .where("a <> b")
+        .distinct()
+    )
+    pairs = materialize(pairs, "near-dup-candidates")
+    # only texts of records in some pair are read into sets and moved; a table of counters over them tells which
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+    wanted = spark.sparkContext.broadcast(_table(ends.mapInArrow(_mixed("c"), "c binary").mapInArrow(_count_cells("c"), "part int, counts binary")))
+    some = src.mapInArrow(_among(wanted, k), "id long, grams binary").repartition("id").dropDuplicates(["id"])
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b").join(some, "id")
+    both = sides.groupBy("a", "b").agg(F.collect_list("grams").alias("grams"))
+    links = both.mapInArrow(_overlap, "a long, b long, similarity double")
+    return members, materialize(links.where(F.col("similarity") >= threshold - 1e-12), "near-dup-links")
+
+
+def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = np.frombuffer(b"".join(x[:8] for x in batch.column("class_key").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(short)], names=["class_id", "class"])
 
 
 def pairs_written_out(members: DataFrame, links: DataFrame) -> DataFrame:
