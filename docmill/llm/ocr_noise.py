@@ -52,7 +52,9 @@ WORD = re.compile(r"[^\W_]+")
 HYPHENS = "-­‐‑¬"
 _CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*$")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_BROKEN = re.compile(rf"[^\W\d_]+[{HYPHENS}][ \t]*\n\s*[^\W\d_]+|^\s*[^\W\d_]+|[^\W\d_]+[{HYPHENS}]\s*$")
+_BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
+_LAST = re.compile(r"[^\W\d_]+\Z")
+_FIRST = re.compile(r"\s*[^\W\d_]+")
 _NEXT = re.compile(r"[ \t]*([^\W\d_]+)")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "j": "l", "5": "s", "6": "b", "8": "b", "h": "b", "e": "c", "é": "c", "t": "f", "ä": "a", "á": "a", "à": "a", "ö": "o", "ü": "u", "q": "g", "9": "g", "y": "v"})
 _ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
@@ -64,37 +66,85 @@ _HEAD = re.compile(r"^(?:(?:p|s)\.\s*|page\s*|seite\s*)?(\d{1,4}|[ivxl]{1,7})(?:
 # --- corpus counts ------------------------------------------------------------------------------
 
 
-def _cells(key: str, n: int) -> tuple[int, ...]:
-    """The n counters of a key."""
-    h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-    return tuple((h >> (BITS * i)) & (CELLS - 1) for i in range(n))
+_M = (1 << 64) - 1
+_K1, _K2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = _hash(word)
+        return h
+
+
+def _cells(h: int, n: int) -> list[int]:
+    """The first n counters of a hash, of three."""
+    return [h >> (64 - BITS), (h >> 12) & (CELLS - 1), ((h * _K1) & _M) >> (64 - BITS)][:n]
+
+
+def _pair_hash(a: int, b: int) -> int:
+    return ((a * _K1 & _M) ^ (b * _K2 & _M)) * _K1 & _M
 
 
 #: Counters of a word and of a pair of words; the least of them counts.
 WORD_HASHES, PAIR_HASHES = 3, 2
 
 
+def _add_hashes(table: np.ndarray, h: np.ndarray, n: int) -> None:
+    k = np.uint64(_K1)
+    for at in (h >> np.uint64(64 - BITS), (h >> np.uint64(12)) & np.uint64(CELLS - 1), (h * k) >> np.uint64(64 - BITS))[:n]:
+        np.add.at(table, at.astype(np.int64), np.uint32(1))
+
+
 def page_words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _unbroken(page: str) -> str:
+    """A page without the halves of words cut at line ends."""
+    out, at = [], 0
+    for m in _BREAK.finditer(page):
+        left = _LAST.search(page, max(at, m.start() - 40), m.start())
+        right = _FIRST.match(page, m.end())
+        if left and right:
+            out.append(page[at : left.start()])
+            at = right.end()
+    out.append(page[at:])
+    text = "\n".join(out).strip()
+    if text[-1:] in HYPHENS:
+        text = text[: _LAST.search(text, max(0, len(text) - 41), len(text) - 1).start()] if _LAST.search(text, max(0, len(text) - 41), len(text) - 1) else text
+    first = _FIRST.match(text)
+    return text[first.end() :] if first else text
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one, two = np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.uint32)
+    hashes = _Hashes()
+    get = hashes.__getitem__
     seen = False
     for batch in batches:
         seen = True
-        words, pairs = Counter(), Counter()
+        flat: list[int] = []
+        extra: list[int] = []
         for pages in batch.column("pages").to_pylist():
             for page in pages or ():
                 if page:
-                    w = page_words(_BROKEN.sub(" \n", page))  # no halves of words cut at line ends
-                    words.update(w)
-                    pairs.update(zip(w, w[1:]))
-                    words.update(x.lower() for x in _COMPOUND.findall(page))
-        for table, counts, key, n in ((one, words, str, WORD_HASHES), (two, pairs, " ".join, PAIR_HASHES)):
-            if counts:
-                at = np.fromiter((c for k in counts for c in _cells(key(k), n)), np.int64, n * len(counts))
-                np.add.at(table, at, np.repeat(np.fromiter(counts.values(), np.uint32, len(counts)), n))
+                    flat += map(get, page_words(_unbroken(page)))
+                    flat.append(0)  # no pair over a page end
+                    if "-" in page:
+                        extra += map(get, (x.lower() for x in _COMPOUND.findall(page)))
+        h = np.array(flat, np.uint64)
+        with np.errstate(over="ignore"):
+            a, b = h[:-1], h[1:]
+            both = (a != 0) & (b != 0)
+            pairs = ((a[both] * np.uint64(_K1)) ^ (b[both] * np.uint64(_K2))) * np.uint64(_K1)
+            _add_hashes(one, np.concatenate([h[h != 0], np.array(extra, np.uint64)]), WORD_HASHES)
+            _add_hashes(two, pairs, PAIR_HASHES)
     if seen:
         parts = [(t, i, zlib.compress(table[i * SLICE : (i + 1) * SLICE].tobytes(), 1)) for t, table in enumerate((one, two)) for i in range(CELLS // SLICE)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], names=["kind", "part", "counts"])
@@ -132,18 +182,30 @@ class Corpus:
         self.words, self.pairs, self.total = tables
         self.known: dict[str, float] = {}
         self.options: dict[str, list[tuple[str, float, float]]] = {}
+        self.right: set[str] = set()  # words without another candidate
+
+    def all_right(self, text: str) -> bool:
+        """Whether no word of a text has another candidate."""
+        if "\ufffd" in text:
+            return False
+        new = set(page_words(text)) - self.right
+        wrong = {w for w in new if len(self.candidates(w)) > 1}
+        if len(self.right) > 500_000:
+            self.right.clear()
+        self.right |= new - wrong
+        return not wrong
 
     def count(self, word: str) -> float:
         c = self.known.get(word)
         if c is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            level = min(self.words[i] for i in _cells(word, WORD_HASHES))
+            level = min([self.words[i] for i in _cells(_hash(word), WORD_HASHES)])
             c = self.known[word] = float(level) if level < 128 else 128 * 2 ** ((level - 128) / 4)
         return c
 
     def pair(self, a: str, b: str) -> float:
-        level = min(self.pairs[i] for i in _cells(f"{a} {b}", PAIR_HASHES))
+        level = min([self.pairs[i] for i in _cells(_pair_hash(_hash(a), _hash(b)), PAIR_HASHES)])
         return float(level) if level < 128 else 128 * 2 ** ((level - 128) / 4)
 
     def candidates(self, word: str) -> list[tuple[str, float, float]]:
@@ -337,6 +399,8 @@ def repair_record(pages: list[str | None], corpus: Corpus) -> list[Found]:
     flat = [(k, i) for k, lines in enumerate(body) for i, x in enumerate(lines) if x.strip()]
     for (k, i), (k2, j) in zip(flat, flat[1:]):
         line, after = body[k][i], body[k2][j]
+        if line.rstrip()[-1:] not in HYPHENS:
+            continue
         m = _CUT.search(line)
         if not m or (k2 == k and j - i > 1 and any(not x.strip() for x in body[k][i + 1 : j])):
             continue
@@ -365,6 +429,8 @@ def repair_record(pages: list[str | None], corpus: Corpus) -> list[Found]:
         body[k][i] += rest[:stop]
         body[k2][j] = rest[stop:].lstrip() if rest[stop:].strip() else ""
     for k, lines in enumerate(body):
+        if corpus.all_right("\n".join(lines)) and corpus.all_right("\n".join(struct[k].lines[i] for i in struct[k].running)):
+            continue
         for i in range(len(lines)):
             fixed = _fix_line(lines[i], corpus)
             if fixed is not None:
