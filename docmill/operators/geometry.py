@@ -1,0 +1,159 @@
+"""Page geometry: rectangles, captions, text boxes, ink."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def intersects(a: str, b: str, gap: float = 0.0) -> Column:
+    """Whether rectangles a.* and b.* (x0, y0, x1, y1) touch, one grown by gap."""
+    c = F.col
+    return (c(f"{a}.x0") - gap <= c(f"{b}.x1")) & (c(f"{b}.x0") <= c(f"{a}.x1") + gap) & (c(f"{a}.y0") - gap <= c(f"{b}.y1")) & (c(f"{b}.y0") <= c(f"{a}.y1") + gap)
+
+
+def overlap_share(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``page``, ``id``, ``other``, ``share``: of each left rectangle the share that a right one covers.
+
+    An equi join by page with the overlap as a filter: pages hold few rectangles.
+    """
+    x = left.alias("a").join(right.alias("b"), F.col("a.page") == F.col("b.page")).where(intersects("a", "b"))
+    w = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
+    h = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
+    area = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
+    return x.select(F.col("a.page").alias("page"), F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.when(area > 0, w * h / area).otherwise(0.0).alias("share"))
+
+
+def nearest_caption(figures: DataFrame, captions: DataFrame, reach: tuple[float, float] = (-4.0, 40.0)) -> DataFrame:
+    """``page``, ``caption``, ``figure``: the figure nearest above or below each caption that overlaps it
+    sideways, within reach; the first wins ties."""
+    x = captions.alias("c").join(figures.alias("f"), F.col("c.page") == F.col("f.page"))
+    gap = F.greatest(F.col("c.y0") - F.col("f.y1"), F.col("f.y0") - F.col("c.y1"))
+    x = x.where((F.col("c.x0") < F.col("f.x1")) & (F.col("f.x0") < F.col("c.x1")) & (gap >= reach[0]) & (gap <= reach[1]))
+    best = F.min(F.struct(gap.alias("gap"), F.col("f.id").alias("id")))
+    return x.groupBy(F.col("c.page").alias("page"), F.col("c.id").alias("caption")).agg(best.alias("b")).select("page", "caption", F.col("b.id").alias("figure"))
+
+
+def body_size(spans: DataFrame) -> DataFrame:
+    """``doc``, ``size``: the font size that sets most characters; ties go to the smaller."""
+    n = spans.groupBy("doc", "size").agg(F.sum(F.length("key")).alias("chars"))
+    w = Window.partitionBy("doc").orderBy(F.col("chars").desc(), "size")
+    return n.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc", "size")
+
+
+def ranked_sizes(headings: DataFrame) -> DataFrame:
+    """``doc``, ``size``, ``level``: sizes that two or more headings use, largest first."""
+    n = headings.groupBy("doc", "size").agg(F.count("*").alias("n")).where("n >= 2")
+    return n.select("doc", "size", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.col("size").desc())).alias("level"))
+
+
+def span_lines(spans: DataFrame) -> DataFrame:
+    """Lines of font spans: ``key`` (letters and digits, lower case), largest ``size`` to half a point, ``bold``."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), "")
+    bold = F.max((F.col("flags").bitwiseAND(16) > 0) | F.contains(F.lower("font"), F.lit("bold")))
+    x = spans.groupBy("doc", "page_no", "line_no").agg(text.alias("t"), F.max(F.bround(F.col("size") * 2) / 2).alias("size"), bold.alias("bold"))
+    return x.select("doc", "page_no", "line_no", F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "").alias("key"), "size", "bold")
+
+
+def repeated_crops(crops: DataFrame, pages: int = 3) -> DataFrame:
+    """``doc``, ``hash`` of pictures that stand on three or more pages, as logos do."""
+    return crops.groupBy("doc", "hash").agg(F.count_distinct("page_no").alias("n")).where(F.col("n") >= pages).select("doc", "hash")
+
+
+def reading_order(rects: DataFrame, width: str = "width") -> DataFrame:
+    """Rectangles with ``place``: left column first, then top to bottom."""
+    right = (F.col("x0") >= F.col(width) * 0.45).cast("int")
+    return rects.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(right, "y0", "id")))
+
+
+def visible(fill: Column) -> Column:
+    """Whether a drawing's colour shows on white."""
+    return F.array_min(fill) < 0.97
+
+
+def text_box(lines: DataFrame) -> DataFrame:
+    """``page``, ``box``, ``is_text``: boxes mostly of long lines."""
+    x = lines.groupBy("page", "box").agg(F.sum("chars").alias("n"), F.sum(F.when(F.col("chars") >= 40, F.col("chars")).otherwise(0)).alias("long"), F.max("marks").alias("marks"))
+    return x.select("page", "box", ((F.col("n") >= 100) & (F.col("long") >= 0.4 * F.col("n")) & (F.col("marks") <= 6)).alias("is_text"))
+
+
+def size_filter(rects: DataFrame) -> DataFrame:
+    """Rectangles large enough for a figure: 2 % of the page, 12 % of its width, 5 % of its height."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return rects.where((w * h >= 0.02 * F.col("width") * F.col("height")) & (w >= 0.12 * F.col("width")) & (h >= 0.05 * F.col("height")))
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """``doc``, ``is_scan``: whether half of the pages are scans."""
+    return pages.groupBy("doc").agg((F.avg(F.col("is_scan").cast("int")) >= 0.5).alias("is_scan"))
+
+
+def merge_rects(rects: list[tuple[float, float, float, float]], gap: float = 6.0) -> list[tuple[float, float, float, float]]:
+    """Rectangles that touch within gap united, until none do."""
+    out = [tuple(map(float, r)) for r in rects]
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(out)):
+            for j in range(len(out) - 1, i, -1):
+                a, b = out[i], out[j]
+                if a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap:
+                    out[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+                    del out[j]
+                    changed = True
+    return out
+
+
+def merge_by_page(rects: DataFrame, gap: float = 6.0) -> DataFrame:
+    """Rectangles (page, x0, y0, x1, y1) merged page by page."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = merge_rects(list(pdf[["x0", "y0", "x1", "y1"]].sort_values(["x0", "y0", "x1", "y1"]).itertuples(index=False, name=None)), gap)
+        out = pd.DataFrame(got, columns=["x0", "y0", "x1", "y1"])
+        out.insert(0, "page", pdf["page"].iloc[0])
+        return out
+
+    page = rects.schema["page"].dataType.simpleString()
+    return rects.groupBy("page").applyInPandas(run, f"page {page}, x0 double, y0 double, x1 double, y1 double")
+
+
+def runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of true values of at least a length."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(flags, np.int8), [0]])))
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
+
+
+def page_regions(ink: np.ndarray, band_gap: int = 4, gutter: int = 7) -> list[tuple[int, int, int, int]]:
+    """(x0, y0, x1, y1) of regions of an ink bitmap in reading order: bands between blank rows; bands with one
+    gutter near the middle are read column by column; without a gutter the page is one region."""
+    ink = np.asarray(ink, bool)
+    height, width = ink.shape
+    rows = ink.any(1)
+    if not rows.any():
+        return []
+    blank = runs(~rows, band_gap)
+    cuts = [0, *[(a + b) // 2 for a, b in blank if a > 0 and b < height], height]
+    bands = [(a, b) for a, b in zip(cuts, cuts[1:]) if rows[a:b].any()]
+
+    def middle(a: int, b: int) -> int | None:
+        cols = ink[a:b].sum(0)
+        lo, hi = int(width * 0.3), int(width * 0.7)
+        found = [((s + e) // 2 + lo) for s, e in runs(cols[lo:hi] == 0, gutter)]
+        found = [x for x in found if min(cols[:x].sum(), cols[x:].sum()) >= 0.15 * cols.sum()]
+        return min(found, key=lambda x: abs(x - width / 2), default=None)
+
+    groups: list[tuple[int, int, int | None]] = []
+    for a, b in bands:
+        x = middle(a, b)
+        if x is not None and groups and groups[-1][2] is not None and abs(groups[-1][2] - x) <= gutter:
+            groups[-1] = (groups[-1][0], b, groups[-1][2])
+        else:
+            groups.append((a, b, x))
+    if all(x is None for *_, x in groups):
+        return [(0, 0, width, height)]
+    out = []
+    for a, b, x in groups:
+        out += [(0, a, width, b)] if x is None else [(0, a, x, b), (x, a, width, b)]
+    return out

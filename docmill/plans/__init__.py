@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from docmill.plans import chart_plans, document_plans, ingest_plans, search_plans  # noqa: F401  (they register themselves)
+from docmill.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
