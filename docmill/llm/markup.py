@@ -203,7 +203,7 @@ _INLINE = re.compile(r"\\\((.+?)\\\)|(?<![\\$])\$(?!\s)([^$\n]*?[\\^_{}][^$\n]*?
 _HEADS = (
     (re.compile(r"^[ ]{0,3}(\#{1,6})[ \t]+(.*?)[ \t#]*$"), lambda m: len(m[1])),
     (re.compile(r"^(={1,6})[ ]?([^=\n].*?)[ ]?=*[ \t]*$"), lambda m: len(m[1])),
-    (re.compile(r"^\\((?:sub){0,2})section\*?\{(.*)\}\s*(?:\\label\{[^}]*\})?\s*$"), lambda m: 1 + len(m[1]) // 3),
+    (re.compile(r"^\\((?:sub){0,2})section\*?\{(.*?)\}\s*(?:\\label\{[^}]*\})?\s*$"), lambda m: 1 + len(m[1]) // 3),
     (re.compile(r"^<h([1-6])\b[^>]*>(.*?)(?:</h[1-6]>)?\s*$", re.I), lambda m: int(m[1])),
 )
 _ITEM = re.compile(r"^[ \t]*(?:[-*+\#]{1,4}[ \t]+|<li\b[^>]*>|\\item\b(?:\[[^\]]*\])?[ \t]*)(.*)$", re.I)
