@@ -157,3 +157,43 @@ def page_regions(ink: np.ndarray, band_gap: int = 4, gutter: int = 7) -> list[tu
     for a, b, x in groups:
         out += [(0, a, width, b)] if x is None else [(0, a, x, b), (x, a, width, b)]
     return out
+
+
+def printed_lines(words: DataFrame) -> DataFrame:
+    """``page``, ``block``, ``line``, ``text``: the words of each line, in order."""
+    parts = F.array_sort(F.collect_list(F.struct("x0", "word_no", "text")))
+    return words.groupBy("page", "block", "line").agg(parts.alias("p")).select("page", "block", "line", F.array_join(F.transform("p", lambda s: s["text"]), " ").alias("text"))
+
+
+def prose_block(width: Column, page_width: Column, chars: Column, lines: Column) -> Column:
+    """Whether a block of text is running prose: a quarter of the page wide, 25 characters a line."""
+    return (width >= 0.25 * page_width) & (chars >= 25 * lines)
+
+
+def listing(lines: DataFrame) -> DataFrame:
+    """``page``, ``box``, ``is_listing``: boxes in which two lines stand under one another at one margin."""
+    a, b = lines.alias("a"), lines.alias("b")
+    x = a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.box") == F.col("b.box")))
+    gap, h = F.col("b.y0") - F.col("a.y1"), F.col("a.y1") - F.col("a.y0")
+    hit = (F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.x0") - F.col("b.x0")) <= 2.5) & (gap >= 0) & (gap <= 1.5 * h)
+    return x.groupBy(F.col("a.page").alias("page"), F.col("a.box").alias("box")).agg(F.max(hit).alias("is_listing"))
+
+
+def heading_style(headings: DataFrame, span_lines: DataFrame, body: DataFrame) -> DataFrame:
+    """``doc``, ``key``, ``size``: the largest size in which a heading (doc, key) is set as one: larger than
+    the body, or bold and not smaller.
+
+    A heading meets a line that equals it, or begins with it (8 characters or more), or up to four lines
+    that join to it exactly. Joined lines are built by a window, so every meeting is an equi join.
+    """
+    w = Window.partitionBy("doc").orderBy("page_no", "line_no")
+    x = span_lines
+    for k in range(1, 4):
+        x = x.withColumn(f"k{k}", F.lead("key", k).over(w))
+    joined = F.array(F.col("key"), *[F.concat("key", *[f"k{i}" for i in range(1, k + 1)]) for k in range(1, 4)])
+    exact = x.select("doc", F.explode(joined).alias("key"), "size", "bold").where("key is not null and key <> ''")
+    lengths = headings.select("doc", F.length("key").alias("n")).where("n >= 8").distinct()
+    starts = x.join(lengths, "doc").where(F.length("key") > F.col("n")).select("doc", F.expr("substring(key, 1, n)").alias("key"), "size", "bold")
+    met = headings.select("doc", "key").distinct().join(exact.unionByName(starts), ["doc", "key"]).join(body.withColumnRenamed("size", "body"), "doc")
+    met = met.where((F.col("size") > F.col("body")) | (F.col("bold") & (F.col("size") >= F.col("body"))))
+    return met.groupBy("doc", "key").agg(F.max("size").alias("size"))
