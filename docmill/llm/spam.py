@@ -145,7 +145,7 @@ def page_features(text: str | None) -> tuple[int, float, float, float]:
 
 
 #: Weight of coverage against missing clause structure, and the score from which a page is spam.
-COVERAGE_WEIGHT, SPAM = 0.3, 0.62
+COVERAGE_WEIGHT, SPAM = 0.3, 0.68
 
 
 def _judge(id_col: str):
