@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import content_type, stable_id, strip, strip_page_markers
+from docmill.session import spread
 
 TOKEN = re.compile(r"\S+")
 _FIGURE = re.compile(r"!\[[^\]]*\]\([^)]+\)(?:\n>[^\n]*)*(?:\n\n?(?:Figure|Fig\.?)\s*\d*[^\n]*)?")
@@ -147,7 +148,7 @@ def chunk_documents(df: DataFrame, doc: str = "doc", text: str = "markdown", str
     Figure blocks are never cut. Offsets are those of the text in which each figure block is one token.
     Null texts give nothing.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")))
     kind = rows.schema["doc"].dataType.simpleString()
     out = rows.mapInArrow(_chunk(strategy, size), f"doc {kind}, chunk_index int, text string, start_index int, end_index int, token_count int")
     return with_kind(out.withColumn("text", strip_page_markers(F.col("text"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docmill.session import spread
+
 K1, B, RRF = 1.2, 0.75, 60
 #: Weight of a kind of chunk in a ranking; fixed values.
 WEIGHTS = {"abstract": 1.5, "figure": 1.3, "prose": 1.0, "table": 1.0, "frontmatter": 0.7, "references": 0.5}
@@ -14,6 +16,11 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def _fold(lowered: Column) -> Column:
+    """Without accents; texts of plain letters pass untouched."""
+    return F.when(lowered.rlike(f"[{_ACCENTED}]"), F.translate(lowered, _ACCENTED, _PLAIN)).otherwise(lowered)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, without accents."""
     folded = F.translate(F.lower(text), _ACCENTED, _PLAIN)
@@ -40,15 +47,19 @@ def bm25(chunks: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] =
     if not phrases:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     # tokens with a blank on each side, so that a phrase is a run of characters
-    laid = [F.concat(F.lit(" "), F.regexp_replace(F.translate(F.lower(F.coalesce(F.col(c), F.lit(""))), _ACCENTED, _PLAIN), r"[^\p{L}\p{N}]+", "  "), F.lit(" ")) for c in columns]
-    length = sum((F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")) for t in laid), F.lit(0))
+    laid = [F.concat(F.lit(" "), F.regexp_replace(_fold(F.lower(F.coalesce(F.col(c), F.lit("")))), r"[^\p{L}\p{N}]+", "  "), F.lit(" ")).alias(f"t{i}") for i, c in enumerate(columns)]
+    x = spread(chunks.select("id", *columns)).select("id", *laid)
+    texts = [F.col(f"t{i}") for i in range(len(columns))]
+    length = sum((F.regexp_count(t, F.lit("[^ ]+")) for t in texts), F.lit(0))
 
     def count(phrase: list[str]) -> Column:
         """Occurrences, overlapping ones too: positions before which the phrase stands."""
-        ahead = F.lit("(?= " + "  ".join(phrase) + " )")
-        return sum((F.regexp_count(t, ahead) for t in laid), F.lit(0))
+        run = " " + "  ".join(phrase) + " "
+        if len(set(phrase)) == len(phrase):  # cannot overlap itself
+            return sum((F.floor((F.length(t) - F.length(F.replace(t, F.lit(run), F.lit("")))) / len(run)) for t in texts), F.lit(0))
+        return sum((F.regexp_count(t, F.lit(f"(?={run})")) for t in texts), F.lit(0))
 
-    x = chunks.select("id", length.alias("dl"), *[count(p).alias(f"f{j}") for j, p in enumerate(phrases)])
+    x = x.select("id", length.alias("dl"), *[count(p).alias(f"f{j}") for j, p in enumerate(phrases)])
     stats = x.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"f{j}") > 0, 1)).alias(f"n{j}") for j in range(len(phrases))])
     hits = x
     for j in range(len(phrases)):
