@@ -218,7 +218,9 @@ def test_bm25_agrees_with_sqlite(spark):
         pytest.skip("no fts5")
     con.executemany("insert into f(rowid, text, source, section) values (?, ?, ?, ?)", [(i, t, "s", "one") for i, t in enumerate(texts)])
     c = spark.createDataFrame([(i, t, "s", "one") for i, t in enumerate(texts)], "id long, text string, source string, section string")
-    for q in ("report", "page-level", "page report", "cafe"):
+    c = c.union(spark.createDataFrame([(99, None, "", " -- ")], c.schema))
+    con.execute("insert into f(rowid, text, source, section) values (99, '', '', ' -- ')")
+    for q in ("report", "page-level", "page report", "cafe", "level-page-level"):
         want = {r[0]: -r[1] for r in con.execute("select rowid, bm25(f) from f where f match ?", [" ".join(f'"{t}"' for t in q.split())])}
         got = {r["id"]: r["score"] for r in search.bm25(c, search.phrases_of(q)).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), q
