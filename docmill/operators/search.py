@@ -27,6 +27,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _once(df: DataFrame, keep: list[str], exprs: list[Column]) -> DataFrame:
+    """df with costly expressions that are computed once a row: as a generator's output they are neither
+    repeated in each later use nor in filters pushed down."""
+    return df.select(*keep, F.inline(F.array(F.struct(*exprs))))
+
+
 def postings(chunks: DataFrame, columns: tuple[str, ...] = ("text", "source", "section")) -> DataFrame:
     """``id``, ``term``, ``field``, ``pos`` of every token of the searched columns."""
     parts = None
@@ -48,7 +54,7 @@ def bm25(chunks: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] =
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
     # tokens with a blank on each side, so that a phrase is a run of characters
     laid = [F.concat(F.lit(" "), F.regexp_replace(_fold(F.lower(F.coalesce(F.col(c), F.lit("")))), r"[^\p{L}\p{N}]+", "  "), F.lit(" ")).alias(f"t{i}") for i, c in enumerate(columns)]
-    x = spread(chunks.select("id", *columns)).select("id", *laid)
+    x = _once(spread(chunks.select("id", *columns)), ["id"], laid)
     texts = [F.col(f"t{i}") for i in range(len(columns))]
     length = sum((F.regexp_count(t, F.lit("[^ ]+")) for t in texts), F.lit(0))
 
@@ -59,7 +65,7 @@ def bm25(chunks: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] =
             return sum((F.floor((F.length(t) - F.length(F.replace(t, F.lit(run), F.lit("")))) / len(run)) for t in texts), F.lit(0))
         return sum((F.regexp_count(t, F.lit(f"(?={run})")) for t in texts), F.lit(0))
 
-    x = x.select("id", length.alias("dl"), *[count(p).alias(f"f{j}") for j, p in enumerate(phrases)])
+    x = _once(x, ["id"], [length.alias("dl"), *[count(p).alias(f"f{j}") for j, p in enumerate(phrases)]])
     stats = x.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"f{j}") > 0, 1)).alias(f"n{j}") for j in range(len(phrases))])
     hits = x
     for j in range(len(phrases)):
