@@ -330,8 +330,13 @@ class Page(NamedTuple):
     numbers: set[int]
 
 
-def page_structure(pages: list[str | None]) -> list[Page]:
-    """Running lines and page numbers of each page of a record."""
+def page_structure(pages: list[str | None], unpaged: bool = False) -> list[Page]:
+    """Running lines and page numbers of each page of a record.
+
+    If unpaged, pages are the blocks between the blank lines of a text whose page ends are not known. Page
+    ends are among its blank lines, so running lines are found as on pages. Numbers count on in order of
+    place instead of page by page, and one that does not count is bare only at the ends of the text.
+    """
     cut = [(p or "").split("\n") for p in pages]
     edges: list[list[tuple[int, str]]] = []
     for lines in cut:
@@ -352,9 +357,18 @@ def page_structure(pages: list[str | None]) -> list[Page]:
                 seen.setdefault(where + key, set()).add(k)
     often = {key for key, at in seen.items() if len(at) >= 3}
     steps: Counter = Counter()
-    for (k, i), (_, value, _) in numbered.items():
+    placed: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for (k, i), (rest, value, _) in numbered.items():
         if value is not None:
             steps[value - k] += 1
+            placed.setdefault((_fold(rest), value), []).append((k, i))
+
+    def counts_on(k: int, i: int, rest: str, value: int | None) -> bool:
+        if value is None or not unpaged:
+            return value is not None and steps[value - k] >= 2
+        key = _fold(rest)
+        return any(at < (k, i) for at in placed.get((key, value - 1), ())) or any(at > (k, i) for at in placed.get((key, value + 1), ()))
+
     out = []
     for k, (lines, edge) in enumerate(zip(cut, edges)):
         running, numbers = set(), set()
@@ -370,8 +384,8 @@ def page_structure(pages: list[str | None]) -> list[Page]:
             if found:
                 _, value, marked = found
                 own = not found[0]
-                counted = value is not None and steps[value - k] >= 2
-                bare = own and value is not None and _is_bare(lines, i)
+                counted = counts_on(k, i, found[0], value)
+                bare = own and value is not None and _is_bare(lines, i) and (not unpaged or (k == 0 and where == "top") or (k == len(cut) - 1 and i == edge[-1][0]))
                 if (own and (marked or counted or bare)) or (not own and (counted or is_running) and value is not None):
                     numbers.add(i)
         out.append(Page(lines, running, numbers))
@@ -383,9 +397,18 @@ class Found(NamedTuple):
     paragraphs: list[str]
 
 
-def repair_record(pages: list[str | None], corpus: Corpus) -> list[Found]:
+_BLANK = re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")
+
+
+def repair_text(text: str, corpus: Corpus) -> Found:
+    """The same of a text whose pages are not known, as a whole."""
+    found = repair_record(_BLANK.split(text), corpus, unpaged=True)
+    return Found(set().union(*(f.kinds for f in found)), [p for f in found for p in f.paragraphs])
+
+
+def repair_record(pages: list[str | None], corpus: Corpus, unpaged: bool = False) -> list[Found]:
     """Of each page of a record the kinds of noise on it and its repaired paragraphs."""
-    struct = page_structure(pages)
+    struct = page_structure(pages, unpaged)
     kinds: list[set[str]] = [set() for _ in pages]
     body: list[list[str]] = []
     for k, page in enumerate(struct):
@@ -495,8 +518,8 @@ def _repair(tables_b, kinds_only: bool):
         corpus = Corpus(tables_b.value)
         for batch in batches:
             ids, nos, noise, texts = [], [], [], []
-            for rid, pages in zip(batch.column("id").to_pylist(), batch.column("pages").to_pylist()):
-                for no, found in enumerate(repair_record(pages, corpus), 1):
+            for rid, pages, text in zip(batch.column("id").to_pylist(), batch.column("pages").to_pylist(), batch.column("text").to_pylist()):
+                for no, found in [(None, repair_text(text, corpus))] if text is not None else enumerate(repair_record(pages, corpus), 1):
                     if kinds_only and not found.kinds:
                         continue
                     ids.append(rid)
@@ -509,15 +532,19 @@ def _repair(tables_b, kinds_only: bool):
     return run
 
 
-def repair_pages(df: DataFrame, id_col: str = "ocr_id", pages_col: str = "page_markdowns", kinds_only: bool = False) -> DataFrame:
+def repair_pages(df: DataFrame, id_col: str = "ocr_id", pages_col: str = "page_markdowns", kinds_only: bool = False, text_col: str | None = None) -> DataFrame:
     """``id``, ``page_no`` (from 1), ``noise`` (kinds found) and ``paragraphs`` (repaired) of every page.
 
-    Rows with null or no pages give nothing; a null or empty page gives a page without noise and without
+    A row with null or no pages gives its text_col as one page without a number (page_no null), or nothing
+    where that is null or not named; a null or empty page gives a page without noise and without
     paragraphs. With kinds_only, pages without noise are left out and paragraphs are null. Repeated rows
     come out each. The id can be null. Other columns are not read. The corpus that words are judged by
-    is df itself, all of it; an empty df gives an empty result.
+    is df itself, all that is read of it; an empty df gives an empty result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(pages_col).cast("array<string>").alias("pages")).where(F.size("pages") > 0)
-    tables = df.sparkSession.sparkContext.broadcast(corpus_tables(rows.select("pages")))
+    paged = F.coalesce(F.size("pages") > 0, F.lit(False))
+    text = (F.lit(None) if text_col is None else F.col(text_col)).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), F.col(pages_col).cast("array<string>").alias("pages"), text.alias("text"))
+    rows = rows.withColumn("text", F.when(~paged, F.col("text"))).where(paged | F.col("text").isNotNull())
+    tables = df.sparkSession.sparkContext.broadcast(corpus_tables(rows.select(F.when(paged, F.col("pages")).otherwise(F.array("text")).alias("pages"))))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_repair(tables, kinds_only), f"id {kind}, page_no int, noise array<string>, paragraphs array<string>")

@@ -67,7 +67,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.ocr_noise import repair_pages
 
-    return repair_pages(table(spark, sf_dir, "ocr_results")).select(F.col("id").alias("ocr_id"), "page_no", "noise", "paragraphs")
+    return repair_pages(table(spark, sf_dir, "ocr_results"), text_col="markdown").select(F.col("id").alias("ocr_id"), "page_no", "noise", "paragraphs")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,23 @@ def test_words_cut_at_the_page_end(spark):
     df = spark.createDataFrame([(1, pages), (2, ["It was published."] * 9)], "ocr_id long, page_markdowns array<string>")
     got = {(r["id"], r["page_no"]): r for r in ocr_noise.repair_pages(df).collect()}
     assert "hyphenated" in got[1, 1]["noise"] and "hyphenated" not in got[1, 2]["noise"] and got[1, 1]["paragraphs"] == ["The report was published"]
+
+
+def test_texts_without_pages_are_repaired(spark):
+    body = ["The committee reviewed the plan and the com-", "mittee reviewed the budget of the north.", "The comrnittee reviewed the survey again."]
+    legacy = "\n\n".join(f"Journal of Plans\n{b}\n{i}" for i, b in enumerate(body, 7))
+    rows = [(1, None, legacy), (2, ["The committee reviewed it."] * 200, "not read"), (3, [], None), (4, None, None), (5, [], "The committee."), (6, None, "In a registry.")]
+    df = spark.createDataFrame(rows, "ocr_id long, page_markdowns array<string>, markdown string")
+    got = {(r["id"], r["page_no"]): r for r in ocr_noise.repair_pages(df, text_col="markdown").collect()}
+    assert sorted({k for k in got if k[0] != 2}) == [(1, None), (5, None), (6, None)]
+    assert {k[1] for k in got if k[0] == 2} == set(range(1, 201))
+    assert got[1, None]["noise"] == ["hyphenated", "misread", "page_number", "running"]
+    assert got[1, None]["paragraphs"] == ["The committee reviewed the plan and the committee", "reviewed the budget of the north.", "The committee reviewed the survey again."]
+    assert got[5, None]["paragraphs"] == ["The committee."] and got[6, None]["paragraphs"] == ["In a registry."]
+    assert {r["id"] for r in ocr_noise.repair_pages(df).collect()} == {2}
+
+
+def test_texts_without_pages_count_in_the_corpus(spark):
+    df = spark.createDataFrame([(1, ["The comrnittee met."], None), (2, None, "The committee met. " * 200)], "ocr_id long, page_markdowns array<string>, markdown string")
+    got = {r["id"]: r["paragraphs"] for r in ocr_noise.repair_pages(df, text_col="markdown").collect()}
+    assert got[1] == ["The committee met."]
