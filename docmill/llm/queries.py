@@ -23,7 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.markup import clean_documents
 
-    return clean_documents(table(spark, sf_dir, "chunks")).select("id", "clean_text", "residue_blocks")
+    parts = [
+        clean_documents(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("record_table"), F.col("id").cast("long").alias("record_id"), "clean_text", "residue_blocks")
+        for name, key, text in (("chunks", "id", "text"), ("ocr_results", "ocr_id", "markdown"))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

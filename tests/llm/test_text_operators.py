@@ -45,6 +45,15 @@ def test_markup_on_tables(spark):
     assert markup.residue(df.limit(0)).count() == 0
 
 
+def test_clean_text_of_both_tables(spark, tmp_path):
+    from docmill.llm.queries import p1_clean
+
+    spark.createDataFrame([(1, "<b>x</b>"), (2, None)], "id long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "# Head\n\n**y**"), (3, "plain"), (4, None)], "ocr_id long, markdown string").write.parquet(f"{tmp_path}/ocr_results.parquet")
+    got = {(r["record_table"], r["record_id"]): (r["clean_text"], r["residue_blocks"]) for r in p1_clean(spark, str(tmp_path)).collect()}
+    assert got == {("chunks", 1): ("x", 1), ("chunks", 2): (None, 0), ("ocr_results", 1): ("Head\n\ny", 2), ("ocr_results", 3): ("plain", 0), ("ocr_results", 4): (None, 0)}
+
+
 def test_long_texts_take_linear_time():
     import time
 
