@@ -10,8 +10,9 @@ from docmill.plans.registry import query
 from docmill.session import table
 
 
-def _rects(spark: SparkSession, sf: str, flag: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag)
+def _rects(spark: SparkSession, sf: str, flag: str | None = None) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    li = li if flag is None else li.where(F.col("l_returnflag") == flag)
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") * 7 % 700).cast("double")
     return li.select(
         (F.col("l_orderkey") % 997).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 2).alias("x1"), (y0 + F.col("l_quantity")).alias("y1")
@@ -19,6 +20,7 @@ def _rects(spark: SparkSession, sf: str, flag: str) -> DataFrame:
 
 
 _R = "SELECT l_orderkey % 997 AS page, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_partkey % 500 AS DOUBLE) + l_quantity * 2 AS x1, CAST(l_suppkey * 7 % 700 AS DOUBLE) + l_quantity AS y1 FROM lineitem WHERE l_returnflag = '{}'"
+_R_ALL = _R.split(" WHERE ")[0]
 
 
 @query(f"WITH a AS ({_R.format('A')}), b AS ({_R.format('R')}) SELECT a.page, a.id, b.id AS other, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS share FROM a JOIN b ON a.page = b.page AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
@@ -36,11 +38,21 @@ def k04_reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.reading_order(_rects(spark, sf, "A").withColumn("width", F.lit(500.0))).select("page", "id", F.col("place").cast("long").alias("place"))
 
 
+@query(f"WITH a AS ({_R_ALL}) SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x0 >= 500 * 0.45 THEN 1 ELSE 0 END, y0, id) AS place FROM a")
+def k04_reading_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.reading_order(_rects(spark, sf).withColumn("width", F.lit(500.0))).select("page", "id", F.col("place").cast("long").alias("place"))
+
+
 @query(f"WITH a AS ({_R.format('A')}) SELECT page, id FROM a WHERE (x1 - x0) * (y1 - y0) >= 0.02 * 350000 / 10 AND x1 - x0 >= 0.12 * 500 AND y1 - y0 >= 0.05 * 70")
 def f01_size_filter(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.size_filter(_rects(spark, sf, "A").withColumns({"width": F.lit(500.0), "height": F.lit(70.0)})).select("page", "id")
 
 
+@query(f"WITH a AS ({_R_ALL}) SELECT page, id FROM a WHERE (x1 - x0) * (y1 - y0) >= 0.02 * 350000 / 10 AND x1 - x0 >= 0.12 * 500 AND y1 - y0 >= 0.05 * 70")
+def f01_size_filter_all(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.size_filter(_rects(spark, sf).withColumns({"width": F.lit(500.0), "height": F.lit(70.0)})).select("page", "id")
+
+
 @query("WITH s AS (SELECT p_brand AS doc, CAST(8 + p_size % 6 AS DOUBLE) AS size, sum(length(p_name)) AS n FROM part GROUP BY 1, 2) SELECT doc, arg_min(size, (-n, size)) AS size FROM s GROUP BY doc")
 def a04_body_size(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.body_size(table(spark, sf, "part").select(F.col("p_brand").alias("doc"), (F.lit(8) + F.col("p_size") % 6).cast("double").alias("size"), F.col("p_name").alias("key")))
@@ -74,7 +86,7 @@ def f02_visible(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g02_merged_rects(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.merge_by_page(_rects(spark, sf, "A"))
+    return geometry.merge_by_page(_rects(spark, sf))
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:

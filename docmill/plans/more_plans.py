@@ -97,6 +97,12 @@ def j15_heading_style(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.heading_style(heads, only, s.select("doc").distinct().withColumn("size", F.lit(8.0))).select("doc", "key", "size")
 
 
+@query()
+def j15_heading_style_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = geometry.span_lines(_spans(spark, sf))
+    return geometry.heading_style(s.where("key <> ''").select("doc", "key"), s, s.select("doc").distinct().withColumn("size", F.lit(8.0))).select("doc", "key", "size")
+
+
 @query("WITH p AS (SELECT ocr_id AS doc, generate_subscripts(page_markdowns, 1) AS page_no, unnest(page_markdowns) AS t FROM ocr_results) SELECT doc, count(*) AS pages, count(*) FILTER (WHERE coalesce(regexp_replace(t, '\\s', '', 'g'), '') = '') AS empty_pages FROM p GROUP BY doc")
 def e10_page_split(spark: SparkSession, sf: str) -> DataFrame:
     p = lines.pages(table(spark, sf, "ocr_results"), "ocr_id", "page_markdowns")

@@ -358,3 +358,36 @@ def test_empty_inputs(spark):
     assert chunking.chunk_documents(none).count() == 0
     assert evaluate.tables(lines.explode_lines(none)).count() == 0
     assert repair.find_loops(none, "doc", "markdown").count() == 0
+
+
+def test_heading_style_of_all_lines_equals_brute_force(spark, tmp_path):
+    import random
+
+    from docmill.plans.more_plans import _spans, j15_heading_style_all
+
+    rng = random.Random(3)
+    words = ["ab", "abab", "part", "partlist", "partlistab", "listab", "hot plate"]
+    parts = [(i, f"Brand#{i % 4}", rng.choice(words), rng.randrange(1, 50)) for i in rng.sample(range(1, 400), 200)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["doc"], r["key"]): r["size"] for r in j15_heading_style_all(spark, str(tmp_path)).collect()}
+    by_doc = {}
+    for r in geometry.span_lines(_spans(spark, str(tmp_path))).orderBy("page_no", "line_no").collect():
+        by_doc.setdefault(r["doc"], []).append(r)
+    want, joined = {}, 0
+    for doc, lines_ in by_doc.items():
+        for head in {x["key"] for x in lines_}:
+            for i, x in enumerate(lines_):
+                runs = ["".join(y["key"] for y in lines_[i : i + n]) for n in range(1, 5) if i + n <= len(lines_)]
+                if (head in runs or len(head) >= 8 and x["key"].startswith(head)) and (x["size"] > 8 or x["bold"] and x["size"] >= 8):
+                    want[doc, head] = max(want.get((doc, head), 0), x["size"])
+                    joined += head in runs[1:]
+    assert joined and {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_rectangles_of_all_rows_are_read(spark, tmp_path):
+    from docmill.plans import chart_plans
+
+    rows_ = [(1, 1, 5, 1, 30.0, "A"), (1, 2, 300, 1, 30.0, "N"), (2, 1, 300, 50, 30.0, "R")]
+    spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert chart_plans.g02_merged_rects(spark, str(tmp_path)).count() == 3
+    assert chart_plans.k04_reading_order_all(spark, str(tmp_path)).count() == 3
