@@ -45,9 +45,11 @@ SHIFT = np.uint64(64 - 24)
 MATCHES = 4
 #: Entries of one index list that one cell takes.
 HOT = 4096
-#: Classes of equal records up to this size are written out as all their pairs; larger ones as links
-#: from each member to the class representative, which lose no link between different texts.
+#: Records with identical text up to this number are written out as all their pairs; more of them as
+#: links to the one with the smallest id, which carries their links to other texts.
 WRITE_OUT = 64
+#: Records of one class that are paired at once with those of another, or with its own.
+CELL = 256
 
 
 class _WordHash(dict):
@@ -106,26 +108,28 @@ def shingle_sets(texts: list, k: int, cache: dict) -> list[np.ndarray]:
 
 
 def _classes(k: int):
-    """Of each record its class key; at the end of a task, its table of counters in slices."""
+    """Of each record its class key and text key; at the end of a task, its table of counters in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHash()
         cells = np.zeros(CELLS, np.uint32)
-        names = ["id", "class_key", "part", "counts"]
+        names = ["id", "class_key", "text_key", "part", "counts"]
         seen = False
         for batch in batches:
             seen = True
-            sets = shingle_sets(batch.column("text").to_pylist(), k, cache)
-            keep = [(i, s) for i, s in zip(batch.column("id").to_pylist(), sets) if i is not None and len(s)]
+            texts = batch.column("text").to_pylist()
+            sets = shingle_sets(texts, k, cache)
+            keep = [(i, s, x) for i, s, x in zip(batch.column("id").to_pylist(), sets, texts) if i is not None and len(s)]
             if keep:
-                np.add.at(cells, (np.concatenate([s for _, s in keep]) >> SHIFT).astype(np.int64), np.uint32(1))
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for _, s in keep]
+                np.add.at(cells, (np.concatenate([s for _, s, _ in keep]) >> SHIFT).astype(np.int64), np.uint32(1))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for _, s, _ in keep]
+            same = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for _, _, x in keep], np.uint64).view(np.int64)
             none = pa.nulls(len(keep))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in keep], pa.int64()), pa.array(keys, pa.binary()), pa.array(same), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if seen:
             parts = _slices(cells)
             none = pa.nulls(len(parts))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -344,8 +348,9 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the near-duplicates in df.
 
-    members: ``id``, ``class_id``; one row per record with at least one word. Records with equal sets
-    of word runs share a class, named by its smallest id.
+    members: ``id``, ``class_id``, ``text_key``; one row per record with at least one word. Records with
+    equal sets of word runs share a class, named by its smallest id; those of them with identical text share
+    a text_key.
     links: ``a``, ``b``, ``similarity``; one row per pair of classes whose Jaccard similarity reaches
     the threshold, a < b.
 
@@ -354,12 +359,12 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    first = materialize(src.mapInArrow(_classes(k), "id long, class_key binary, part int, counts binary"), "near-dup-classes")
-    keys = first.where("part is null").select("id", "class_key")
+    first = materialize(src.mapInArrow(_classes(k), "id long, class_key binary, text_key long, part int, counts binary"), "near-dup-classes")
+    keys = first.where("part is null").select("id", "class_key", "text_key")
     n = keys.count()
     reps = keys.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
     reps = materialize(reps, "near-dup-reps")
-    members = keys.join(reps, "class_key").select("id", "class_id").distinct()
+    members = keys.join(reps, "class_key").select("id", "class_id", "text_key").distinct()
     rarity = spark.sparkContext.broadcast(_table(first.where("part is not null").select("part", "counts")))
     buckets = max(shuffle_partitions(spark), -(-n // 4000))
     entries = src.select("text").mapInArrow(_index_entries(rarity, k, threshold, buckets), "bucket int, entries binary")
@@ -401,23 +406,37 @@ def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pairs_written_out(members: DataFrame, links: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``: the pairs of records behind near_duplicates.
 
-    All pairs of different texts between linked classes and within classes of up to WRITE_OUT equal
-    records are written out. A larger class of copies is written as links of its members to its
-    representative, and its links to other classes are carried by the representative.
+    All pairs of different texts, within a class and between linked classes, and all pairs of up to
+    WRITE_OUT records with identical text are written out. More records with identical text are written as
+    links to the one with the smallest id, and their links to other texts are carried by it.
+
+    Large classes are cut into cells of about CELL records, so that no task pairs a whole class.
     """
-    sized = members.groupBy("class_id").agg(F.count("*").alias("size")).where("size > 1")
-    sized = materialize(members.join(sized, "class_id").select("id", "class_id", "size"), "near-dup-copies")
-    small = sized.where(F.col("size") <= WRITE_OUT)
-    inside = small.select(F.col("id").alias("x"), "class_id").join(small.select(F.col("id").alias("y"), "class_id"), "class_id").where("x < y").select("x", "y")
-    to_rep = sized.where(F.col("size") > WRITE_OUT).where("id <> class_id").select(F.col("class_id").alias("x"), F.col("id").alias("y"))
-    few = small.select(F.col("class_id").alias("c"), F.col("id").alias("m"))
-    across = (
-        links.join(few.withColumnsRenamed({"c": "a", "m": "ma"}), "a", "left")
-        .join(few.withColumnsRenamed({"c": "b", "m": "mb"}), "b", "left")
-        .select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
+    sized = members.groupBy("class_id").agg(F.count("*").alias("size")).where("size > 1").select("class_id")
+    sized = materialize(members.join(sized, "class_id").select("id", "class_id", "text_key"), "near-dup-copies")
+    texts = sized.groupBy("class_id", "text_key").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    sized = sized.join(texts, ["class_id", "text_key"])
+    to_first = sized.where((F.col("copies") > WRITE_OUT) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    few = sized.where((F.col("copies") <= WRITE_OUT) | (F.col("id") == F.col("first"))).select(F.col("class_id").alias("c"), F.col("id").alias("m"))
+    parts = materialize(few.groupBy("c").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "near-dup-cells")
+    few = materialize(few.join(parts, "c").select("c", "m", F.pmod(F.xxhash64("m"), "parts").cast("int").alias("cell")), "near-dup-carriers")
+    cells = parts.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"))
+    inside = cells.select(F.col("c").alias("a"), F.col("cell").alias("ca")).join(cells.select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("cell").alias("cb")), "a").where("ca <= cb").select("a", "b", "ca", "cb")
+    between = (
+        links.select("a", "b").join(cells.withColumnsRenamed({"c": "a", "cell": "ca"}), "a", "left").join(cells.withColumnsRenamed({"c": "b", "cell": "cb"}), "b", "left")
+        .select("a", "b", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("cb", F.lit(0)).alias("cb"))
+    )
+    every = (
+        inside.unionByName(between)
+        .join(few.withColumnsRenamed({"c": "a", "m": "ma", "cell": "ca"}), ["a", "ca"], "left")
+        .join(few.withColumnsRenamed({"c": "b", "m": "mb", "cell": "cb"}), ["b", "cb"], "left")
+        .select("a", "b", "ca", "cb", F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
+        # within one cell each pair is met from both sides
+        .where("a <> b or ca <> cb or x < y")
+        .select("x", "y")
+        .unionByName(to_first)
     )
-    every = inside.unionByName(to_rep).unionByName(across)
-    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -82,3 +82,16 @@ def test_empty(spark):
     assert found(spark, [], 3, 0.6) == set()
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     assert found(spark, [(1, long), (2, long + " end"), (3, "w1 w2")], 3, 0.6) == {(1, 2)}
+
+
+@pytest.mark.parametrize("write_out, cell", [(3, 256), (3, 2), (64, 256)])
+def test_different_texts_of_a_class_are_written_out(spark, monkeypatch, write_out, cell):
+    monkeypatch.setattr(near_dup, "WRITE_OUT", write_out)
+    monkeypatch.setattr(near_dup, "CELL", cell)
+    words = [f"w{i}" for i in range(20)]
+    variants = [" ".join(w.upper() if n >> i & 1 else w for i, w in enumerate(words)) for n in range(70)]
+    texts = list(enumerate(variants)) + [(100 + i, x + " more") for i, x in enumerate(variants[:9])]
+    assert found(spark, texts, 3, 0.6) == brute(texts, 3, 0.6)
+    copies = [(200 + i, variants[5]) for i in range(write_out + 3)]
+    got = found(spark, texts + copies, 3, 0.6)
+    assert got == brute(texts, 3, 0.6) | {(5, i) for i, _ in copies}
