@@ -4,7 +4,8 @@
   words are set aside. A person has a surname and given names, anything else a set of words.
 * A symmetric-delete index finds tokens within one edit: every token is filed under itself and under
   itself less one character. Persons are filed under their surname and the initial of the given name;
-  other names under their rarest word, its rarity taken over its neighbourhood in the index.
+  other names under the initials of their words, which abbreviations keep, whatever the number of names;
+  and also under their rarest word, its rarity taken over its neighbourhood in the index.
 * Names that meet there are compared by an optimal assignment of their tokens: equal, one edit apart,
   an abbreviation, or a nickname; initials and acronyms agree with several names, so they are not links
   of their own. They join the one group they fit, and stay apart where they fit two.
@@ -51,6 +52,8 @@ FILLERS = frozenset("the of f and for in on at to a an de la des du der die das
 
 #: Names in a neighbourhood up to which it is compared even if another word of the name is rarer.
 RARE = 64
+#: Names under one key that are compared at once with all others under it.
+CELL = 512
 
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 
@@ -271,6 +274,20 @@ def _person_keys(name: Name) -> set[str]:
     return out
 
 
+def _initial_keys(name: Name) -> set[str]:
+    """Keys of a name that is no person's: of two that assign() links, one word at most is edited and any
+    other is equal or abbreviated, so they share their initials or, edited at one, all others and a form of
+    that word. Acronyms count as the initials they stand for."""
+    letters = sorted([w[0] for w in name.words] + list(name.acronym))
+    out = {"i" + "".join(letters)}
+    for w in name.words:
+        if len(w) >= 4:
+            rest = letters.copy()
+            rest.remove(w[0])
+            out |= {f"j{''.join(rest)}|{x}" for x in (w, w[1:], w[0] + w[2:])}
+    return out
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index keys of each name; those of names other than persons with the word they come from."""
     for batch in batches:
@@ -278,7 +295,7 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node in batch.column("node").to_pylist():
             field, text = node.split("\x01", 1)
             name = parse_name(text, field == "creators")
-            entries = [("", "p" + k) for k in sorted(_person_keys(name))] if name.person else [(w, "o" + d) for w in dict.fromkeys(name.words) if len(w) > 1 for d in sorted(deletes(w))]
+            entries = [("", "p" + k) for k in sorted(_person_keys(name))] if name.person else [("", k) for k in sorted(_initial_keys(name)) if name.words] + [(w, "o" + d) for w in dict.fromkeys(name.words) if len(w) > 1 for d in sorted(deletes(w))]
             for w, k in entries:
                 nodes.append(node)
                 words.append(w)
@@ -329,7 +346,12 @@ def link_names(names: DataFrame) -> DataFrame:
     rarest = rarest.unionByName(words.where(F.col("size") <= RARE).select("node", "word")).distinct()
     index = filed.where("word = ''").select("node", "key").unionByName(filed.join(rarest, ["node", "word"]).select("node", "key"))
     index = materialize(index, "name-keys")
-    pairs = index.withColumnRenamed("node", "a").join(index.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+    # a key of many names is cut into cells of the one side, each of which meets all of the other
+    parts = index.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("key", "parts")
+    cut = materialize(index.join(parts, "key"), "name-cells")
+    left = cut.select("key", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("cell"))
+    right = cut.select("key", F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"))
+    pairs = left.join(right, ["key", "cell"]).where("a < b").select("a", "b").distinct()
     rel = materialize(pairs.mapInArrow(_compare, "a string, b string, kind int"), "name-relations")
     comp = components(rel.where("kind = 1").select("a", "b"))
     group = nodes.join(comp.withColumnsRenamed({"component": "group"}), "node", "left").select("node", F.coalesce("group", "node").alias("group"))

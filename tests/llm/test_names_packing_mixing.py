@@ -40,6 +40,26 @@ def test_publications(spark):
     assert link_names(names_of(z.limit(0))).count() == 0
 
 
+def test_abbreviations_are_linked_among_many_names(spark, monkeypatch):
+    monkeypatch.setattr(names, "CELL", 16)
+    rng = random.Random(8)
+    made = ["".join(rng.choice("bcdfghklmnprst") for _ in range(9)) for _ in range(140)]
+    crowd = [f"International Centre for Evidence Assessment of {w}" for w in made[:70]] + [f"{w} Institute Northby" for w in made[70:]]
+    one = ["International Centre for Evidence Assessment of Northby", "Int. Ctr. Evidence Assess., Northby", "Int. Ctr. Evid. Assess., Morthby"]
+    got = {(r["name_a"], r["name_b"]) for r in name_pairs(link_names(spark.createDataFrame([("publication", n) for n in crowd + one], "field_name string, name string"))).collect()}
+    assert got == {tuple(sorted((a, b))) for i, a in enumerate(one) for b in one[i + 1 :]}
+
+
+def test_linked_names_share_an_initial_key():
+    rng, pool, linked = random.Random(5), ["evidence", "evid", "vidence", "centre", "ctr", "cnetre", "ecntre", "risk", "rsk", "research", "res", "eresearch", "northby", "morthby", "onrthby"], 0
+    for _ in range(20_000):
+        x, y = (names.Name(False, (), tuple(rng.choice(pool) for _ in range(n)), "", 2) for n in (2, 2))
+        if names.relate(x, y) == names.LINK:
+            linked += x.words != y.words
+            assert names._initial_keys(x) & names._initial_keys(y)
+    assert linked > 100
+
+
 def test_assignment_and_edits():
     assert names.assign(("risk", "systems"), ("syst", "risk")) == pytest.approx(0.1)
     assert names.assign(("a", "b"), ("a",)) is None and names.assign(("risk",), ("text",)) is None
