@@ -248,7 +248,8 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k:
     firsts_n = heads.where("rank = 1").count()
     if firsts_n == 0:
         return spark.createDataFrame([], "id long, neighbor long, similarity double")
-    one = rows.dropDuplicates(["id"]).join(firsts, "id", "left_semi") if copies else rows
+    once = rows.dropDuplicates(["id"])
+    one = once.join(firsts, "id", "left_semi") if copies else once
     share = min(1.0, SAMPLE / firsts_n)
     sample = one.where((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))) < share).select("v").limit(SAMPLE + SAMPLE // 8)
     got = np.array([r[0] for r in sample.toLocalIterator()], np.float64).reshape(-1, dim)

@@ -65,3 +65,11 @@ def test_many_copies_give_the_smallest_ids(spark):
 def test_empty_and_repeated_rows(spark):
     assert nearest(frame(spark, []), dim=4).count() == 0
     assert nearest(frame(spark, [(1, [1, 0, 0, 0]), (1, [1, 0, 0, 0])]), dim=4).count() == 0
+
+
+def test_repeated_rows_without_copies_count_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12, 64)) + 3)]
+    df = spark.createDataFrame([r for r in rows for _ in range(6)], "id long, embedding array<float>")
+    got = nearest(df).groupBy("id").count().collect()
+    assert {(r["id"], r["count"]) for r in got} == {(i, 5) for i in range(12)}
