@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts without a match have no construct at all; a superset of the patterns below, in Java's dialect.
-SUSPECT = r"(?m)[<&*_`{}\\|=~$^#]|-->|\]\(|\]\[|\[\[|\]\]|\[\^|''|!\[|^[ \t]{0,3}(?:[-+>][ \t>]|-{3,}[ \t]*$)"
+SUSPECT = r"(?m)[<&*_`{}\\|=~$^#]|-->|\]\(|\]\[|\[\[|\]\]|\[\^|''|!\[|^[ \t]*(?:[-+][ \t]|>|:?-{3,})|^::|^![^\n]*!!|^\[[^\]\n]+\]:"
 
 FAMILIES = ("html", "markdown", "wiki", "latex", "list")
 _TAGS = (

@@ -45,6 +45,13 @@ def test_markup_on_tables(spark):
     assert markup.residue(df.limit(0)).count() == 0
 
 
+def test_every_construct_is_suspect(spark):
+    texts = [">text", "[x]: url", "::text", "! a !! b", "      - a\n      - b", "\t\t+ a\n\t\t+ b", "a\n\n     :---\nb", "* a\n* b", "<b>x</b>"]
+    assert all(any(p.search(t) for p in markup.CONSTRUCTS.values()) for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert df.where(markup.suspect(df["text"])).count() == len(texts)
+
+
 def test_clean_text_of_both_tables(spark, tmp_path):
     from docmill.llm.queries import p1_clean
 
