@@ -131,8 +131,8 @@ PROSE = "The committee reviewed the report in March, and its findings were publi
      PROSE + "\n" + "\n".join(f"https://host{i}.example/a/b{i}" for i in range(40)), "\n".join(f"Old rankings in town {i}: https://h{i}.example/x" for i in range(9)), "sale desk lamp 45,31 EUR price hair dryer 51,17 USD " * 6],
 )
 def test_spam(text):
-    n, coverage, missing, _ = spam.page_features(text)
-    assert n and missing + spam.COVERAGE_WEIGHT * coverage >= spam.SPAM
+    n, *features = spam.page_features(text)
+    assert n and spam.spam_score(features)[0] >= 0.5
 
 
 @pytest.mark.parametrize(
@@ -141,24 +141,47 @@ def test_spam(text):
      PROSE + "\n".join(f"Town{i}\t{i}\t1.{i}\tThe value was noted." for i in range(30)), PROSE + "\n".join(f"host{i}.example was contacted {i} times; first seen in March 2020." for i in range(20)), "", None, "..."],
 )
 def test_genuine(text):
-    n, coverage, missing, _ = spam.page_features(text)
-    assert not n or missing + spam.COVERAGE_WEIGHT * coverage < spam.SPAM
+    n, *features = spam.page_features(text)
+    assert not n or spam.spam_score(features)[0] < 0.5
 
 
-def test_repeats_equal_brute_force():
+def test_runs_and_coverage_equal_brute_force():
     rng = random.Random(2)
     for _ in range(60):
-        words = [rng.choice("abcd") for _ in range(rng.randrange(0, 40))]
-        chars = [rng.randrange(1, 5) for _ in words]
-        seen = [False] * len(words)
+        words = [rng.choice(["aa", "bb", "the", "dd"]) for _ in range(rng.randrange(0, 40))]
+        want, seen = [], [False] * (4 * len(words))
         for i in range(len(words)):
-            for n in range(i + 1, 0, -1):  # longest run ending at i that ended before
-                run = words[i - n + 1 : i + 1]
-                if any(words[j - n + 1 : j + 1] == run for j in range(n - 1, i)):
-                    for j in range(i - n + 1, i + 1):
-                        seen[j] = True
-                    break
-        assert spam.repeats(words, chars) == sum(c for c, s in zip(chars, seen) if s)
+            n = next((n for n in range(i + 1, 0, -1) if any(words[j - n + 1 : j + 1] == words[i - n + 1 : i + 1] for j in range(n - 1, i))), 0)
+            want.append(n)
+            if any(w != "the" for w in words[i - n + 1 : i + 1]) and n:
+                for at in range(spans(words)[i - n + 1][0], spans(words)[i][1]):
+                    seen[at] = True
+        assert spam.repeated_runs(words) == want
+        assert spam.covered(words, spans(words)) == sum(seen)
+
+
+def spans(words):
+    out, at = [], 0
+    for w in words:
+        out.append((at, at + len(w)))
+        at += len(w) + 1
+    return out[: len(words)]
+
+
+def test_each_measure_decides_some_labelled_pages():
+    import numpy as np
+
+    rows = spam.labelled_pages()
+    x, y = np.array([spam.page_features(t)[1:] for t, _ in rows]), np.array([label for _, label in rows])
+    wrong = [int(((spam.spam_score(x, without) >= 0.5) != y).sum()) for without in (-1, 0, 1)]
+    assert wrong[0] <= 0.05 * len(y) and wrong[1] > wrong[0] and wrong[2] > wrong[0]
+    assert spam.labelled_pages() == rows
+
+
+def test_long_segments_and_capitals_that_grow():
+    sentence = "the committee reviewed " + " ".join(f"item{i} of part{i} and" for i in range(200)) + " the rest"
+    assert spam.page_features(sentence)[2] == 0.0
+    assert spam.page_features("\u0130 " + PROSE)[0] > 10
 
 
 def test_spam_on_tables(spark):
