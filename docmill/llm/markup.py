@@ -2,9 +2,12 @@
 
 A text is cut into flat blocks (runs of lines between blank lines; headings, fences and environments
 stand alone). Each block has shallow features: its word count and link density and those of its two
-neighbours, and how many constructs of each kind of markup it shows. A decision tree, trained on the
-small labelled table below, tells blocks with markup residue from plain ones, in which the same
-characters only look like it. Blocks with residue are converted; plain blocks pass unchanged.
+neighbours, and how many marks of each kind it shows. Marks of some kinds are markup wherever they stand
+(tags, entities, commands, ...); others only begin like markup: a line after ``#``, ``>``, ``=`` or a list
+dash, a span between dollars. A decision tree, trained on the labelled blocks that labelled_documents()
+writes out, tells blocks with markup residue from plain ones: it is the shape of a block and its neighbours
+that tells a heading from a numbered remark, a quotation from a threshold, a list from a dash. Blocks with
+residue are converted; plain blocks pass unchanged.
 
 In the clean text a heading is a line of its own, a list item begins with a bullet, code is indented by
 four spaces, a formula stands as its source without delimiters, and table cells are parted by tabs.
@@ -13,6 +16,7 @@ four spaces, a formula stands as its source without delimiters, and table cells
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,29 +29,42 @@ from pyspark.sql import functions as F
 #: Texts without a match have no construct at all; a superset of the patterns below, in Java's dialect.
 SUSPECT = r"(?m)[<&*_`{}\\|=~$^#]|-->|\]\(|\]\[|\[\[|\]\]|\[\^|''|!\[|^[ \t]*(?:[-+][ \t]|>|:?-{3,})|^::|^![^\n]*!!|^\[[^\]\n]+\]:"
 
-FAMILIES = ("html", "markdown", "wiki", "latex", "list")
+#: Kinds of marks that are markup wherever they stand, and of marks that can be something else.
+SURE = ("html", "markdown", "wiki", "latex")
+MAYBE = ("heading", "quote", "item", "dash", "dollar", "target")
+FAMILIES = SURE + MAYBE
 _TAGS = (
     "a|abbr|acronym|address|article|aside|b|base|big|blockquote|body|br|button|caption|center|cite|code|col|colgroup|dd|del|details|dfn|div|dl|dt|em|"
     "fieldset|figcaption|figure|font|footer|form|frame|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|math|meta|nav|nowiki|noinclude|"
     "ol|option|p|param|pre|q|ref|references|s|samp|script|section|select|small|source|span|strike|strong|style|sub|summary|sup|svg|table|tbody|td|textarea|tfoot|th|"
     "thead|time|title|tr|tt|u|ul|var|video|wbr|includeonly|gallery|syntaxhighlight|poem"
 )
-#: Constructs, whole or damaged.
+#: Marks, whole or damaged, by kind. Spans have no longest length; what a span may hold ends each search.
 CONSTRUCTS = {
     "html": re.compile(
-        rf"</?(?:{_TAGS})(?:\s[^<>]{{0,300}})?/?>|</?(?:{_TAGS})(?=\s+[a-z-]+\s*=)|<!--|-->|<!DOCTYPE|<!\[CDATA\[|</[A-Za-z]|&(?:\#\d{{2,7}}|\#[xX][0-9a-fA-F]{{2,6}}|[A-Za-z]{{2,8}}\d?);|&(?:nbsp|amp|quot|lt|gt|mdash|ndash)\b",
+        rf"</?(?:{_TAGS})(?:\s[^<>]*+)?/?>|</?(?:{_TAGS})(?=\s+[a-z-]+\s*=)|<!--|-->|<!DOCTYPE|<!\[CDATA\[|</[A-Za-z]|&(?:\#\d{{2,7}}|\#[xX][0-9a-fA-F]{{2,6}}|[A-Za-z]{{2,8}}\d?);|&(?:nbsp|amp|quot|lt|gt|mdash|ndash)\b",
         re.I | re.M,
     ),
     "markdown": re.compile(
-        r"^[ ]{0,3}\#{1,6}[ \t]+\S|(?<=\S)[ \t]*\n(?:={3,}|-{3,})[ \t]*$|^[ \t]*(?:```|~~~)|`[^`\n]+`|\w`|`\w|\*{2,3}(?=[^\s*])|(?<=[^\s*])\*{2,3}|(?<![\w*\\])\*(?=[^\W_])[^*\n]{1,120}?(?<=[\w.,;:!?)])\*(?![\w*])|(?<=\s)\*[=<>/+-]{1,3}\*(?=\s)|"
-        r"(?<![\w_])_{1,3}(?=[^\W_])[^_\n]{1,120}?(?<=[\w.,;:!?)])_{1,3}(?![\w_])|(?<![\w_])__(?=\w)|~~|!\[|\]\(|\]\[[^\]\n]*\]|\[\^[\w-]+\]|^\[[^\]\n]+\]:[ \t]|^[ ]{0,3}\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$|^\|[^\n]*\|[ \t]*$|"
-        r"(?:\A|(?<=\n\n))[ ]{0,3}>[ \t>]*\S|^[ ]{0,3}(?:\*[ ]?){3,}$|<(?:https?|ftp|mailto):[^<>\s]+>|\\[*_`\#\[\]]",
+        r"(?<=\S)[ \t]*\n(?:={3,}|-{3,})[ \t]*$|^[ \t]*(?:```|~~~)|`[^`\n]+`|\w`|`\w|\*{2,3}(?=[^\s*])|(?<=[^\s*])\*{2,3}|(?<![\w*\\])\*(?=[^\W_])[^*\n]++(?<=[\w.,;:!?)])\*(?![\w*])|(?<=\s)\*[=<>/+-]{1,3}\*(?=\s)|"
+        r"(?<![\w_])_{1,3}(?=[^\W_])[^_\n]++(?<=[\w.,;:!?)])_{1,3}(?![\w_])|(?<![\w_])__(?=\w)|~~|!\[|\]\(|\]\[[^\]\n]*\]|\[\^[\w-]+\]|^[ ]{0,3}\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$|^\|[^\n]*\|[ \t]*$|"
+        r"^[ ]{0,3}(?:\*[ ]?){3,}$|<(?:https?|ftp|mailto):[^<>\s]+>|\\[*_`\#\[\]]",
         re.M,
     ),
-    "wiki": re.compile(r"\[\[|\]\]|\{\{(?!\{)|\}\}|(?<!')'{2,5}(?!')|^(={1,6})[ ]?[^=\n]+?[ ]?\1[ \t]*$|(?:\A|(?<=\n\n))={2,6}[ ]\w|^\{\||^\|[-}+]|^![^\n]*!!|__[A-Z]{3,}__|^[*\#:]{2,}[ ]?\S", re.M),
-    "latex": re.compile(r"(?<![\w:\\])\\[a-zA-Z]{2,}|\\[a-zA-Z]{2,}\*?[{\[]|\\[(\[\])]|\\[%&\#_{}$~^\"'`]|\\\\|\$\$|\$[^$\n]{0,200}?[\\^_{}][^$\n]{0,200}?\$|\$(?=[A-Za-z]\w{0,3}\$)|[_^]\{|~(?=\\)|^\s*%[ ]?\\"),
-    #: A Markdown list: two or more neighbouring lines with the same ASCII marker.
-    "list": re.compile(r"^[ \t]*([-*+])[ \t]+\S[^\n]*\n(?:[ \t]+[^\n]*\n)?[ \t]*\1[ \t]+\S", re.M),
+    "wiki": re.compile(r"\[\[|\]\]|\{\{(?!\{)|\}\}|(?<!')'{2,5}(?!')|^(={1,6})[ ]?[^=\n]+?[ ]?\1[ \t]*$|^\{\||^\|[-}+]|^![^\n]*!!|__[A-Z]{3,}__|^(?!\#+[ \t])[*\#:]{2,}[ ]?\S", re.M),
+    "latex": re.compile(r"(?<![\w:\\])\\[a-zA-Z]{2,}|\\[a-zA-Z]{2,}\*?[{\[]|\\[(\[\])]|\\[%&\#_{}$~^\"'`]|\\\\|\$\$|\$(?=\S)[^$\n]*?[\\^_{}][^$\n]*+(?<=\S)\$(?!\d)|[_^]\{|~(?=\\)|^\s*%[ ]?\\"),
+    #: Lines that begin as a heading of Markdown or of a wiki (its end can be lost).
+    "heading": re.compile(r"^[ ]{0,3}\#{1,6}[ \t]+\S|(?:\A|(?<=\n\n))={2,6}[ ]\w", re.M),
+    #: A block that begins as a quotation.
+    "quote": re.compile(r"\A[ ]{0,3}>[ \t>]*\S"),
+    #: Lines that begin as an item of a Markdown list; a second one with the same mark must follow.
+    "item": re.compile(r"^[ \t]*([-*+])[ \t]+\S(?=[^\n]*\n(?:[ \t]+[^\n]*\n)?[ \t]*\1[ \t]+\S)", re.M),
+    #: A block without such lines that begins as an item; in a list with blank lines its neighbours do too.
+    "dash": re.compile(r"\A[ \t]*[-*+][ \t]+\S"),
+    #: A span between dollars without a sign of a formula.
+    "dollar": re.compile(r"(?<![\w$\\])\$(?=[^\s$])[^$\n\\^_{}]*+(?<=\S)\$(?![\w$])", re.M),
+    #: The target of a link, or an entry of a bibliography.
+    "target": re.compile(r"^\[[^\]\n]+\]:[ \t]", re.M),
 }
 _LINK = re.compile(r"\[\[[^\]\n]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|<a\b[^>]*>.*?</a>|(?:https?://|www\.)\S+", re.I | re.S)
 _PAGE_NO = re.compile(r"^[ \t]*[-*–—][ \t]*\d{1,4}[ \t]*[-*–—][ \t]*$", re.M)
@@ -72,7 +89,7 @@ def blocks(text: str) -> list[str]:
 
 
 def block_features(parts: list[str]) -> np.ndarray:
-    """(blocks, 12): words, link density, both of the previous and the next block, constructs by family and in all."""
+    """(blocks, 16): words, link density, both of the previous and of the next block, marks by kind."""
     base = np.zeros((len(parts) + 2, 2))
     marks = np.zeros((len(parts), len(FAMILIES)))
     for i, part in enumerate(parts):
@@ -83,61 +100,102 @@ def block_features(parts: list[str]) -> np.ndarray:
             part = _PAGE_NO.sub("", part)
             for j, family in enumerate(FAMILIES):
                 marks[i, j] = sum(1 for _ in CONSTRUCTS[family].finditer(part))
-    return np.hstack([base[1:-1], base[:-2], base[2:], marks, marks.sum(1, keepdims=True)])
-
-
-#: Labelled blocks: 1 with markup residue, 0 plain. The neighbours of a block are the rows around it.
-LABELLED = [
-    (0, "The survey covers nine towns. Each was visited twice, in spring and in autumn."),
-    (1, "## Results of the second visit"),
-    (0, "Costs fell from $40 to $12 a month, while shipping adds $3."),
-    (1, "The <b>second</b> visit was shorter than the first."),
-    (0, "The field is 5 * 7 * 2 metres, and a > b holds in most rows."),
-    (1, "See [the annex](https://annex.example/a) for the full list."),
-    (0, "Test a == b fails for item #7, while c != d passes."),
-    (1, "The ''northern'' route was closed in winter."),
-    (0, "Results with p < 0.01 and n > 40 were kept."),
-    (1, "\\section{Northern route}"),
-    (0, "We wrote x_i = 3 in the margin / by hand."),
-    (1, "$x_{3} = \\beta + z^{2}$ was fitted to all rows."),
-    (0, "Logs go to job_log_v2 and cache_dir_tmp on the R&D drive."),
-    (1, "* first finding\n* second finding\n* third finding"),
-    (0, "• first finding\n• second finding"),
-    (1, "| town | visits |\n|---|---|\n| North | 4 |"),
-    (0, "North\t4\t8.1\nSouth\t6\t7.7"),
-    (1, "{{Infobox town\n| name = North\n}}"),
-    (0, "The set {one, two, three} has eight subsets."),
-    (1, "[[North route]] was opened in 1950."),
-    (0, "About ~12% of rows; error <= 3, gain >= 2."),
-    (1, "It was **closed again a year later."),
-    (0, "Earlier work [3], [4] and [12] found the same."),
-    (1, "Prices rose&nbsp;&mdash; as expected &mdash; in May."),
-    (0, "2.3 Visits in the north"),
-    (1, "=== Visits in the south ==="),
-    (0, "https://north.example/list www.south.example"),
-    (1, "> The route was closed.\n> It stayed so for years."),
-    (0, "12"),
-    (1, "```\nfor x in rows:\n    use(x)\n```"),
-    (0, "for x in rows use it once"),
-    (1, "Open questions\n--------------"),
-    (0, "- 4 -"),
-    (1, "<li>first</li>\n<li>second</li>"),
-    (0, "C:\\data and /srv/data hold the copies."),
-    (1, "A value\\footnote{as measured} was noted."),
-    (0, "page 3 of 9"),
-    (1, "<!-- draft -->\n<div>The text follows."),
-    (0, "Mr. Gray's and Ms. O'Neill's notes were read."),
-    (1, "- one remark\n- another remark"),
-    (0, "One remark. Another remark."),
-    (1, "+ one remark\n+ another remark"),
-]
+    marks[marks[:, FAMILIES.index("item")] > 0, FAMILIES.index("dash")] = 0
+    return np.hstack([base[1:-1], base[:-2], base[2:], marks])
+
+
+#: Names of the features, in order.
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", *FAMILIES)
+
+
+# --- labelled blocks ----------------------------------------------------------------------------
+
+#: Labelled documents; the bound of the table the tree is fitted on (about six blocks each).
+LABELLED = 500
+_NOUNS = "survey town route harvest archive bridge statute library orchard canal census glacier harbour market quarry railway school theatre valley windmill".split()
+_VERBS = "closed measured visited repaired counted described moved opened painted planned rebuilt replaced studied surveyed".split()
+_TAILS = ["in the spring of that year", "because no record was kept", "although the council disagreed", "before the second visit", "without a known reason", "as the older maps show", "for the first time", "and nobody asked why"]
+
+
+def labelled_documents() -> list[list[tuple[str, int]]]:
+    """Documents as (block, label) lists, label 1 with markup residue; written out by rules, always the same."""
+    rng = random.Random(11)
+    pick = rng.choice
+
+    def word() -> str:
+        return pick(_NOUNS)
+
+    def sentence() -> str:
+        return f"The {word()} of the {pick('north south east west'.split())}ern {word()} was {pick(_VERBS)} {pick(_TAILS)}."
+
+    def prose(n: int = 0) -> str:
+        return " ".join(sentence() for _ in range(n or rng.randrange(1, 6)))
+
+    def title() -> str:
+        return f"{word().capitalize()} and {word()}" if rng.random() < 0.6 else f"The {word()} {pick(_TAILS)}"
+
+    def with_markup() -> str:
+        k, w = rng.randrange(40), word()
+        lines = rng.randrange(2, 6)
+        one = [
+            f"The <b>{w}</b> was {pick(_VERBS)}.", f"<p>{prose()}</p>", f"<div class=\"x\">{sentence()}", f"{sentence()}</div>", f"{w.capitalize()}&nbsp;&mdash; {sentence()}", f"<!-- {w} -->", f"{sentence()}<br/>{sentence()}", f"<a href=\"/x\">{w}</a> {sentence()}",
+            f"See [the {w}](https://{w}.example/a) for more.", f"![{w}](img/{w}.png)", f"The **{w}** was {pick(_VERBS)}.", f"It was **{w} again {pick(_TAILS)}.", f"A `{w}` was seen.", f"```\nfor x in {w}:\n    use(x)\n```", f"| {w} | n |\n|---|---|\n| a | {k} |", f"It was *{sentence()[:-1]}* then.", f"{title()}\n{pick('=-') * rng.randrange(5, 20)}", f"As noted[^1], {sentence()}",
+            f"[[{w}]] {sentence()}", f"''{w}'' was {pick(_VERBS)}.", "{{Infobox\n| name = " + w + "\n}}", "{{cite|" + w + "}} " + sentence(), f"== {title()} ==", f"{{| class=x\n|-\n| {w}\n|}}",
+            f"\\section{{{title()}}}", f"A {w}\\footnote{{{sentence()}}} was seen.", f"$x_{{{k}}} = \\beta + z^{{2}}$ {sentence()}", f"\\begin{{itemize}}\n\\item {w}\n\\end{{itemize}}", f"See \\ref{{{w}}} and {k}\\% of it.", f"$$ a^2 + b^2 $$", f"over~\\cite{{{w}}} {sentence()}",
+        ]
+        if k < len(one):  # marks inside a line stand in blocks of any length, as plain text does
+            inside = "\n" not in one[k] and one[k][0] not in "|=#!"
+            return prose() + " " + one[k] + " " + prose() if inside and rng.random() < 0.6 else one[k]
+        if k == 33:
+            return "\n".join(f"[{pick((w, str(rng.randrange(40))))}]: https://{word()}.example/{word()}" for _ in range(rng.randrange(1, 4)))
+        if k < 34:
+            return "#" * rng.randrange(1, 5) + " " + title()
+        if k < 36:
+            return "\n".join("> " + pick((sentence(), f"{w} {word()}", word())) for _ in range(rng.randrange(2, 4)))
+        if k < 39:
+            mark = pick("-*+")
+            return "\n".join(f"{mark} {pick((word() + ' ' + word(), sentence()))}" for _ in range(lines))
+        return f"Let ${pick('abknxy')}$ be the {w} of all."
+
+    def plain() -> str:
+        k, w = rng.randrange(36), word()
+        lines = rng.randrange(1, 5)
+        alike = [
+            f"Costs fell from ${k + 20} to ${k} a month, while {w} adds $3.", f"The field is 5 * {k} * 2 metres, and a > b holds.", f"Test a == b fails for {w} #{k}, while c != d passes.", f"Results with p < 0.{k} and n > {k} were kept.", f"We wrote x_i = {k} in the margin.", f"Logs go to {w}_log_v2 and cache_dir_tmp on the R&D drive.",
+            f"• {w}\n• {word()}", f"{w}\t{k}\t8.1\n{word()}\t{k}\t7.7", "The set {one, " + w + ", three} has eight subsets.", f"About ~{k}% of rows; error <= 3, gain >= 2.", f"Earlier work [3], [{k}] and [12] found the same.", f"{k}.3 {title()}", "\n".join(f"https://{word()}.example/list www.{word()}.example" for _ in range(lines)), f"{k}", f"- {k} -", f"C:\\data and /srv/{w} hold the copies.", f"page {k} of 40",
+            # beginnings of markup whose shape tells that they are none
+            f"# {k} of the items in the {w} were lost; {prose(4)}", f"## {k} and ### {k + 1} are the numbers that the clerk gave the {w}, {prose(4)}", f"> {k}", f"> {k} %", f"- {sentence()}", "Dear reader,", f"{title()}", "\n".join(f"[{k + i}]: Doe, A. (19{k + 50}). {title()}. Letters, {k}, 1-12." for i in range(lines)),
+            f"The prices of US$ {k} and NZ$ {k} were {pick(_VERBS)}.", f"'{w}' and \"{w}\" were {pick(_VERBS)}.",
+        ]
+        return alike[k] if k < len(alike) else pick((prose(rng.randrange(5, 12)), title(), word().capitalize(), f"{k} {w}", f"The {w} of {word()}"))
+
+    out = []
+    for _ in range(LABELLED):
+        parts: list[tuple[str, int]] = []
+        for _ in range(rng.randrange(3, 9)):
+            kind = rng.random()
+            if kind > 0.985:  # a list with blank lines
+                mark, short = pick("-*+"), rng.random() < 0.5
+                parts += [(f"{mark} {word()} {word()} {word()}" if short else f"{mark} {sentence()}", 1) for _ in range(rng.randrange(2, 5))]
+                continue
+            parts.append((prose(), 0) if kind < 0.4 else (with_markup(), 1) if kind < 0.7 else (plain(), 0))
+        out.append(parts)
+    return out
+
+
+#: Labelled blocks of a leaf of the tree.
+LEAST_LEAF = 3
 
 
 class DecisionTree:
-    """A small binary decision tree by Gini impurity; ties go to the first feature and cut."""
+    """A small binary decision tree by Gini impurity; ties go to the first feature and cut.
 
-    def __init__(self, depth: int = 8) -> None:
-        self.depth = depth
+    Of the features in `first`, one whose presence always goes with one label is split off before any
+    other, so that how long labelled blocks happen to be does not stand in for it.
+    """
+
+    def __init__(self, depth: int = 32, first: range = range(0)) -> None:
+        self.depth, self.first = depth, first
         self.nodes: list[tuple[int, float, int, int, int]] = []  # feature, cut, left, right, label
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> DecisionTree:
@@ -148,13 +206,20 @@ class DecisionTree:
     def _grow(self, x: np.ndarray, y: np.ndarray, level: int) -> int:
         me = len(self.nodes)
         self.nodes.append((-1, 0.0, -1, -1, int(y.mean() >= 0.5)))
-        if level >= self.depth or y.min() == y.max() or len(y) < 4:
+        if level >= self.depth or y.min() == y.max() or len(y) < 2 * LEAST_LEAF:
             return me
         best = None
-        for f in range(x.shape[1]):
+        for f in self.first:
+            left = x[:, f] <= 0.5
+            some = y[~left]
+            if LEAST_LEAF <= len(some) <= len(y) - LEAST_LEAF and some.min() == some.max() and (best is None or -len(some) < best[0]):
+                best = (-len(some), f, 0.5, left)
+        for f in range(x.shape[1]) if best is None else ():
             values = np.unique(x[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 left = x[:, f] <= cut
+                if min(left.sum(), len(left) - left.sum()) < LEAST_LEAF:
+                    continue
                 gini = sum(s.sum() * (1 - (y[s].mean() ** 2 + (1 - y[s].mean()) ** 2)) for s in (left, ~left))
                 if best is None or gini < best[0] - 1e-12:
                     best = (gini, f, cut, left)
@@ -177,20 +242,22 @@ class DecisionTree:
         return label[at]
 
 
+def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the labelled blocks."""
+    rows = labelled_documents()
+    return np.vstack([block_features([t for t, _ in parts]) for parts in rows]), np.array([y for parts in rows for _, y in parts])
+
+
 @lru_cache(1)
 def block_classifier() -> DecisionTree:
-    """The tree fitted on LABELLED."""
-    x = block_features([t for _, t in LABELLED])
-    x[:, 6:] = np.minimum(x[:, 6:], 3)
-    return DecisionTree().fit(x, np.array([y for y, _ in LABELLED]))
+    """The tree fitted on the labelled blocks."""
+    return DecisionTree(first=range(6, 6 + len(FAMILIES))).fit(*labelled_table())
 
 
 def _with_residue(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(label, features) of blocks."""
     x = block_features(parts)
-    seen = x.copy()
-    seen[:, 6:] = np.minimum(seen[:, 6:], 3)
-    return block_classifier().predict(seen), x
+    return block_classifier().predict(x), x
 
 
 # --- conversion ---------------------------------------------------------------------------------
@@ -232,8 +299,8 @@ _SUBS = [
     (re.compile(r"\\(?:ldots|dots)(?:\{\})?"), "…"),
     (re.compile(r"\\([%&\#_{}$*`\[\]])"), r"\1"),
     (re.compile(r"(?:\*{2,3}|~~|(?<![\w_])__(?=\w)|(?<=\w)__(?![\w_]))"), ""),
-    (re.compile(r"(?<![\w*])\*(?=[^\W_])([^*\n]{1,120}?)(?<=[\w.,;:!?)])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w_])_(?=[^\W_])([^_\n]{1,120}?)(?<=[\w.,;:!?)])_(?![\w_])"), r"\1"),
+    (re.compile(r"(?<![\w*])\*(?=[^\W_])([^*\n]++)(?<=[\w.,;:!?)])\*(?![\w*])"), r"\1"),
+    (re.compile(r"(?<![\w_])_(?=[^\W_])([^_\n]++)(?<=[\w.,;:!?)])_(?![\w_])"), r"\1"),
     (re.compile(r"`([^`\n]+)`"), r"\1"),
 ]
 _TABULAR = re.compile(r"\\begin\{tabular\}(?:\{[^}]*\})?(.*?)(?:\\end\{tabular\}|\Z)", re.S)
@@ -358,13 +425,12 @@ def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c:
                 label, x = _with_residue(c)
                 found[i, 0] = label.sum()
-                found[i, 1:] = (x[:, 6:-1] * label[:, None]).sum(0)
+                found[i, 1:] = (x[:, 6:] * label[:, None]).sum(0)
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(found[:, j].astype(np.int32)) for j in range(found.shape[1]))], names=["id", "residue_blocks", *FAMILIES])
 
 
 def residue(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id``, ``residue_blocks`` and constructs by family (``html``, ``markdown``, ``wiki``, ``latex``,
-    ``list``) of the records that have markup residue.
+    """``id``, ``residue_blocks`` and the marks by kind (FAMILIES) in blocks with residue, of the records that have such a block.
 
     Null and empty texts have none. Repeated rows come out each. The id can be null and of any type.
     Other columns are not read. One pass without a shuffle.
