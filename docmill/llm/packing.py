@@ -1,17 +1,26 @@
 """Packing texts into containers of a fixed capacity by bin completion.
 
 A text over the capacity is cut: its full pieces fill containers of their own, the rest is an item. Items
-are packed in groups of bounded size, each by branch and bound: around the largest item left, the
-undominated fillings of its container are enumerated, best first; a branch is cut when the waste it has
-made exceeds what a better solution could have. Best-fit decreasing gives the first incumbent, and a group
-whose incumbent meets the lower bound is done. The containers that stay under-full are opened again and
-their items packed together in another round, so that a group's remainder wastes nothing.
+are packed in groups of bounded size, each by branch and bound over its containers. The container of the
+largest item left is completed next. Its undominated fillings are enumerated by rising waste: a filling is
+dominated if one of its items, or two of them, can give way to a single item left that is as large or
+larger. A branch is cut when its waste exceeds what a solution with fewer containers than the best one
+could have, and the search goes back to the next filling of the last container that has one. Best-fit
+decreasing gives the first incumbent; a group whose best solution meets the lower bound is done. Given
+time the search is exact; it ends after ``STEPS`` steps a group with the best solution found so far.
+
+The containers that stay under-full are opened again and their items packed together in another round, for
+as long as a round gets on, so that a group's remainder wastes nothing.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +28,11 @@ from pyspark.sql import functions as F
 from docmill.llm.tokens import VOCABULARY, token_sizes
 from docmill.session import materialize
 
-#: Items of a group, and search steps spent on one container and on one group. A bound on effort only.
-GROUP, FILL_STEPS, GROUP_STEPS = 1024, 256, 64
-#: Containers filled less than this are opened again, in up to so many rounds.
-FULL, ROUNDS = 0.99, 4
+#: Items of a group, and search steps spent on one: bounds on the work of a task, not on the data.
+GROUP, STEPS = 1024, 50_000
+#: Containers filled less than this are opened again; a round that leaves more than the second share of the
+#: items that it had in under-full containers is the last.
+FULL, STILL_OPEN = 0.99, 0.9
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -42,88 +52,166 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def fillings(distinct: list[int], count: dict[int, int], room: int, most: int, steps: int = FILL_STEPS) -> list[tuple[int, ...]]:
-    """Up to `most` undominated fillings of a room, fullest first, as sizes in falling order.
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """No packing needs fewer containers: over all thresholds t, items above capacity - t stand alone, those
+    above half the capacity stand apart, and what is left of the rest over t fills whole containers."""
+    x = np.sort(np.asarray(sizes, np.int64))
+    if not len(x):
+        return 0
+    before = np.concatenate([[0], np.cumsum(x)])
+    at = lambda v: np.searchsorted(x, v, side="right")
+    half = at(capacity // 2)
+    t = np.unique(np.concatenate([[0], x[:half]]))
+    low, alone = np.searchsorted(x, t, side="left"), at(capacity - t)
+    big = alone - half
+    rest = before[half] - before[np.minimum(low, half)] - (big * capacity - (before[alone] - before[half]))
+    return int((len(x) - alone + big + np.maximum(0, -(-rest // capacity))).max())
+
+
+class Budget:
+    """Steps that a search may still take; None is no end."""
+
+    def __init__(self, steps: int | None) -> None:
+        self.left = math.inf if steps is None else steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def dominated(chosen: tuple[int, ...], waste: int, count: dict[int, int], distinct: list[int]) -> bool:
+    """Whether one or two items of a filling can give way to one item left that fits in their place and the
+    waste. count holds the items left without those chosen."""
+
+    def other(low: int, high: int) -> bool:
+        k = bisect.bisect_left(distinct, low)
+        while k < len(distinct) and distinct[k] <= high:
+            if count[distinct[k]] > 0:
+                return True
+            k += 1
+        return False
+
+    if other(1, waste):
+        return True
+    sizes = sorted(set(chosen))
+    if any(other(s + 1, s + waste) for s in sizes):
+        return True
+    twice = [s for s in sizes if chosen.count(s) > 1]
+    return any(other(a + b, a + b + waste) for i, a in enumerate(sizes) for b in sizes[i + 1 :]) or any(other(2 * s, 2 * s + waste) for s in twice)
 
-    distinct: the sizes left, rising. A filling is dominated if an item left fits into its rest.
+
+def fillings(count: dict[int, int], distinct: list[int], room: int, allowed: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of a room that waste at most `allowed`, by rising waste, as sizes in falling order.
+
+    distinct: all sizes, rising; count: how many of each are left. Both must be as they were whenever the next
+    filling is asked for. The iteration also ends with the budget.
     """
-    found: dict[int, tuple[int, ...]] = {}
-    left = [steps]
+    sums = [0]
+    for s in distinct:
+        sums.append(sums[-1] + s * count[s])
+    if sums[-1] <= room:  # all that is left fits: no other filling can do better
+        if room - sums[-1] <= allowed or sums[-1] == 0:
+            yield tuple(s for s in reversed(distinct) for _ in range(count[s]))
+        return
     taken: dict[int, int] = {}
 
-    def grow(limit: int, rest: int, chosen: tuple[int, ...]) -> bool:
-        """Extend a filling by sizes of at most limit; True when nothing better can come."""
-        left[0] -= 1
-        k = bisect.bisect_right(distinct, min(limit, rest)) - 1
-        extended = False
-        while k >= 0:
+    def exact(target: int, limit: int) -> Iterator[tuple[int, ...]]:
+        """Choices of sizes at distinct[: limit] that sum to the target."""
+        if not target:
+            yield ()
+            return
+        k = bisect.bisect_right(distinct, target, 0, limit) - 1
+        while k >= 0 and sums[k + 1] >= target:  # what is left up to here must reach the target
             s = distinct[k]
             if count[s] > taken.get(s, 0):
-                extended = True
+                if not budget.spend():
+                    return
                 taken[s] = taken.get(s, 0) + 1
-                done = grow(s, rest - s, (*chosen, s))
+                for more in exact(target - s, k + 1):
+                    yield (s, *more)
                 taken[s] -= 1
-                if done or left[0] <= 0:
-                    return done
-                # a smaller first item leaves at least as much room: without enough items it can't do better
-                if len(found) >= most and rest - s > min(found) * 8 + s:
-                    break
             k -= 1
-        if not extended and (rest not in found or len(chosen) < len(found[rest])):
-            found[rest] = chosen
-        return rest == 0 and not extended and most == 1
 
-    grow(room, room, ())
-    return [found[r] for r in sorted(found)[:most]]
+    for waste in range(min(allowed, room) + 1):
+        for chosen in exact(room - waste, len(distinct)):
+            for s in chosen:
+                count[s] -= 1
+            bad = dominated(chosen, waste, count, distinct)
+            for s in chosen:
+                count[s] += 1
+            if not bad:
+                yield chosen
+            if budget.left < 0:
+                return
+        if budget.left < 0:
+            return
+
 
+def complete_bins(sizes: list[int], capacity: int, steps: int | None = STEPS) -> list[list[int]]:
+    """Containers as lists of positions of `sizes`, each of at most `capacity`; a size must not exceed it.
 
-def complete_bins(sizes: list[int], capacity: int, steps: int = GROUP_STEPS) -> list[list[int]]:
-    """Containers as lists of positions of `sizes`, each of at most `capacity`; a size must not exceed it."""
+    steps: those of the search; None lets it end by itself, with a proof that no fewer containers do.
+    """
     incumbent = best_fit(sizes, capacity)
-    total = sum(sizes)
-    bound = -(-total // capacity)
+    bound = lower_bound(sizes, capacity)
     if len(incumbent) <= bound:
         return incumbent
     where: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         where.setdefault(s, []).append(i)
-    best = [len(incumbent), None]
-    budget = [steps]
-
-    def solve(skip: int) -> list[tuple[int, ...]] | None:
-        """One descent, taking at its first container the filling number `skip`; None when cut."""
-        count = {s: len(v) for s, v in where.items()}
-        distinct = sorted(count)
-        allowed = (best[0] - 1) * capacity - total
-        waste, done = 0, []
-        while distinct:
-            big = distinct[-1]
-            count[big] -= 1
-            if not count[big]:
-                distinct.pop()
-            options = fillings(distinct, count, capacity - big, 1 + (skip if not done else 0)) if distinct else [()]
-            pick = options[min(skip, len(options) - 1)] if not done else options[0]
+    distinct, count = sorted(where), {s: len(v) for s, v in where.items()}
+    total, budget = sum(sizes), Budget(steps)
+    best, found = len(incumbent), None
+    slack = (best - 1) * capacity - total  # the waste that a better solution can have
+    done: list[tuple[int, ...]] = []
+    waste, left = 0, len(sizes)
+    levels: list[tuple[int, Iterator[tuple[int, ...]]]] = []
+
+    def open_level() -> None:
+        big = next(s for s in reversed(distinct) if count[s])
+        count[big] -= 1
+        levels.append((big, fillings(count, distinct, capacity - big, slack - waste, budget)))
+
+    open_level()
+    while levels:
+        big, options = levels[-1]
+        if len(done) == len(levels):  # back from below: take this container's filling out again
+            gone = done.pop()
+            waste -= capacity - sum(gone)
+            left += len(gone)
+            for s in gone[1:]:
+                count[s] += 1
+        pick = next(options, None) if waste <= slack else None
+        if pick is None:
+            levels.pop()
+            count[big] += 1
+            if budget.left < 0:
+                break
+            continue
+        box = (big, *pick)
+        if waste + capacity - sum(box) > slack:
+            done.append(box)  # taken out again above
+            waste += capacity - sum(box)
+            left -= len(box)
             for s in pick:
                 count[s] -= 1
-                if not count[s]:
-                    del distinct[bisect.bisect_left(distinct, s)]
-            done.append((big, *pick))
-            waste += capacity - sum(done[-1])
-            if waste > allowed and distinct:
-                return None
-        return done
-
-    for skip in range(3):
-        budget[0] -= 1
-        got = solve(skip)
-        if got is not None and len(got) < best[0]:
-            best[:] = [len(got), got]
-        if best[0] <= bound or budget[0] <= 0:
+            continue
+        for s in pick:
+            count[s] -= 1
+        done.append(box)
+        waste += capacity - sum(box)
+        left -= len(box)
+        if left:
+            open_level()
+            continue
+        best, found = len(done), list(done)
+        if best <= bound:
             break
-    if best[1] is None:
+        slack = (best - 1) * capacity - total
+    if found is None:
         return incumbent
     pool = {s: list(v) for s, v in where.items()}
-    return [[pool[s].pop() for s in bin_] for bin_ in best[1]]
+    return [[pool[s].pop() for s in box] for box in found]
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,11 +256,12 @@ def pack_documents(df: DataFrame, containers: DataFrame, id_col: str = "doc_id",
     )
     items = pieces.where("tokens < capacity")
     done = alone
-    groups = max(1, -(-n // GROUP))
-    for turn in range(ROUNDS):
+    groups, before = max(1, -(-n // GROUP)), None
+    for turn in itertools.count():
         keyed = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(turn)), F.lit(groups))).select(*[c.split()[0] for c in _ITEM.split(", ")])
         packed = materialize(keyed.groupBy("container_kind", "group").applyInPandas(_pack, _ITEM + ", box int, fill int"), "packed")
-        last = turn == ROUNDS - 1 or groups == 1
+        most = packed.where(F.col("fill") < FULL * F.col("capacity")).groupBy("container_kind").count().agg(F.max("count")).first()[0] or 0
+        last = groups == 1 or most == 0 or (before is not None and most > STILL_OPEN * before)
         full = packed if last else packed.where(F.col("fill") >= FULL * F.col("capacity"))
         done = done.unionByName(
             full.select("container_kind", F.concat_ws("-", "container_kind", F.lit(f"r{turn}"), "group", "box").alias("container_id"), "doc_id", "piece_no", "start_token", "tokens", "fill")
@@ -180,10 +269,7 @@ def pack_documents(df: DataFrame, containers: DataFrame, id_col: str = "doc_id",
         if last:
             break
         items = packed.where(F.col("fill") < FULL * F.col("capacity")).drop("box", "fill", "group")
-        most = items.groupBy("container_kind").count().agg(F.max("count")).first()[0] or 0
-        if not most:
-            break
-        groups = max(1, -(-most // GROUP))
+        groups, before = max(1, -(-most // GROUP)), most
     return done
 
 

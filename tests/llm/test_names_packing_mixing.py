@@ -92,6 +92,35 @@ def test_completion_beats_best_fit():
     assert len(packing.complete_bins(sizes, 10)) == -(-sum(sizes) // 10)
 
 
+def fewest(sizes, capacity):
+    """Containers that are needed, over all subsets."""
+    best = [(1, 0)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for m in range(1, 1 << len(sizes)):
+        for i, s in enumerate(sizes):
+            if m >> i & 1:
+                k, used = best[m ^ (1 << i)]
+                best[m] = min(best[m], (k, used + s) if used + s <= capacity else (k + 1, s))
+    return best[-1][0] if sizes else 0
+
+
+def test_search_is_exact_when_given_time():
+    rng, better = random.Random(3), 0
+    for _ in range(150):
+        capacity = rng.randrange(10, 80)
+        sizes = [rng.randrange(1, capacity + 1) if rng.random() < 0.5 else rng.randrange(max(1, capacity // 6), max(2, capacity // 2)) for _ in range(rng.randrange(0, 11))]
+        want, got = fewest(sizes, capacity), len(packing.complete_bins(sizes, capacity, None))
+        assert got == want >= packing.lower_bound(sizes, capacity)
+        better += got < len(packing.best_fit(sizes, capacity))
+    assert better
+
+
+def test_search_goes_back():
+    # the fullest filling of the first container leads nowhere; the second one does
+    sizes, capacity = [55, 45, 40, 35, 25, 30, 30, 20, 20], 100
+    assert len(packing.complete_bins(sizes, capacity, None)) == fewest(sizes, capacity) == 3
+    assert len(packing.complete_bins(sizes, capacity, 0)) == len(packing.best_fit(sizes, capacity))
+
+
 @needs_vocabulary
 def test_packing_tables(spark):
     rows = [(i, "some words here " * (i % 40 + 1)) for i in range(200)] + [(500, "long " * 400), (501, None), (502, ""), (None, "x"), (0, "some words here ")]
