@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import search
 from docmill.plans.registry import query
-from docmill.session import shared_dir, table
+from docmill.session import scratch, table
 
 _TOK = "list_filter(regexp_split_to_array(translate(lower(coalesce({0}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
@@ -48,7 +46,7 @@ def r02_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_bm25_sql(P1 + P2)} SELECT id, round(score, 6) AS score FROM bm")
 def r02_postings(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/docmill/postings-{uuid.uuid4().hex}"
+    path = scratch(spark, "postings")
     search.build_postings(table(spark, sf, "chunks"), path, buckets=16)
     return search.bm25_postings(spark, path, P1 + P2).select("id", F.round("score", 6).alias("score"))
 
