@@ -18,6 +18,10 @@ both have the same byte at the same position.
 
 Records with equal sets of word runs form a class that enters the index once. An index list that is
 expected to exceed ``HOT`` entries is laid out as a triangle of cells, so that no task holds it whole.
+
+Pairs are written in one form: all pairs of different texts, and of identical texts those within cells of
+about ``COPIES`` records, the cells hanging together by links to the record with the smallest id. What a
+record belongs to stands in the membership table, one row per record.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.session import materialize, shuffle_partitions
+from docmill.session import few_tasks, materialize, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of the rarity table; fixed, so its broadcast does not grow with the data.
@@ -45,10 +49,9 @@ SHIFT = np.uint64(64 - 24)
 MATCHES = 4
 #: Entries of one index list that one cell takes.
 HOT = 4096
-#: Records with identical text up to this number are written out as all their pairs; more of them as
-#: links to the one with the smallest id, which carries their links to other texts.
-WRITE_OUT = 64
-#: Records of one class that are paired at once with those of another, or with its own.
+#: Records with identical text that are paired with one another; more of them are dealt into so large cells.
+COPIES = 64
+#: Texts of one class that are paired at once with those of another, or with its own.
 CELL = 256
 
 
@@ -192,11 +195,12 @@ def _index_entries(levels_b, k: int, t: float, buckets: int):
         levels = np.frombuffer(levels_b.value, np.uint8)
         cache = _WordHash()
         for batch in batches:
-            # copies enter once a batch here, and once in the index
-            once = {xxhash.xxh3_128_digest(x.tobytes())[:8]: x for x in shingle_sets(batch.column("text").to_pylist(), k, cache) if len(x)}
+            # copies enter once a batch here, and once in the index, which names a class by 8 bytes of its key;
+            # classes that share a name share their candidates, and each candidate is verified
+            once = {xxhash.xxh3_128_digest(x.tobytes()): x for x in shingle_sets(batch.column("text").to_pylist(), k, cache) if len(x)}
             if not once:
                 continue
-            ids = np.frombuffer(b"".join(once), np.int64)
+            ids = np.frombuffer(b"".join(x[:8] for x in once), np.int64)
             grams = list(once.values())
             n = np.array([len(g) for g in grams], np.int64)
             flat = np.concatenate(grams)
@@ -359,7 +363,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    first = materialize(src.mapInArrow(_classes(k), "id long, class_key binary, text_key long, part int, counts binary"), "near-dup-classes")
+    first = materialize(few_tasks(src).mapInArrow(_classes(k), "id long, class_key binary, text_key long, part int, counts binary"), "near-dup-classes")
     keys = first.where("part is null").select("id", "class_key", "text_key")
     n = keys.count()
     reps = keys.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
@@ -389,7 +393,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     pairs = materialize(pairs, "near-dup-candidates")
     # only texts of records in some pair are read into sets and moved; a table of counters over them tells which
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-    wanted = spark.sparkContext.broadcast(_table(ends.mapInArrow(_mixed("c"), "c binary").mapInArrow(_count_cells("c"), "part int, counts binary")))
+    wanted = spark.sparkContext.broadcast(_table(few_tasks(ends).mapInArrow(_mixed("c"), "c binary").mapInArrow(_count_cells("c"), "part int, counts binary")))
     some = src.mapInArrow(_among(wanted, k), "id long, grams binary").repartition("id").dropDuplicates(["id"])
     sides = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b").join(some, "id")
     both = sides.groupBy("a", "b").agg(F.collect_list("grams").alias("grams"))
@@ -404,29 +408,33 @@ def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pairs_written_out(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``id_a``, ``id_b``: the pairs of records behind near_duplicates.
-
-    All pairs of different texts, within a class and between linked classes, and all pairs of up to
-    WRITE_OUT records with identical text are written out. More records with identical text are written as
-    links to the one with the smallest id, and their links to other texts are carried by it.
+    """``id_a``, ``id_b``: the pairs of records behind near_duplicates, in the one form told above.
 
-    Large classes are cut into cells of about CELL records, so that no task pairs a whole class.
+    Texts are paired first, each named by its smallest id: those of one class, and those of linked classes,
+    cut into cells of about CELL texts so that no task pairs a whole class. The records with either text are
+    then paired cell by cell: of texts with m and n cells, max(m, n) pairs of cells meet, so each record with
+    the one text is paired with some with the other, and what is written grows as the records do.
     """
-    sized = members.groupBy("class_id").agg(F.count("*").alias("size")).where("size > 1").select("class_id")
-    sized = materialize(members.join(sized, "class_id").select("id", "class_id", "text_key"), "near-dup-copies")
-    texts = sized.groupBy("class_id", "text_key").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    sized = sized.join(texts, ["class_id", "text_key"])
-    to_first = sized.where((F.col("copies") > WRITE_OUT) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    few = sized.where((F.col("copies") <= WRITE_OUT) | (F.col("id") == F.col("first"))).select(F.col("class_id").alias("c"), F.col("id").alias("m"))
-    parts = materialize(few.groupBy("c").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "near-dup-cells")
-    few = materialize(few.join(parts, "c").select("c", "m", F.pmod(F.xxhash64("m"), "parts").cast("int").alias("cell")), "near-dup-carriers")
-    cells = parts.select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"))
+    texts = members.groupBy("class_id", "text_key").agg(F.min("id").alias("head"), F.ceil(F.count("*") / COPIES).cast("int").alias("parts"), F.count("*").alias("n"))
+    texts = materialize(texts, "near-dup-texts")
+    copied = texts.where("n > 1").select("class_id", "text_key", "head", "parts")
+    copies = members.join(copied, ["class_id", "text_key"]).select("head", "parts", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("cell"))
+    copies = materialize(copies, "near-dup-copies")
+    # identical texts
+    mate = copies.select("head", "cell", F.col("id").alias("y"))
+    same = copies.select("head", "cell", F.col("id").alias("x")).join(mate, ["head", "cell"]).where("x < y").select("x", "y")
+    heads = copies.where("parts > 1").groupBy("head", "cell").agg(F.min("id").alias("y")).select(F.col("head").alias("x"), "y")
+    # different texts
+    crowd = materialize(texts.groupBy("class_id").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"), F.count("*").alias("n")), "near-dup-crowds")
+    few = texts.join(crowd.where("n > 1").select("class_id", "cells"), "class_id").select(F.col("class_id").alias("c"), F.col("head").alias("m"), F.pmod(F.xxhash64("head"), "cells").cast("int").alias("cell"))
+    few = materialize(few, "near-dup-carriers")
+    cells = crowd.where("n > 1").select(F.col("class_id").alias("c"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     inside = cells.select(F.col("c").alias("a"), F.col("cell").alias("ca")).join(cells.select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("cell").alias("cb")), "a").where("ca <= cb").select("a", "b", "ca", "cb")
     between = (
         links.select("a", "b").join(cells.withColumnsRenamed({"c": "a", "cell": "ca"}), "a", "left").join(cells.withColumnsRenamed({"c": "b", "cell": "cb"}), "b", "left")
         .select("a", "b", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("cb", F.lit(0)).alias("cb"))
     )
-    every = (
+    pairs = (
         inside.unionByName(between)
         .join(few.withColumnsRenamed({"c": "a", "m": "ma", "cell": "ca"}), ["a", "ca"], "left")
         .join(few.withColumnsRenamed({"c": "b", "m": "mb", "cell": "cb"}), ["b", "cb"], "left")
@@ -434,8 +442,18 @@ def pairs_written_out(members: DataFrame, links: DataFrame) -> DataFrame:
         # within one cell each pair is met from both sides
         .where("a <> b or ca <> cb or x < y")
         .select("x", "y")
-        .unionByName(to_first)
     )
+    # records with the texts; a text of one record needs no look-up
+    parts = copied.select("head", "parts")
+    met = pairs.join(parts.withColumnsRenamed({"head": "x", "parts": "px"}), "x", "left").join(parts.withColumnsRenamed({"head": "y", "parts": "py"}), "y", "left").fillna(1, ["px", "py"])
+    met = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest("px", "py") - 1)))
+    met = met.select("x", "y", (F.col("k") % F.col("px")).alias("cx"), (F.col("k") % F.col("py")).alias("cy"))
+    cross = (
+        met.join(copies.select(F.col("head").alias("x"), F.col("cell").alias("cx"), F.col("id").alias("ix")), ["x", "cx"], "left")
+        .join(copies.select(F.col("head").alias("y"), F.col("cell").alias("cy"), F.col("id").alias("iy")), ["y", "cy"], "left")
+        .select(F.coalesce("ix", "x").alias("x"), F.coalesce("iy", "y").alias("y"))
+    )
+    every = same.unionByName(heads).unionByName(cross)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
 

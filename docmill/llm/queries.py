@@ -80,6 +80,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_written_out(*near_duplicates(table(spark, sf_dir, "chunks"), k=3, threshold=0.6))
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.near_dup import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "chunks"), k=3, threshold=0.6)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.packing import pack_documents
 
