@@ -1,23 +1,26 @@
 """Variant spellings of names of persons, organisations and publications.
 
-* Distinct strings are parsed: case, accents and their transcriptions, titles, word order and function
-  words are set aside. A person has a surname and given names, anything else a set of words.
+* Distinct strings are parsed: case, accents, titles, word order and function words are set aside. A person
+  has a surname and given names, anything else a set of words; a string that can be either is read both
+  ways, and with transcribed umlauts (ue for ü) both as they stand and as the plain vowel.
 * A symmetric-delete index finds tokens within one edit: every token is filed under itself and under
   itself less one character. Persons are filed under their surname and the initial of the given name;
-  other names under the initials of their words, which abbreviations keep, whatever the number of names;
-  and also under their rarest word, its rarity taken over its neighbourhood in the index.
-* Names that meet there are compared by an optimal assignment of their tokens: equal, one edit apart,
-  an abbreviation, or a nickname; initials and acronyms agree with several names, so they are not links
-  of their own. They join the one group they fit, and stay apart where they fit two.
+  other names under the initials of their words, which abbreviations keep, and, for an edited initial, under
+  all other initials and a form of that word. The keys are the same whatever the number of names.
+* Names that meet there are compared by an optimal assignment of their tokens: equal, one edit apart (one in
+  the whole name), an abbreviation, an initial in its place, or a nickname. Initials and acronyms agree with
+  several names, so they are not links of their own: they join the one group they fit, and stay apart where
+  they fit two.
 
 Groups are the connected components of the links; they are found by aggregations only.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -50,34 +53,46 @@ PARTICLES = frozenset("von van de der den del della di da la le du zu ter ten vo
 #: Words that a name can have or lack.
 FILLERS = frozenset("the of f and for in on at to a an de la des du der die das und für fur et y e".split())
 
-#: Names in a neighbourhood up to which it is compared even if another word of the name is rarer.
-RARE = 64
 #: Names under one key that are compared at once with all others under it.
 CELL = 512
 
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; transcribed umlauts as the plain vowel."""
+def fold(text: str, vowels: bool = True) -> str:
+    """Lower case without accents; with vowels, transcribed umlauts as the plain vowel."""
     s = unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ẞ", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l")).lower()
     s = "".join(c for c in s if not unicodedata.combining(c))
-    return s.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    return s.replace("ae", "a").replace("oe", "o").replace("ue", "u") if vowels else s
 
 
-NICKNAMES = {fold(a): fold(b) for a, b in _NICKNAMES.items()}
+NICKNAMES = {fold(a, v): fold(b, v) for a, b in _NICKNAMES.items() for v in (False, True)}
 
 
-class Name(NamedTuple):
-    person: bool
-    parses: tuple[tuple[str, tuple[str, ...]], ...]  # (surname, given names)
-    words: tuple[str, ...]
-    acronym: str  # of words, "" if none
-    level: int  # 0: initials or acronym, 1: without, 2: with middle names
+class Person(NamedTuple):
+    surname: str
+    given: tuple[str, ...]
 
+    @property
+    def level(self) -> int:
+        """0: initials, 1: a given name, 2: with middle names."""
+        return 0 if not self.given or len(self.given[0]) == 1 else 2 if len(self.given) > 1 else 1
 
-def _tokens(text: str) -> list[str]:
-    return [t for raw in _TOKEN.findall(text) if (t := re.sub(r"[^\w]", "", fold(raw))) and t not in TITLES]
+    @property
+    def rank(self) -> int:
+        """How much it says: 0 an initial, 1 initials, 2 a given name, 3 given and middle names."""
+        return 1 + self.level if self.level else int(len(self.given) > 1)
+
+
+class Reading(NamedTuple):
+    """A name read with one treatment of vowels."""
+
+    persons: tuple[Person, ...]
+    words: tuple[str, ...]  # as no person's name
+    acronym: str  # letters, sorted, that stand for further words; "" if none
+
+
+Name = tuple[Reading, ...]
 
 
 def _join_particles(tokens: list[str]) -> list[str]:
@@ -97,45 +112,51 @@ def _join_particles(tokens: list[str]) -> list[str]:
 
 @lru_cache(50_000)
 def parse_name(text: str, can_be_person: bool) -> Name:
+    """The readings of a name, one or two."""
+    first = _read(text, can_be_person, True)
+    second = _read(text, can_be_person, False)
+    return (first,) if first == second else (first, second)
+
+
+def _read(text: str, can_be_person: bool, vowels: bool) -> Reading:
     raw = [t for t in _TOKEN.findall(text) if fold(t) not in TITLES]
-    tokens = [re.sub(r"[^\w]", "", fold(t)) for t in raw]
+    tokens = [re.sub(r"[^\w]", "", fold(t, vowels)) for t in raw]
     caps = [i for i, t in enumerate(raw) if 3 <= len(t) <= 7 and t.isupper() and t.isalpha()]
     others = [i for i in range(len(raw)) if i not in caps]
     acronym = ""
     if len(caps) == 1 and 1 <= len(others) <= 3 and all(len(raw[i]) > 3 and not raw[i].isupper() for i in others) and (not can_be_person or "(" in text or ", " + raw[caps[0]] in text or text.rstrip().endswith(raw[caps[0]]) or len(raw[caps[0]]) <= 4):
         acronym = "".join(sorted(tokens[caps[0]]))
-    content = [t for t in tokens if t not in FILLERS or t in PARTICLES]
-    merged = _join_particles(content)
-    if can_be_person and not acronym and not any(t in ("of", "the", "for", "and") for t in tokens) and "&" not in text:
-        parses = _person(text, merged)
-        if parses:
-            given = parses[0][1]
-            level = 0 if not given or len(given[0]) == 1 else (2 if len(given) > 1 else 1)
-            return Name(True, parses, (), "", level)
     words = tuple(t for i, t in enumerate(tokens) if t not in FILLERS and not (acronym and i == caps[0]))
-    return Name(False, (), words, acronym, 0 if acronym else 2)
-
-
-def _person(text: str, merged: list[str]) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    persons: tuple[Person, ...] = ()
+    if can_be_person and not acronym and "&" not in text and not any(t in ("of", "the", "for", "and") for t in tokens):
+        # a capital alone is an initial, whatever word it could be
+        part = lambda s: _join_particles([re.sub(r"[^\w]", "", fold(t, vowels)) for t in _TOKEN.findall(s) if fold(t) not in TITLES and (len(t) == 1 and t.isupper() or fold(t) not in FILLERS or fold(t) in PARTICLES)])
+        persons = _persons(text, part)
+    if persons and (len(words) < 4 or any(len(w) == 1 for w in words)):
+        words = ()  # a name of a person for sure
+    return Reading(persons, words, acronym)
+
+
+def _persons(text: str, part: Callable[[str], list[str]]) -> tuple[Person, ...]:
+    """The ways to read a text as a person's name."""
     if text.count(",") == 1:
         a, b = text.split(",")
-        surname, given = "".join(_tokens(a)), [t for t in _tokens(b)]
-        if surname and 1 <= len(given) <= 3 and len(_tokens(a)) <= 3 and len(surname) > 1:
-            return ((surname, tuple(given)),)
-        return ()
-    if "," in text or not 2 <= len(merged) <= 4:
-        return ()
-    singles = [len(t) == 1 for t in merged]
-    if all(singles):
-        return ()
-    if singles[-1]:  # Surname G M
-        n = len(merged) - singles[::-1].index(False)
-        return (("".join(merged[:n]), tuple(merged[n:])),)
-    if singles[0] or any(singles[1:-1]):  # G M Surname, Given M Surname
-        return ((merged[-1], tuple(merged[:-1])),)
-    if len(merged) == 2:  # either order
-        return ((merged[1], (merged[0],)), (merged[0], (merged[1],)))
-    return ((merged[-1], tuple(merged[:-1])),) if len(merged) == 3 else ()
+        surname, given = "".join(part(a)), part(b)
+        found = [Person(surname, tuple(given))] if len(surname) > 1 and given else []
+    else:
+        t = part(text)
+        singles = [len(x) == 1 for x in t]
+        if "," in text or len(t) < 2 or all(singles):
+            return ()
+        if singles[-1]:  # Surname G M
+            n = len(t) - singles[::-1].index(False)
+            found = [Person("".join(t[:n]), tuple(t[n:]))]
+        elif len(t) == 2 and not singles[0]:  # either order
+            found = [Person(t[1], (t[0],)), Person(t[0], (t[1],))]
+        else:  # G M Surname, Given M Surname
+            found = [Person(t[-1], tuple(t[:-1]))]
+    # the last given name can be the first half of a double surname
+    return tuple(found + [Person(p.given[-1] + p.surname, p.given[:-1]) for p in found if len(p.given) > 1 and len(p.given[-1]) > 2])
 
 
 def deletes(token: str) -> set[str]:
@@ -170,10 +191,46 @@ def abbreviates(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
+def cheapest(costs: list[list[float | None]]) -> float | None:
+    """Least cost of an assignment of all rows to different columns, of which there are as many or more; None
+    if there is none. By shortest augmenting paths, so names may have any number of tokens."""
+    if not costs:
+        return 0.0
+    n, m = len(costs), len(costs[0])
+    far = 1e6
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, done, way = [math.inf] * (m + 1), [False] * (m + 1), [0] * (m + 1)
+        while owner[j0]:
+            done[j0] = True
+            row, delta, j1 = owner[j0], math.inf, 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    c = costs[row - 1][j - 1]
+                    c = (far if c is None else c) - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    total = -v[0]
+    return None if total >= far / 2 else total
+
+
 def assign(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
     """Least cost of an assignment of all tokens of a to those of b; None if there is none.
 
-    Equal tokens cost nothing, an abbreviation 0.1, one edit 1.
+    Equal tokens cost nothing, an abbreviation 0.01, one edit 1.
     """
     if len(a) != len(b):
         return None
@@ -182,24 +239,7 @@ def assign(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
         if t in right:
             left.remove(t)
             right.remove(t)
-    if not left:
-        return 0.0
-    if len(left) > 10:
-        return None
-    costs = [[0.1 if abbreviates(x, y) or abbreviates(y, x) else 1.0 if within_one(x, y) else None for y in right] for x in left]
-    best: dict[int, float] = {0: 0.0}
-    for row in costs:
-        nxt: dict[int, float] = {}
-        for mask, c in best.items():
-            for j, w in enumerate(row):
-                if w is not None and not mask >> j & 1:
-                    m = mask | 1 << j
-                    if c + w < nxt.get(m, 1e9):
-                        nxt[m] = c + w
-        best = nxt
-        if not best:
-            return None
-    return min(best.values())
+    return cheapest([[0.01 if abbreviates(x, y) or abbreviates(y, x) else 1.0 if within_one(x, y) else None for y in right] for x in left])
 
 
 def _formal(given: str) -> str:
@@ -207,74 +247,87 @@ def _formal(given: str) -> str:
 
 
 def _given(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, bool] | None:
-    """(cost, whether one side says less) of two lists of given names, or None if they disagree."""
-    cost, less = 0.0, len(a) != len(b)
-    for i, (x, y) in enumerate(zip(a, b)):
+    """(cost, whether one side says less) of two lists of given names, or None if they disagree.
+
+    Names are assigned in any order; an initial stands for the name in its place. Where one side has more
+    names the first ones belong together.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+
+    def cost(i: int, x: str, j: int, y: str) -> float | None:
+        if len(a) != len(b) and (i == 0) != (j == 0):
+            return None
         if x == y or _formal(x) == _formal(y):
-            continue
+            return 0.0 if i == j else 0.01 if len(x) > 1 else None
         if len(x) == 1 or len(y) == 1:
-            initials = {x[0], _formal(x)[0]} & {y[0], _formal(y)[0]}
-            if not initials:
-                return None
-            less = less or i == 0
-        elif within_one(x, y) or within_one(_formal(x), _formal(y)):
-            cost += 1
-        else:
-            return None
-    return cost, less
+            return 0.0 if i == j and {x[0], _formal(x)[0]} & {y[0], _formal(y)[0]} else None
+        return 1.0 if within_one(x, y) or within_one(_formal(x), _formal(y)) else None
+
+    total = cheapest([[cost(i, x, j, y) for j, y in enumerate(b)] for i, x in enumerate(a)])
+    if total is None:
+        return None
+    return total, len(a) != len(b) or bool(a and (len(a[0]) == 1) != (len(b[0]) == 1))
 
 
-#: Relations of two names: a link, or the first (second) agreeing with the second (first) but saying less.
+#: Relations of two names: a link, or one agreeing with the other but saying less.
 NONE, LINK, LESS = 0, 1, 2
 
 
-def relate(x: Name, y: Name) -> int:
-    """How two names relate."""
-    if x.person != y.person:
-        return NONE
-    if x.person:
-        best = NONE
-        for sa, ga in x.parses:
-            for sb, gb in y.parses:
-                if not within_one(sa, sb):
-                    continue
-                found = _given(ga, gb)
-                if found is None or found[0] + (sa != sb) > 1:
-                    continue
-                if x.level == y.level and (x.level != 0 or len(ga) == len(gb)):
-                    return LINK
-                best = LESS
-        return best
-    if bool(x.acronym) != bool(y.acronym):
-        short, full = (x, y) if x.acronym else (y, x)
-        if len(full.words) != len(short.words) + len(short.acronym):
-            return NONE
-        rest = list(full.words)
-        for w in short.words:
-            hit = next((r for r in rest if r == w), None) or next((r for r in rest if within_one(r, w)), None)
-            if hit is None:
-                return NONE
-            rest.remove(hit)
-        return LESS if "".join(sorted(r[0] for r in rest)) == short.acronym else NONE
-    if x.acronym != y.acronym:
-        return NONE
-    cost = assign(x.words, y.words)
-    return LINK if cost is not None and cost < 2 and x.words else NONE
-
-
-def _person_keys(name: Name) -> set[str]:
+def _relate(x: Reading, y: Reading) -> tuple[int, int, int]:
+    """(relation, rank of x, rank of y) of two readings."""
+    best = (NONE, 0, 0)
+    for p in x.persons:
+        for q in y.persons:
+            if not within_one(p.surname, q.surname):
+                continue
+            found = _given(p.given, q.given)
+            if found is None or found[0] + (p.surname != q.surname) >= 2:
+                continue
+            if p.level == q.level and (p.level != 0 or len(p.given) == len(q.given)):
+                return LINK, p.rank, q.rank
+            best = LESS, p.rank, q.rank
+    if x.words and y.words:
+        if x.acronym == y.acronym:
+            cost = assign(x.words, y.words)
+            if cost is not None and cost < 2:
+                return LINK, 3, 3
+        elif not x.acronym or not y.acronym:
+            short, full = (x, y) if x.acronym else (y, x)
+            if len(full.words) == len(short.words) + len(short.acronym):
+                # letters of the acronym are assigned too, each to a word that begins with it
+                rows = [[0.0 if w == r else 1.0 if within_one(w, r) else None for r in full.words] for w in short.words]
+                rows += [[0.0 if r[0] == c else None for r in full.words] for c in short.acronym]
+                cost = cheapest(rows)
+                if cost is not None and cost < 2:
+                    return LESS, 0 if x.acronym else 3, 0 if y.acronym else 3
+    return best
+
+
+def relate(x: Name, y: Name) -> tuple[int, int, int]:
+    """The closest relation of two names over readings with the same treatment of vowels."""
+    best = (NONE, 0, 0)
+    for i in range(max(len(x), len(y))):
+        found = _relate(x[min(i, len(x) - 1)], y[min(i, len(y) - 1)])
+        if found[0] == LINK:
+            return found
+        best = best if best[0] else found
+    return best
+
+
+def _person_keys(name: Reading) -> set[str]:
     out = set()
-    for surname, given in name.parses:
-        first = given[0] if given else ""
-        initials = {first[:1], _formal(first)[:1]}
-        for d in deletes(surname):
-            out |= {f"{d}|{i}" for i in initials}
-        if len(first) >= 4:  # an edit at the initial itself
-            out |= {f"{surname}|~{first[1:]}", f"{surname}|~{first}", f"{surname}|~{first[0]}{first[2:]}"}
+    for p in name.persons:
+        for first in p.given or ("",):  # any given name can come first on the other side
+            initials = {first[:1], _formal(first)[:1]}
+            for d in deletes(p.surname):
+                out |= {f"{d}|{i}" for i in initials}
+            if len(first) >= 4:  # an edit at the initial itself
+                out |= {f"{p.surname}|~{first[1:]}", f"{p.surname}|~{first}", f"{p.surname}|~{first[0]}{first[2:]}"}
     return out
 
 
-def _initial_keys(name: Name) -> set[str]:
+def _initial_keys(name: Reading) -> set[str]:
     """Keys of a name that is no person's: of two that assign() links, one word at most is edited and any
     other is equal or abbreviated, so they share their initials or, edited at one, all others and a form of
     that word. Acronyms count as the initials they stand for."""
@@ -288,19 +341,21 @@ def _initial_keys(name: Name) -> set[str]:
     return out
 
 
+def keys_of(name: Name) -> set[str]:
+    """Keys of the index: any two names that relate() relates share one."""
+    return {"p" + k for r in name for k in _person_keys(r)} | {k for r in name if r.words for k in _initial_keys(r)}
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index keys of each name; those of names other than persons with the word they come from."""
+    """Index keys of each name."""
     for batch in batches:
-        nodes, words, keys = [], [], []
+        nodes, keys = [], []
         for node in batch.column("node").to_pylist():
             field, text = node.split("\x01", 1)
-            name = parse_name(text, field == "creators")
-            entries = [("", "p" + k) for k in sorted(_person_keys(name))] if name.person else [("", k) for k in sorted(_initial_keys(name)) if name.words] + [(w, "o" + d) for w in dict.fromkeys(name.words) if len(w) > 1 for d in sorted(deletes(w))]
-            for w, k in entries:
+            for k in sorted(keys_of(parse_name(text, field == "creators"))):
                 nodes.append(node)
-                words.append(w)
                 keys.append(field + k)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(words, pa.string()), pa.array(keys, pa.string())], names=["node", "word", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(keys, pa.string())], names=["node", "key"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,26 +363,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             field, ta = a.split("\x01", 1)
-            x, y = parse_name(ta, field == "creators"), parse_name(b.split("\x01", 1)[1], field == "creators")
-            kind = relate(x, y)
+            kind, lx, ly = relate(parse_name(ta, field == "creators"), parse_name(b.split("\x01", 1)[1], field == "creators"))
             if kind == LINK:
                 rows.append((a, b, 1))
-            elif kind == LESS:
-                lx, ly = _rank(x), _rank(y)
-                if lx != ly:
-                    rows.append((a, b, 10 + lx) if lx < ly else (b, a, 10 + ly))
+            elif kind == LESS and lx != ly:
+                rows.append((a, b, 10 + lx) if lx < ly else (b, a, 10 + ly))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["a", "b", "kind"])
 
 
-def _rank(name: Name) -> int:
-    """How much a name says: 0 an initial, 1 initials, 2 a given name, 3 given and middle names."""
-    if not name.person:
-        return 0 if name.acronym else 3
-    if name.level == 0:
-        return 0 if len(name.parses[0][1]) <= 1 else 1
-    return 1 + name.level
-
-
 def link_names(names: DataFrame) -> DataFrame:
     """``field_name``, ``name``, ``group_id`` of the distinct strings of names (``field_name``, ``name``).
 
@@ -338,14 +381,7 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     nodes = names.where("field_name is not null and name is not null and trim(name) <> ''").select(F.concat_ws("\x01", "field_name", "name").alias("node")).distinct()
     nodes = materialize(nodes, "names")
-    filed = materialize(nodes.mapInArrow(_file, "node string, word string, key string"), "name-index")
-    size = filed.groupBy("key").agg(F.count_distinct("node").alias("size"))
-    # names other than persons are filed under the word whose neighbourhood is rarest, and under others that are as good as rare
-    words = filed.where("word <> ''").join(size, "key").groupBy("node", "word").agg(F.max("size").alias("size"))
-    rarest = words.groupBy("node").agg(F.min(F.struct("size", "word")).alias("r")).select("node", F.col("r.word").alias("word"))
-    rarest = rarest.unionByName(words.where(F.col("size") <= RARE).select("node", "word")).distinct()
-    index = filed.where("word = ''").select("node", "key").unionByName(filed.join(rarest, ["node", "word"]).select("node", "key"))
-    index = materialize(index, "name-keys")
+    index = materialize(nodes.mapInArrow(_file, "node string, key string"), "name-keys")
     # a key of many names is cut into cells of the one side, each of which meets all of the other
     parts = index.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("key", "parts")
     cut = materialize(index.join(parts, "key"), "name-cells")
@@ -373,10 +409,15 @@ def link_names(names: DataFrame) -> DataFrame:
 
 
 def name_pairs(groups: DataFrame) -> DataFrame:
-    """``field_name``, ``name_a``, ``name_b``: the pairs of different strings within each group, name_a < name_b."""
-    a = groups.select("group_id", "field_name", F.col("name").alias("name_a"))
-    b = groups.select("group_id", F.col("name").alias("name_b"))
-    return a.join(b, "group_id").where("name_a < name_b").select("field_name", "name_a", "name_b")
+    """``field_name``, ``name_a``, ``name_b``: the pairs of different strings within each group, name_a < name_b.
+
+    A group of many names is cut into cells of the one side, each of which meets all of the other."""
+    g = groups.select("group_id", "field_name", "name").distinct()
+    parts = g.groupBy("field_name", "group_id").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    g = g.join(parts, ["field_name", "group_id"])
+    a = g.select("group_id", "field_name", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), "parts").cast("int").alias("cell"))
+    b = g.select("group_id", "field_name", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("cell"))
+    return a.join(b, ["field_name", "group_id", "cell"]).where("name_a < name_b").select("field_name", "name_a", "name_b")
 
 
 def names_of(df: DataFrame, list_col: str = "creators", text_col: str = "publication") -> DataFrame:
