@@ -6,11 +6,14 @@
 * Hyphenation. A word cut at a line end is joined where the joined form is likelier than the compound.
 * Misread characters. A noisy channel: of each word and of the words that could be misread as it (by the
   confusions below) the likelihood under the corpus' word and word pair counts times the probability of
-  the confusions is decoded by Viterbi, line by line. Counts that misreadings of a more frequent word
-  explain are not counted as evidence for a word.
-
-The counts cover all pages of the corpus. They are kept as two count-min tables of 2**23 counters each,
-so that what is broadcast has a fixed size (16 MB) at any scale.
+  the confusions is decoded by Viterbi, line by line. What misreadings of other words explain of a word's
+  count is no evidence for it; nothing else keeps a candidate out.
+
+The counts cover all pages of the corpus. They are kept as two tables of 2**``bits`` counters each, so that
+what is broadcast has a fixed size (16 MB) at any scale; what a counter holds on average is taken off what it
+says, so a full table says nothing rather than something wrong. How the probability of a misreading is
+shared among the confusions is estimated from the corpus: every word that misreadings explain counts for the
+confusion that explains it best, against how often what is printed could have been misread so.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.session import few_tasks, materialize
+
 BITS = 23
 CELLS = 1 << BITS
 SLICE = 1 << 18
-#: What is read for what is printed, with the share of misreadings it makes up.
+#: What is read for what is printed; the share of each is estimated from the corpus.
 CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("l", "i"), ("i", "l"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"),
     ("ä", "a"), ("a", "ä"), ("á", "a"), ("à", "a"), ("ö", "o"), ("ü", "u"), ("u", "ü"), ("o", "ö"), ("q", "g"), ("g", "q"), ("v", "y"), ("y", "v"), ("b", "h"), ("h", "b"),
@@ -40,20 +45,29 @@ CONFUSIONS = [
     ("m", "nn"), ("in", "m"), ("n", "u"), ("u", "n"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("2", "z"), ("4", "a"), ("3", "e"), ("j", "i"), ("é", "e"), ("è", "é"), ("|", "l"), ("€", "e"), ("ß", "b"), ("b", "ß"),
 ]
 _BY_READ: dict[str, list[str]] = {}
+_KINDS = frozenset(CONFUSIONS)
 for _read, _printed in CONFUSIONS:
     _BY_READ.setdefault(_read, []).append(_printed)
-#: Probability that a word is misread by one given confusion, and the largest share of a word's
-#: occurrences that one misreading of it can take.
-P_CONFUSION, EXPLAINED = 0.004, 0.03
-#: Confusions in one word; the least count of a word that a misreading is led back to.
-MOST_CONFUSIONS, LEAST_COUNT = 2, 4
+#: Mean probability that a word is misread by one given confusion, and the largest share of a word's
+#: occurrences that one misreading of it can take, as a multiple of its probability.
+P_CONFUSION, OFTEN = 0.004, 7.5
+#: A confusion's share of the mean probability lies within this factor; what stands for it before any is seen.
+WITHIN, PRIOR = 8.0, 20.0
+#: Confusions in one word that has figures among its letters; others have one.
+MOST_CONFUSIONS = 2
+#: Occurrences after which the word before is half as good a guide as can be.
+TRUST = 50.0
+#: The count that a word not known otherwise has; of words under SHORT letters, so many times more for each letter
+#: less, as short words come about by themselves.
+NEW, SHORT, SHORTER = 0.014, 6, 12.0
 
 WORD = re.compile(r"[^\W_]+")
+#: Words, and entities, which are none.
+_WORDS = re.compile(r"&[^\W_]+;|[^\W_]+")
 HYPHENS = "-­‐‑¬"
 _CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t]*$")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n\s*")
-_LAST = re.compile(r"[^\W\d_]+\Z")
 _FIRST = re.compile(r"\s*[^\W\d_]+")
 _NEXT = re.compile(r"[ \t]*([^\W\d_]+)")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "j": "l", "5": "s", "6": "b", "8": "b", "h": "b", "e": "c", "é": "c", "t": "f", "ä": "a", "á": "a", "à": "a", "ö": "o", "ü": "u", "q": "g", "9": "g", "y": "v"})
@@ -102,22 +116,30 @@ def _add_hashes(table: np.ndarray, h: np.ndarray, n: int) -> None:
 
 
 def page_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    found = _WORDS.findall(text.lower())
+    return [w for w in found if w[0] != "&"] if "&" in text else found
+
+
+def _word_before(text: str, end: int, least: int) -> int:
+    """Where the letters that end at `end` begin."""
+    while end > least and text[end - 1].isalpha():
+        end -= 1
+    return end
 
 
 def _unbroken(page: str) -> str:
     """A page without the halves of words cut at line ends."""
     out, at = [], 0
     for m in _BREAK.finditer(page):
-        left = _LAST.search(page, max(at, m.start() - 40), m.start())
+        left = _word_before(page, m.start(), at)
         right = _FIRST.match(page, m.end())
-        if left and right:
-            out.append(page[at : left.start()])
+        if left < m.start() and right:
+            out.append(page[at:left])
             at = right.end()
     out.append(page[at:])
     text = "\n".join(out).strip()
-    if text[-1:] in HYPHENS:
-        text = text[: _LAST.search(text, max(0, len(text) - 41), len(text) - 1).start()] if _LAST.search(text, max(0, len(text) - 41), len(text) - 1) else text
+    if text and text[-1] in HYPHENS:
+        text = text[: _word_before(text, len(text) - 1, 0)] if text[-2:-1].isalpha() else text
     first = _FIRST.match(text)
     return text[first.end() :] if first else text
 
@@ -127,6 +149,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     get = hashes.__getitem__
     seen = False
+    words: Counter = Counter()
     for batch in batches:
         seen = True
         flat: list[int] = []
@@ -134,7 +157,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pages in batch.column("pages").to_pylist():
             for page in pages or ():
                 if page:
-                    flat += map(get, page_words(_unbroken(page)))
+                    found = page_words(_unbroken(page))
+                    words.update(found)
+                    flat += map(get, found)
                     flat.append(0)  # no pair over a page end
                     if "-" in page:
                         extra += map(get, (x.lower() for x in _COMPOUND.findall(page)))
@@ -145,9 +170,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = ((a[both] * np.uint64(_K1)) ^ (b[both] * np.uint64(_K2))) * np.uint64(_K1)
             _add_hashes(one, np.concatenate([h[h != 0], np.array(extra, np.uint64)]), WORD_HASHES)
             _add_hashes(two, pairs, PAIR_HASHES)
+        if len(words) > 200_000:
+            yield _word_rows(words)
+            words.clear()
     if seen:
+        yield _word_rows(words)
         parts = [(t, i, zlib.compress(table[i * SLICE : (i + 1) * SLICE].tobytes(), 1)) for t, table in enumerate((one, two)) for i in range(CELLS // SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], names=["kind", "part", "counts"])
+        none = pa.nulls(len(parts))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.string()), none.cast(pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], names=_COUNTED)
+
+
+_COUNTED = ["word", "n", "kind", "part", "counts"]
+
+
+def _word_rows(words: Counter) -> pa.RecordBatch:
+    none = pa.nulls(len(words))
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=_COUNTED)
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,27 +200,82 @@ class Tables(NamedTuple):
     words: bytes
     pairs: bytes
     total: float
+    noise: tuple[float, float]  # what a counter of either table holds on average
+    shares: dict[tuple[str, str], float]  # probability of (read, printed)
 
 
 def corpus_tables(pages: DataFrame) -> Tables:
-    """Word and word pair counts over all rows of pages (``pages ARRAY<STRING>``)."""
-    tables = [bytearray(CELLS), bytearray(CELLS)]
-    total = 0.0
-    summed = pages.mapInArrow(_count, "kind int, part int, counts binary").groupBy("kind", "part").applyInPandas(_add, "kind int, part int, counts binary, total double")
+    """Word and word pair counts over all rows of pages (``pages ARRAY<STRING>``), and the probabilities of the
+    confusions. What comes to the driver has a fixed size."""
+    counted = materialize(few_tasks(pages).mapInArrow(_count, "word string, n long, kind int, part int, counts binary"), "ocr-counts")
+    tables, totals = [bytearray(CELLS), bytearray(CELLS)], [0.0, 0.0]
+    summed = counted.where("kind is not null").select("kind", "part", "counts").groupBy("kind", "part").applyInPandas(_add, "kind int, part int, counts binary, total double")
     for row in summed.toLocalIterator():
         tables[row["kind"]][row["part"] * SLICE : (row["part"] + 1) * SLICE] = row["counts"]
-        total += row["total"] if row["kind"] == 0 else 0
-    return Tables(bytes(tables[0]), bytes(tables[1]), max(1.0, total))
+        totals[row["kind"]] += row["total"]
+    made = Tables(bytes(tables[0]), bytes(tables[1]), max(1.0, totals[0] / WORD_HASHES), (totals[0] / CELLS, totals[1] / CELLS), {})
+    words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    sent = pages.sparkSession.sparkContext.broadcast(made)
+    seen = words.mapInArrow(_explain(sent), "read string, printed string, hits double, chances double").groupBy("read", "printed").agg(F.sum("hits").alias("hits"), F.sum("chances").alias("chances"))
+    return made._replace(shares=shares_of({(r["read"], r["printed"]): (r["hits"], r["chances"]) for r in seen.collect()}))
+
+
+def shares_of(seen: dict[tuple[str, str], tuple[float, float]]) -> dict[tuple[str, str], float]:
+    """Probabilities of the confusions from (misreadings, chances) of each; their mean is P_CONFUSION."""
+    hits, chances = (sum(x[i] for x in seen.values()) for i in (0, 1))
+    if not hits or not chances:
+        return {}
+    mean = hits / chances
+    rate = {k: min(WITHIN, max(1 / WITHIN, (h + PRIOR) / (c * mean + PRIOR))) for k, (h, c) in seen.items()}
+    return {k: P_CONFUSION * r for k, r in rate.items()}
+
+
+def _explain(tables_b):
+    """Of each confusion: occurrences of words that it explains best, and places where it could have happened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = Corpus(tables_b.value)
+        hits: Counter = Counter()
+        chances: Counter = Counter()
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                for kind in CONFUSIONS:
+                    if kind[1] in word:
+                        chances[kind] += n * word.count(kind[1])
+                if len(word) > 1 and not word.isdigit():
+                    best = max(((corpus.count(v), kind) for v, kind in one_confusion(word)), default=(0.0, None))
+                    if best[0] > n and OFTEN * P_CONFUSION * best[0] >= n - 1:
+                        hits[best[1]] += n * P_CONFUSION * best[0] / (P_CONFUSION * best[0] + new_count(word))
+        kinds = sorted(set(hits) | set(chances))
+        columns = [pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.string()), pa.array([float(hits[k]) for k in kinds]), pa.array([float(chances[k]) for k in kinds])]
+        yield pa.RecordBatch.from_arrays(columns, names=["read", "printed", "hits", "chances"])
+
+    return run
+
+
+def new_count(word: str) -> float:
+    return NEW * SHORTER ** max(0, SHORT - len(word))
+
+
+def one_confusion(word: str) -> Iterator[tuple[str, tuple[str, str]]]:
+    """The words that one confusion could have turned into this one, with the confusion."""
+    for i in range(len(word)):
+        for size in (1, 2):
+            read = word[i : i + size]
+            if len(read) == size:
+                for printed in _BY_READ.get(read, ()):
+                    yield word[:i] + printed + word[i + size :], (read, printed)
 
 
 class Corpus:
     """Likelihoods from the tables, with candidate words for each word."""
 
     def __init__(self, tables: Tables) -> None:
-        self.words, self.pairs, self.total = tables
+        self.words, self.pairs, self.total, self.noise, self.shares = tables
         self.known: dict[str, float] = {}
         self.options: dict[str, list[tuple[str, float, float]]] = {}
         self.right: set[str] = set()  # words without another candidate
+        self.unproven: set[str] = set()  # words of whose count nothing is left that misreadings don't explain
 
     def all_right(self, text: str) -> bool:
         """Whether no word of a text has another candidate."""
@@ -201,12 +294,18 @@ class Corpus:
             if len(self.known) > 500_000:
                 self.known.clear()
             level = min([self.words[i] for i in _cells(_hash(word), WORD_HASHES)])
-            c = self.known[word] = float(level) if level < 128 else 128 * 2 ** ((level - 128) / 4)
+            c = self.known[word] = self._above(level, self.noise[0])
         return c
 
+    @staticmethod
+    def _above(level: int, noise: float) -> float:
+        """What a counter says, less what it holds on average, where that is a count at all."""
+        c = float(level) if level < 128 else 128 * 2 ** ((level - 128) / 4)
+        return c if noise < 1 else max(0.0, c - noise)
+
     def pair(self, a: str, b: str) -> float:
         level = min([self.pairs[i] for i in _cells(_pair_hash(_hash(a), _hash(b)), PAIR_HASHES)])
-        return float(level) if level < 128 else 128 * 2 ** ((level - 128) / 4)
+        return self._above(level, self.noise[1])
 
     def candidates(self, word: str) -> list[tuple[str, float, float]]:
         """(printed word, its count, log probability of the confusions), the word itself first; only
@@ -216,38 +315,54 @@ class Corpus:
             return found
         if len(self.options) > 200_000:
             self.options.clear()
+            self.unproven.clear()
         own = self.count(word)
         result = [(word, own, 0.0)]
-        if len(word) >= 3 and not word.isdigit():
-            near = {word: 0}
+        if len(word) > 1 and not word.isdigit():
+            p = lambda kind: self.shares.get(kind, P_CONFUSION)
+            near = {word: 1.0}  # probability of the confusions
+            back = {}  # how often the word can have been misread as another
             edge = [word]
-            for step in range(1, MOST_CONFUSIONS + 1):
+            for _ in range(MOST_CONFUSIONS if any(c.isdigit() for c in word) else 1):
                 nxt = []
                 for w in edge:
-                    for i in range(len(w)):
-                        for size in (1, 2):
-                            for printed in _BY_READ.get(w[i : i + size], ()) if i + size <= len(w) else ():
-                                v = w[:i] + printed + w[i + size :]
-                                if v not in near:
-                                    near[v] = step
-                                    nxt.append(v)
-                # a second confusion only for words with figures among their letters
-                if not any(c.isdigit() for c in word):
-                    break
-                edge = nxt[:400]
-            best = 0.0
-            for v, step in near.items():
-                if step and (c := self.count(v)) >= LEAST_COUNT and c * EXPLAINED >= own - 1 + 1e-9 and c >= 4 * own and not any(x.isdigit() for x in v):
-                    result.append((v, c, step * math.log(P_CONFUSION)))
-                    best = max(best, c)
-            result[0] = (word, max(0.0, own - 1 - EXPLAINED * best), 0.0)
+                    for v, kind in one_confusion(w):
+                        if v not in near:
+                            near[v] = near[w] * p(kind)
+                            nxt.append(v)
+                            if w == word and kind[::-1] in _KINDS:
+                                back[v] = OFTEN * p(kind[::-1]) * own
+                edge = nxt
+            explained = 0.0
+            for v, chance in near.items():
+                if v != word and (c := self.count(v) - back.get(v, 0.0)) > 0 and not any(x.isdigit() for x in v):
+                    result.append((v, c, math.log(chance)))
+                    explained = max(explained, OFTEN * chance * c)
+            left = max(0.0, own - 1 - explained)
+            if left < 1:
+                self.unproven.add(word)
+            result[0] = (word, left + new_count(word), 0.0)
+            self._thin(result)
         self.options[word] = result
         return result
 
-    def log_likelihood(self, before: str | None, word: str, count: float) -> float:
-        p = count / self.total * 0.7 + 1e-10
-        if before is not None and count > 0 and (c := self.count(before)) > 0:
-            p += 0.3 * self.pair(before, word) / c
+    def _thin(self, options: list[tuple[str, float, float]]) -> None:
+        """Drop what no context can make the likeliest: what it has at best stays under what the word itself has
+        at least."""
+        own = math.log(self._word(options[0][1]) / 2)
+        options[1:] = [x for x in options[1:] if x[2] + math.log(self._word(x[1]) + x[1] / (x[1] + TRUST)) > own]
+
+    def _word(self, count: float) -> float:
+        return count / self.total + 1e-12
+
+    def log_likelihood(self, before: str | None, word: str, count: float, seen: bool) -> float:
+        """Of a word after another one. The word before tells as much as it is known itself; what stands on the
+        page (seen) is no evidence for itself."""
+        p = self._word(count)
+        if before is not None and (c := self.count(before) - seen) > 0:
+            pair = 0.0 if seen and word in self.unproven else self.pair(before, word) - seen
+            trust = c / (c + TRUST)
+            p = max((1 - trust) * p, p / 2) + trust * min(1.0, max(0.0, pair) / c)
         return math.log(p)
 
     def decode(self, words: list[str]) -> list[str]:
@@ -255,14 +370,17 @@ class Corpus:
         layers = [self.candidates(w) for w in words]
         if all(len(x) == 1 for x in layers):
             return words
-        score = [[ch + self.log_likelihood(None, v, c) for v, c, ch in layers[0]]]
+        score = [[ch + self.log_likelihood(None, v, c, False) for v, c, ch in layers[0]]]
         back: list[list[int]] = [[-1] * len(layers[0])]
         for prev, cur in zip(layers, layers[1:]):
             row, ptr = [], []
-            for v, c, ch in cur:
-                best, arg = max((s + self.log_likelihood(p[0], v, c), -i) for i, (s, p) in enumerate(zip(score[-1], prev)))
-                row.append(best + ch)
-                ptr.append(-arg)
+            if len(cur) == 1 and len(prev) == 1:  # nothing to choose
+                row, ptr = [score[-1][0]], [0]
+            else:
+                for n, (v, c, ch) in enumerate(cur):
+                    best, arg = max((s + self.log_likelihood(p[0], v, c, not n and not i), -i) for i, (s, p) in enumerate(zip(score[-1], prev)))
+                    row.append(best + ch)
+                    ptr.append(-arg)
             score.append(row)
             back.append(ptr)
         at = max(range(len(score[-1])), key=lambda i: (score[-1][i], -i))
@@ -291,8 +409,6 @@ def _value(s: str) -> int | None:
 def _number(line: str) -> tuple[str, int | None, bool] | None:
     """(rest of the line, value, whether the form alone tells a page number), or None without a number."""
     line = line.strip()
-    if len(line) > 160:
-        return None
     if m := _OWN.match(line):
         marked = bool(m[2] or m[4] or (m[1].strip() and m[5].strip()) or "|" in m[1] + m[5])
         value = _value(m[3])
@@ -336,14 +452,25 @@ def page_structure(pages: list[str | None], unpaged: bool = False) -> list[Page]
     If unpaged, pages are the blocks between the blank lines of a text whose page ends are not known. Page
     ends are among its blank lines, so running lines are found as on pages. Numbers count on in order of
     place instead of page by page, and one that does not count is bare only at the ends of the text.
+
+    Two lines at either end are looked at, and as many more as stand behind running lines and page numbers only.
     """
     cut = [(p or "").split("\n") for p in pages]
+    full = [[i for i, x in enumerate(lines) if x.strip()] for lines in cut]
+    depth = 2
+    while True:
+        out = _structure(cut, full, depth, unpaged)
+        gone = [p.running | p.numbers for p in out]
+        if not any(len(f) > 2 * depth and (all(i in g for i in f[:depth]) or all(i in g for i in f[-depth:])) for f, g in zip(full, gone)):
+            return out
+        depth += 1
+
+
+def _structure(cut: list[list[str]], full: list[list[int]], depth: int, unpaged: bool) -> list[Page]:
     edges: list[list[tuple[int, str]]] = []
-    for lines in cut:
-        full = [i for i, x in enumerate(lines) if x.strip()]
-        top = full[: min(2, len(full))]
-        foot = [i for i in full[-2:] if i not in top]
-        edges.append([(i, "top") for i in top] + [(i, "foot") for i in foot])
+    for lines in full:
+        top = lines[:depth]
+        edges.append([(i, "top") for i in top] + [(i, "foot") for i in lines[-depth:] if i not in top])
     seen: dict[str, set[int]] = {}
     numbered: dict[tuple[int, int], tuple[str, int | None, bool]] = {}
     for k, (lines, edge) in enumerate(zip(cut, edges)):
@@ -353,7 +480,7 @@ def page_structure(pages: list[str | None], unpaged: bool = False) -> list[Page]
                 numbered[k, i] = found
             rest = found[0] if found else lines[i]
             key = _fold(rest)
-            if len(key) >= 4 and len(rest) <= 160:
+            if len(key) >= 4:
                 seen.setdefault(where + key, set()).add(k)
     often = {key for key, at in seen.items() if len(at) >= 3}
     steps: Counter = Counter()
@@ -494,7 +621,7 @@ def _fix_line(line: str, corpus: Corpus) -> str | None:
         line = _LOST.sub(lambda m: _lost(m, corpus), line)
         again = _fix_line(line.replace("\ufffd", ""), corpus) if "\ufffd" in line else _fix_line(line, corpus)
         return again if again is not None else line
-    spans = [(m.start(), m.end()) for m in WORD.finditer(line)]
+    spans = [m.span() for m in _WORDS.finditer(line) if line[m.start()] != "&"]
     if not spans:
         return None
     words = [line[s:e].lower() for s, e in spans]

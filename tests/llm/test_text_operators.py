@@ -272,3 +272,53 @@ def test_texts_without_pages_count_in_the_corpus(spark):
     df = spark.createDataFrame([(1, ["The comrnittee met."], None), (2, None, "The committee met. " * 200)], "ocr_id long, page_markdowns array<string>, markdown string")
     got = {r["id"]: r["paragraphs"] for r in ocr_noise.repair_pages(df, text_col="markdown").collect()}
     assert got[1] == ["The committee met."]
+
+
+def tables(counts, pairs=(), shares=None):
+    """Tables of known counts."""
+    words, both = bytearray(ocr_noise.CELLS), bytearray(ocr_noise.CELLS)
+    for word, n in counts.items():
+        for at in ocr_noise._cells(ocr_noise._hash(word), ocr_noise.WORD_HASHES):
+            words[at] = min(127, n)
+    for a, b in pairs:
+        for at in ocr_noise._cells(ocr_noise._pair_hash(ocr_noise._hash(a), ocr_noise._hash(b)), ocr_noise.PAIR_HASHES):
+            both[at] = 100
+    return ocr_noise.Tables(bytes(words), bytes(both), float(sum(counts.values())), (0.0, 0.0), shares or {})
+
+
+def test_context_and_channel_decide():
+    counts = {"farther": 100, "father": 100, "father5": 1, "lampe": 50, "lampc": 1, "larnpe": 40, "the": 120, "modern": 60, "modem": 60, "old": 90, "usb": 90} | {f"word{c}": 120 for c in "abcdefghijklmnop"}
+    corpus = ocr_noise.Corpus(tables(counts, [("usb", "modem"), ("old", "modern")]))
+    assert corpus.decode(["the", "lampc"]) == ["the", "lampe"]
+    # both words are known: the word before tells which was printed
+    certain = ocr_noise.Corpus(tables(counts, [("usb", "modem")], {("rn", "m"): 0.05}))
+    assert certain.decode(["usb", "modern"]) == ["usb", "modem"] and certain.decode(["old", "modern"]) == ["old", "modern"]
+    # and the channel: what is hardly ever misread so stays
+    rare = ocr_noise.Corpus(tables(counts, [("usb", "modem")], {("rn", "m"): 1e-7}))
+    assert rare.decode(["usb", "modern"]) == ["usb", "modern"]
+
+
+def test_shares_follow_what_was_seen():
+    seen = {("rn", "m"): (900.0, 1e6), ("c", "e"): (10.0, 1e6), ("q", "g"): (0.0, 10.0)}
+    p = ocr_noise.shares_of(seen)
+    assert p["rn", "m"] > 1.5 * ocr_noise.P_CONFUSION > 5 * p["c", "e"] and abs(p["q", "g"] / ocr_noise.P_CONFUSION - 1) < 0.1
+    assert ocr_noise.shares_of({}) == {}
+
+
+def test_full_tables_say_nothing():
+    t = tables({"the": 100})
+    full = t._replace(words=bytes(b"\x64" * ocr_noise.CELLS), pairs=bytes(b"\x64" * ocr_noise.CELLS), noise=(100.0, 100.0))
+    corpus = ocr_noise.Corpus(full)
+    assert corpus.count("any") == 0 and corpus.pair("any", "word") == 0 and corpus.decode(["tbe", "old"]) == ["tbe", "old"]
+
+
+def test_running_lines_of_any_number_and_length():
+    long = "A long running line " + "of many words " * 20
+    pages = [f"Journal of Tests\nVolume two\n{long}\nBody {word} here.\nMore {word}.\nIts {word}.\nThe {word}." for word in ("one", "two", "three", "four")]
+    assert all(p.running == {0, 1, 2} for p in ocr_noise.page_structure(pages))
+
+
+def test_entities_are_no_words():
+    assert ocr_noise.page_words("a &lt; b&amp;c") == ["a", "b", "c"]
+    corpus = ocr_noise.Corpus(tables({"it": 120}))
+    assert ocr_noise._fix_line("if x &lt; 3", corpus) is None
