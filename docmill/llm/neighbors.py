@@ -2,11 +2,12 @@
 
 * The trees are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed.
 * A vector is indexed in its own leaf of each tree. As a query it takes leaves of all trees from one
-  priority queue ordered by the smallest margin on the way, until ``probes`` leaves are taken.
-* Rows are grouped by leaf. Within a leaf the cosine similarities are exact; of each leaf a query keeps
-  its best k, and the best k over all its leaves are the result.
-* A leaf of more than ``LEAF_MAX`` vectors (more data than the sample can split) is searched through a
-  forest of its own, fitted on that leaf.
+  priority queue ordered by the largest margin on the way, until ``probes`` leaves are taken.
+* Leaves that stand beside one another in a tree form a group, to which a vector is sent once for all its leaves
+  there. Within a leaf the cosine similarities are exact; a query keeps its best k of a group, and the best
+  k over all its groups are the result.
+* A leaf of which the sample says that it holds more than ``CELL`` vectors is dealt into parts; its queries meet
+  every part, so no task holds it whole.
 
 Vectors with equal elements are copies: the k + 1 smallest ids stand for the class, which is exact,
 since with ties broken by id nobody takes another of them.
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from docmill.session import materialize
 
-SAMPLE = 65536
-LEAF = 256
-LEAF_MAX = 8192
+SAMPLE = 131_072
+#: Vectors of a leaf (points of the sample, if it is the smaller), of a part of a leaf and of a group of leaves.
+LEAF, CELL, GROUP = 512, 16_384, 16_384
+#: Parts into which the members of one class of copies are dealt where they meet what the class found.
+SALT = 64
 
 
 class Forest:
@@ -37,6 +40,7 @@ class Forest:
         self.offset: list[float] = []
         self.child: list[list[int]] = []  # children; a negative one is -1 - leaf
         self.leaves = 0
+        self.depth = 1
         self.roots = [self._grow(sample, np.arange(len(sample)), leaf, rng, 0) for _ in range(trees)]
         dim = sample.shape[1] if sample.ndim == 2 else 1
         self.normal_a = np.array(self.normal, np.float32).reshape(-1, dim)
@@ -44,6 +48,7 @@ class Forest:
         self.child_a = np.array(self.child, np.int64).reshape(-1, 2)
 
     def _grow(self, x: np.ndarray, at: np.ndarray, leaf: int, rng, depth: int) -> int:
+        self.depth = max(self.depth, depth)
         if len(at) <= leaf or depth > 40:
             self.leaves += 1
             return -self.leaves
@@ -83,7 +88,8 @@ class Forest:
         column of each tree comes first, so columns [0, trees) are the leaves x itself belongs to."""
         n, trees = len(x), len(self.roots)
         out = np.full((n, probes), -1, np.int64)
-        width = trees + probes * 24
+        # a way down passes as many branches as its tree is deep at most
+        width = trees + probes * self.depth
         prio = np.full((n, width), np.inf, np.float32)
         node = np.zeros((n, width), np.int64)
         used = np.full(n, trees, np.int64)
@@ -106,49 +112,65 @@ class Forest:
                 margin = np.einsum("ij,ij->i", x[r], self.normal_a[c]) - self.offset_a[c]
                 go = np.where(margin > 0, 0, 1)
                 slot = used[r]
-                ok = slot < width
-                prio[r[ok], slot[ok]] = np.maximum(floor[inner], np.abs(margin))[ok]
-                node[r[ok], slot[ok]] = self.child_a[c, 1 - go][ok]
+                prio[r, slot] = np.maximum(floor[inner], np.abs(margin))
+                node[r, slot] = self.child_a[c, 1 - go]
                 used[r] += 1
                 cur[inner] = self.child_a[c, go]
             out[live, step] = -1 - cur
         return out, trees
 
 
-_IDS = np.dtype("<i8")
+class Layout:
+    """How the leaves of a forest are dealt into parts and groups, by what the sample says of their sizes."""
 
+    def __init__(self, forest: Forest, sample: np.ndarray, rows: int) -> None:
+        own, trees = forest.search(sample, len(forest.roots))
+        size = np.bincount(own[:, :trees].ravel(), minlength=forest.leaves) * (rows / max(1, len(sample)))
+        self.parts = np.maximum(1, np.ceil(size / CELL)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.parts)[:-1]])
+        # neighbouring parts share a group up to its size
+        each = np.repeat(size / self.parts, self.parts)
+        self.group = (np.cumsum(each) // GROUP).astype(np.int64)
 
-def _unpack(blobs: list, ids: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.frombuffer(x, np.float32) for x in blobs]).reshape(-1, dim), np.concatenate([np.frombuffer(x, _IDS) for x in ids])
+    def cells(self, leaves: np.ndarray, trees: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether the row is indexed there) of rows and their leaves, as Forest.search gives them."""
+        n, probes = leaves.shape
+        who, leaf, own = np.repeat(np.arange(n), probes), leaves.ravel(), np.tile(np.arange(probes) < trees, n)
+        who, leaf, own = who[leaf >= 0], leaf[leaf >= 0], own[leaf >= 0]
+        times = self.parts[leaf]
+        part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        who, leaf, own = np.repeat(who, times), np.repeat(leaf, times), np.repeat(own, times)
+        with np.errstate(over="ignore"):
+            mine = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[who] % self.parts[leaf]
+        return who, self.first[leaf] + part, own & (mine == part)
 
 
 def _route(forest_b, dim: int, probes: int):
+    """Of each batch and group: the vectors that have a leaf there, and which cells of it they ask or belong to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = forest_b.value
+        forest, layout = forest_b.value
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             ids = np.array(batch.column("id").to_pylist(), np.int64)
             x = unit(np.asarray(batch.column("v").flatten(), dtype=np.float64).reshape(n, dim))
-            leaves, trees = forest.search(x, max(probes, len(forest.roots)))
-            leaf = leaves.ravel()
-            who = np.repeat(np.arange(n), leaves.shape[1])
-            own = np.tile(np.arange(leaves.shape[1]) < trees, n)
-            by = np.lexsort((~own, leaf))
-            by = by[leaf[by] >= 0]
-            leaf, who, own = leaf[by], who[by], own[by]
-            cut = np.flatnonzero(np.diff(leaf)) + 1
-            starts = np.concatenate([[0], cut])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(leaf[starts].astype(np.int32)),
-                    pa.array([int(o.sum()) for o in np.split(own, cut)], pa.int32()),
-                    pa.array([ids[w].tobytes() for w in np.split(who, cut)], pa.binary()),
-                    pa.array([x[w].tobytes() for w in np.split(who, cut)], pa.binary()),
-                ],
-                names=["leaf", "own", "ids", "vectors"],
-            )
+            who, cell, own = layout.cells(*forest.search(x, max(probes, len(forest.roots))), ids)
+            group = layout.group[cell]
+            by = np.lexsort((cell, who, group))
+            who, cell, own, group = who[by], cell[by], own[by], group[by]
+            new = np.concatenate([[True], (np.diff(who) != 0) | (np.diff(group) != 0)])  # of a vector in a group
+            row = np.cumsum(new) - 1
+            sent = who[new]
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+            ends = np.concatenate([starts[1:], [len(group)]])
+            rows = []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                a, b = row[s], row[e - 1] + 1
+                rows.append((int(group[s]), ids[sent[a:b]].tobytes(), x[sent[a:b]].tobytes(), (row[s:e] - a).astype(np.int32).tobytes(), cell[s:e].astype(np.int32).tobytes(), own[s:e].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "ids", "vectors", "row", "cell", "own"])
 
     return run
 
@@ -188,32 +210,35 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int
     return out
 
 
-def _leaf(dim: int, k: int, least: float):
+def _search(dim: int, k: int, least: float):
+    """Of one group: the best k of each vector that asks there."""
+
     def run(tab: pa.Table) -> pa.Table:
-        parts = [_unpack([v], [i], dim) for v, i in zip(tab.column("vectors").to_pylist(), tab.column("ids").to_pylist())]
-        own = tab.column("own").to_pylist()
-        x = np.concatenate([p[0][:o] for p, o in zip(parts, own)])
-        xid = np.concatenate([p[1][:o] for p, o in zip(parts, own)])
-        q, qid = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        if not len(x):
+        def column(name: str, kind) -> list[np.ndarray]:
+            return [np.frombuffer(v, kind) for v in tab.column(name).to_pylist()]
+
+        each = column("ids", np.int64)
+        ids, x = np.concatenate(each), np.concatenate(column("vectors", np.float32)).reshape(-1, dim)
+        before = np.concatenate([[0], np.cumsum([len(i) for i in each])])
+        row = np.concatenate([r + b for r, b in zip(column("row", np.int32), before)])
+        cell, own = np.concatenate(column("cell", np.int32)), np.concatenate(column("own", bool))
+        by = np.argsort(cell, kind="stable")
+        row, cell, own = row[by], cell[by], own[by]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        found = []
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            mine = row[s:e][own[s:e]]
+            if len(mine):
+                found += _best(x[row[s:e]], ids[row[s:e]], x[mine], ids[mine], k, least)
+        if not any(len(f[0]) for f in found):
             return _NEAR.empty_table()
-        if len(x) <= LEAF_MAX:
-            found = _best(q, qid, x, xid, k, least)
-        else:
-            inner = Forest(x[:: max(1, len(x) // SAMPLE)], 3, LEAF, seed=11)
-            mine, trees = inner.search(x, 3)
-            ask, _ = inner.search(q, 6)
-            found = []
-            xs, xl = np.tile(np.arange(len(x))[:, None], trees).ravel(), mine[:, :trees].ravel()
-            qs, ql = np.tile(np.arange(len(q))[:, None], ask.shape[1]).ravel(), ask.ravel()
-            xo, qo = np.argsort(xl, kind="stable"), np.argsort(ql, kind="stable")
-            for leaf in np.unique(xl):
-                a = xs[xo[np.searchsorted(xl[xo], leaf) : np.searchsorted(xl[xo], leaf, side="right")]]
-                b = qs[qo[np.searchsorted(ql[qo], leaf) : np.searchsorted(ql[qo], leaf, side="right")]]
-                found += _best(q[b], qid[b], x[a], xid[a], k, least)
-        if not found:
-            return _NEAR.empty_table()
-        return pa.table([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], schema=_NEAR)
+        a, b, sim = (np.concatenate([f[i] for f in found]) for i in range(3))
+        by = np.lexsort((b, -np.round(sim, 7), a))
+        a, b, sim = a[by], b[by], sim[by]
+        new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])  # met in two trees
+        a, b, sim = a[new], b[new], sim[new]
+        first = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+        return pa.table([pa.array(a[first]), pa.array(b[first]), pa.array(sim[first])], schema=_NEAR)
 
     return run
 
@@ -228,7 +253,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int = 2, probes: int = 6, leaf: int = LEAF) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int = 2, probes: int = 24, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``id``, ``neighbor``, ``similarity``: of each row its k most similar other rows by cosine.
 
     Rows without a usable vector take none and are taken by none. Only similarities of at least
@@ -250,14 +275,15 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k:
         return spark.createDataFrame([], "id long, neighbor long, similarity double")
     once = rows.dropDuplicates(["id"])
     one = once.join(firsts, "id", "left_semi") if copies else once
-    share = min(1.0, SAMPLE / firsts_n)
-    sample = one.where((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))) < share).select("v").limit(SAMPLE + SAMPLE // 8)
-    got = np.array([r[0] for r in sample.toLocalIterator()], np.float64).reshape(-1, dim)
-    forest = Forest(unit(got), trees, max(16, int(leaf * share)))
+    share = min(1.0, sample / firsts_n)
+    some = one.where((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))) < share).select("v").limit(sample + sample // 8)
+    got = unit(np.array([r[0] for r in some.toLocalIterator()], np.float64).reshape(-1, dim))
+    forest = Forest(got, trees, max(8, int(leaf * share)))
+    plan = spark.sparkContext.broadcast((forest, Layout(forest, got, firsts_n)))  # grows with the sample only
     near = (
-        one.mapInArrow(_route(spark.sparkContext.broadcast(forest), dim, probes), "leaf int, own int, ids binary, vectors binary")
-        .groupBy("leaf")
-        .applyInArrow(_leaf(dim, k, least), "id long, neighbor long, similarity double")
+        one.mapInArrow(_route(plan, dim, probes), "group int, ids binary, vectors binary, row binary, cell binary, own binary")
+        .groupBy("group")
+        .applyInArrow(_search(dim, k, least), "id long, neighbor long, similarity double")
         .distinct()
     )
     if copies:
@@ -267,13 +293,18 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k:
 
 
 def _with_copies(near: DataFrame, keyed: DataFrame, multi: DataFrame, k: int, least: float) -> DataFrame:
-    """Give every class found the ids that stand for it, and every copy what its class found."""
+    """Give every class found the ids that stand for it, and every copy what its class found.
+
+    A class can hold any part of the rows: its members are dealt by SALT before they meet its ids and finds."""
+    salt = F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt")
+    dealt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")
     of = multi.select(F.col("heads")[0].alias("neighbor"), F.slice("heads", 2, k + 1).alias("more"))
     near = near.join(of, "neighbor", "left")
     near = near.select("id", F.explode(F.concat(F.array("neighbor"), F.coalesce("more", F.array().cast("array<long>")))).alias("neighbor"), "similarity")
-    member = keyed.join(multi, ["h1", "h2"]).select("id", "heads")
-    others = member.where(F.col("id") != F.col("heads")[0]).select(F.col("heads")[0].alias("rep"), F.col("id").alias("copy"))
-    inherited = near.withColumnRenamed("id", "rep").join(others, "rep").select(F.col("copy").alias("id"), "neighbor", "similarity")
+    member = keyed.withColumn("salt", dealt).join(multi.select("h1", "h2", "heads", salt), ["h1", "h2", "salt"]).select("id", "heads", "salt")
+    others = member.where(F.col("id") != F.col("heads")[0]).select(F.col("heads")[0].alias("rep"), F.col("id").alias("copy"), "salt")
+    reps = near.join(multi.select(F.col("heads")[0].alias("id")), "id", "left_semi")
+    inherited = reps.select(F.col("id").alias("rep"), "neighbor", "similarity", salt).join(others, ["rep", "salt"]).select(F.col("copy").alias("id"), "neighbor", "similarity")
     equal = member.select("id", F.explode("heads").alias("neighbor"), F.lit(1.0).alias("similarity")).where("id <> neighbor").where(F.lit(least <= 1.0))
     return near.unionByName(inherited).unionByName(equal).where("id <> neighbor")
 

@@ -38,12 +38,26 @@ def test_recall(spark):
     assert all(a < b for a, b in pairs)
 
 
-def test_large_leaves_are_searched_by_a_forest(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "LEAF_MAX", 64)
+def test_large_leaves_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL", 16)
+    monkeypatch.setattr(neighbors, "GROUP", 16)
     x = clustered(600, 16, 2)
     want = brute(x, list(range(600)), 5, 0.85)
-    got = {(r["id"], r["neighbor"]) for r in nearest(frame(spark, list(enumerate(x))), least=0.85, dim=16).collect()}
-    assert len(got & want) / len(want) > 0.9
+    rows = frame(spark, list(enumerate(x)))
+    # one tree of one leaf: everything meets everything, part by part
+    got = {(r["id"], r["neighbor"]) for r in nearest(rows, least=0.85, dim=16, leaf=1000, trees=1, probes=1).collect()}
+    assert got == want
+    got = {(r["id"], r["neighbor"]) for r in nearest(rows, least=0.85, dim=16, leaf=64, sample=100).collect()}
+    assert len(got & want) / len(want) > 0.97
+
+
+def test_every_branch_waits_in_the_queue():
+    # a deep, lopsided tree: with as many probes as leaves every leaf comes up
+    rng = np.random.default_rng(3)
+    x = unit(np.cumsum(rng.exponential(size=(400, 4)), axis=0))
+    forest = neighbors.Forest(x, 2, 4)
+    leaves, _ = forest.search(x[:50], forest.leaves)
+    assert all(set(r) == set(range(forest.leaves)) for r in leaves)
 
 
 def test_unusable_vectors_and_scales(spark):
