@@ -4,20 +4,25 @@ Each source has a weight schedule over the training run. Its integral is the sou
 of tokens; a document that stands after c tokens of its source is due where that demand reaches c, so the
 inverse of the integral gives its position. Documents are then sorted by position, by ranges.
 
-A schedule runs straight from 1 - a at the start to 1 + a at the end, times the source's target share. By
-default a balances: large sources taper off, small ones grow, and the tokens due at any time are constant.
+A schedule is a table of (source, at, weight): straight lines between its points, level before the first and
+after the last, scaled so that the source gets its share in the whole. A source without one runs straight
+from 1 - a at the start to 1 + a at the end. By default a balances: large sources taper off, small ones grow,
+and the tokens due at any time are constant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.tokens import VOCABULARY, token_sizes
 from docmill.session import materialize
 
-#: Parts of one source over which running sums are built, so that no task holds a source.
-PARTS = 256
+#: Rows of a source that one part holds, of whose sums running sums are built so that no task holds a source,
+#: and the most parts of a source; their sums are broadcast.
+PART_ROWS, PARTS = 16_384, 65_536
+#: The steepest default schedules: down to 1 - 0.9 at the end, up to 1 + 0.5.
+FALL, RISE = 0.9, 0.5
 
 
 def source_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -34,21 +39,50 @@ def source_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None =
     p = p.withColumn("mix_share", F.when(F.col("supply") > 0, F.col("share")).otherwise(0.0) / F.sum(F.when(F.col("supply") > 0, F.col("share"))).over(every))
     size = F.lit(float(total_tokens)) if total_tokens else F.min(F.when(F.col("supply") > 0, F.col("supply") * F.col("repeats") / F.col("mix_share"))).over(every)
     p = p.withColumn("demand", F.least(F.col("mix_share") * size, F.col("supply") * F.col("repeats")))
-    balance = F.sum(F.col("mix_share") ** 2).over(every)
-    return p.withColumn("slope", F.greatest(F.lit(-0.9), F.lit(0.5) * (1 - F.col("mix_share") / balance)))
-
-
-def _inverse(y, slope):
-    """u with (1 - a) u + a u^2 = y, in [0, 1]."""
-    b = 1 - slope
-    return F.when(F.abs(slope) < 1e-9, y).otherwise((F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * slope * y)) - b) / (2 * slope))
-
-
-def mix_sources(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    # slopes that are in balance however they are scaled; scaled so that the steepest stays in bounds
+    lean = 1 - F.col("mix_share") / F.sum(F.col("mix_share") ** 2).over(every)
+    p = p.withColumn("lean", F.coalesce(lean, F.lit(0.0)))
+    steepest = F.min(F.when(F.col("mix_share") > 0, F.col("lean"))).over(every)
+    scale = F.when(steepest < 0, F.least(F.lit(RISE), -FALL / steepest)).otherwise(RISE)
+    return p.withColumn("slope", F.col("lean") * scale).drop("lean")
+
+
+def segments(points: list[tuple[float, float]]) -> list[tuple[float, float, float, float, float, float]]:
+    """(begin, end, weight at both, share of the whole before and after) of the straight lines between the points
+    of a schedule; negative weights count as none, and a schedule without any weight is level."""
+    p = sorted((min(1.0, max(0.0, t)), max(0.0, w)) for t, w in points)
+    p = [(0.0, p[0][1]), *p, (1.0, p[-1][1])] if p else [(0.0, 1.0), (1.0, 1.0)]
+    lines = [(t, u, v, w) for (t, v), (u, w) in zip(p, p[1:]) if u > t]
+    whole = sum((u - t) * (v + w) / 2 for t, u, v, w in lines)
+    if whole <= 0:
+        return [(0.0, 1.0, 1.0, 1.0, 0.0, 1.0)]
+    out, done = [], 0.0
+    for t, u, v, w in lines:
+        area = (u - t) * (v + w) / 2 / whole
+        out.append((t, u, v / whole, w / whole, done, done + area))
+        done += area
+    return [x for x in out if x[5] > x[4]]
+
+
+_SEGMENTS = "array<struct<begin:double,end:double,low:double,high:double,before:double,after:double>>"
+
+
+def _inverse(y: Column, lines: Column) -> Column:
+    """Where the integral of a schedule reaches y of the whole."""
+    one = F.coalesce(F.get(F.filter(lines, lambda s: y <= s["after"]), F.lit(0)), F.element_at(lines, -1))
+    rise = (one["high"] - one["low"]) / (one["end"] - one["begin"])
+    area = F.greatest(F.lit(0.0), y - one["before"])
+    root = F.sqrt(F.greatest(F.lit(0.0), one["low"] * one["low"] + 2 * rise * area))
+    # the form of the root that does not cancel
+    return F.least(one["end"], one["begin"] + F.when(area <= 0, 0.0).otherwise(2 * area / (one["low"] + root)))
+
+
+def mix_sources(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, id_col: str = "doc_id", vocabulary: str = VOCABULARY, schedules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, plan).
 
     mixture: ``doc_id``, ``source``, ``copy_no`` (from 0), ``tokens``, ``position`` in [0, 1], sorted by
-    position over range partitions; ties by id and copy. plan: see source_plan.
+    position over range partitions; ties by id and copy. plan: see source_plan. schedules: ``source``, ``at`` in
+    [0, 1], ``weight``; a small fixed table, of which rows with nulls are left out.
 
     A document is used at most max_repeats times. Which documents of a source come first is decided by a
     hash of the id and the seed. Null ids, null or empty texts, null sources and sources without a target
@@ -61,20 +95,28 @@ def mix_sources(df: DataFrame, targets: DataFrame, total_tokens: int | None = No
     sized = token_sizes(rows.join(F.broadcast(known), "source", "left_semi"), vocabulary).where("tokens > 0")
     sized = sized.groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"))
     order = F.xxhash64("doc_id", F.lit(seed))
-    sized = materialize(sized.withColumn("order", order).withColumn("part", F.pmod(F.shiftrightunsigned("order", 40), F.lit(PARTS))), "mix-sizes")
+    sized = materialize(sized.withColumn("order", order), "mix-sizes")
     plan = materialize(source_plan(sized, targets, total_tokens), "mix-plan")
+    rows = plan.collect()  # one per target source
+    parts = max(1, min(PARTS, -(-max((r["documents"] for r in rows), default=0) // PART_ROWS)))
+    sized = sized.withColumn("part", F.pmod(F.shiftrightunsigned("order", 40), F.lit(parts)))
+    own: dict[str, list[tuple[float, float]]] = {}
+    for r in schedules.where("source is not null and at is not null and weight is not null").select("source", F.col("at").cast("double"), F.col("weight").cast("double")).collect() if schedules is not None else ():
+        own.setdefault(r[0], []).append((r[1], r[2]))
+    drawn = [(r["source"], segments(own.get(r["source"]) or [(0.0, 1 - r["slope"]), (1.0, 1 + r["slope"])])) for r in rows]
+    drawn = df.sparkSession.createDataFrame(drawn, f"source string, lines {_SEGMENTS}")
     sums = sized.groupBy("source", "part").agg(F.sum("tokens").alias("sum"))
     before = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("part")) - F.col("sum")).drop("sum")
     inside = Window.partitionBy("source", "part").orderBy("order", "doc_id")
     placed = (
         sized.withColumn("run", F.sum("tokens").over(inside) - F.col("tokens"))
         .join(F.broadcast(before), ["source", "part"])  # at most PARTS rows per target source
-        .join(F.broadcast(plan.where("demand > 0").select("source", "supply", "repeats", "demand", "slope")), "source")
-        .select("doc_id", "source", "tokens", "supply", "demand", "slope", (F.col("before") + F.col("run")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy_no"))
+        .join(F.broadcast(plan.where("demand > 0").join(drawn, "source").select("source", "supply", "repeats", "demand", "lines")), "source")
+        .select("doc_id", "source", "tokens", "supply", "demand", "lines", (F.col("before") + F.col("run")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("copy_no"))
     )
     middle = F.col("copy_no") * F.col("supply") + F.col("at") + F.col("tokens") / 2
     due = placed.withColumn("middle", middle).where(F.col("middle") <= F.col("demand"))
-    mixture = due.select("doc_id", "source", "copy_no", "tokens", _inverse(F.col("middle") / F.col("demand"), F.col("slope")).alias("position"))
+    mixture = due.select("doc_id", "source", "copy_no", "tokens", _inverse(F.col("middle") / F.col("demand"), F.col("lines")).alias("position"))
     return mixture.repartitionByRange("position", "doc_id", "copy_no").sortWithinPartitions("position", "doc_id", "copy_no"), plan
 
 

@@ -201,3 +201,35 @@ def test_mixture(spark):
     assert got[got.source == "big"].position.mean() < 0.5 < got[got.source == "small"].position.mean()
     assert got.position.is_monotonic_increasing
     assert mix_sources(df.limit(0), targets)[0].count() == 0
+
+
+def test_segments_invert(spark):
+    from pyspark.sql import functions as F
+
+    from docmill.llm.mixing import _SEGMENTS, _inverse, segments
+
+    plans = [[(0.0, 1.5), (1.0, 0.5)], [(0.2, 0.0), (0.5, 3.0), (0.9, 0.0)], [(0.0, 1.0)], [], [(0.3, 0.0)], [(0.0, 0.0), (1.0, 2.0)], [(0.5, 1.0), (0.5, 0.0)]]
+    rows = [(n, y / 40, segments(p)) for n, p in enumerate(plans) for y in range(41)]
+    got = spark.createDataFrame(rows, f"n int, y double, lines {_SEGMENTS}").select("n", "y", _inverse(F.col("y"), F.col("lines")).alias("u"), "lines").collect()
+    for r in got:
+        whole = sum((min(s["end"], max(s["begin"], r["u"])) - s["begin"]) * (s["low"] + s["low"] + (s["high"] - s["low"]) * (min(s["end"], max(s["begin"], r["u"])) - s["begin"]) / (s["end"] - s["begin"])) / 2 for s in r["lines"])
+        assert abs(whole - r["y"]) < 1e-9 and 0 <= r["u"] <= 1
+
+
+@needs_vocabulary
+def test_given_schedules_and_balance(spark, monkeypatch):
+    from docmill.llm import mixing
+
+    monkeypatch.setattr(mixing, "PART_ROWS", 16)
+    rng = random.Random(4)
+    sources = ["one"] * 400 + [f"s{i % 60}" for i in range(1200)]
+    df = spark.createDataFrame([(i, s, "word " * rng.randrange(5, 60)) for i, s in enumerate(sources)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("one", 0.1, 1)] + [(f"s{i}", 0.015, 1) for i in range(60)], "source string, target_share double, max_repeats int")
+    m, plan = mix_sources(df, targets)
+    slopes = {r["source"]: (r["slope"], r["mix_share"]) for r in plan.collect()}
+    # far larger than the others: the slope stays in bounds and all of them in balance
+    assert min(s for s, _ in slopes.values()) == pytest.approx(-0.9) and abs(sum(s * w for s, w in slopes.values())) < 1e-9
+    late = spark.createDataFrame([("one", 0.8, 0.0), ("one", 0.9, 1.0), (None, 0.1, 1.0), ("s1", None, 1.0)], "source string, at double, weight double")
+    got = mix_sources(df, targets, schedules=late)[0].toPandas()
+    assert got[got.source == "one"].position.min() > 0.8 and got[got.source == "s1"].position.min() < 0.2
+    assert set(zip(got.doc_id, got.copy_no)) == set(map(tuple, m.toPandas()[["doc_id", "copy_no"]].itertuples(index=False)))
