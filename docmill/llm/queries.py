@@ -118,3 +118,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+#: Brute force over whole tables. p3_found is exact where its probes cover all leaves, as they do on small tables.
+_SQL = {
+    "p3_found": """WITH u AS (SELECT id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM chunks
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.id <> b.id),
+t AS (SELECT a, b FROM s WHERE sim >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 7) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""",
+    "p4_found": "SELECT DISTINCT c.id FROM chunks c JOIN chunk_limits l ON c.content_type = l.content_type WHERE len(regexp_extract_all(c.text, '[^ \\t\\r\\n]+')) > l.max_tokens",
+    "p6_found": """WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM chunks),
+g AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+s AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT a AS id_a, b AS id_b FROM s JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k >= 0.6 * (p.n + q.n - k) - 1e-9""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
