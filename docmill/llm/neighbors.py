@@ -26,7 +26,7 @@ from docmill.session import materialize
 
 SAMPLE = 131_072
 #: Vectors of a leaf (points of the sample, if it is the smaller), of a part of a leaf and of a group of leaves.
-LEAF, CELL, GROUP = 512, 16_384, 16_384
+LEAF, CELL, GROUP = 1024, 16_384, 32_768
 #: Parts into which the members of one class of copies are dealt where they meet what the class found.
 SALT = 64
 
@@ -253,7 +253,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int = 2, probes: int = 24, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int = 2, probes: int = 16, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``id``, ``neighbor``, ``similarity``: of each row its k most similar other rows by cosine.
 
     Rows without a usable vector take none and are taken by none. Only similarities of at least
