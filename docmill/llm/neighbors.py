@@ -26,7 +26,7 @@ from docmill.session import materialize
 
 SAMPLE = 131_072
 #: Vectors of a leaf (points of the sample, if it is the smaller), of a part of a leaf and of a group of leaves.
-LEAF, CELL, GROUP = 1024, 16_384, 32_768
+LEAF, CELL, GROUP = 1024, 16_384, 49_152
 #: Parts into which the members of one class of copies are dealt where they meet what the class found.
 SALT = 64
 
@@ -168,9 +168,11 @@ def _route(forest_b, dim: int, probes: int):
             rows = []
             for s, e in zip(starts.tolist(), ends.tolist()):
                 a, b = row[s], row[e - 1] + 1
-                rows.append((int(group[s]), ids[sent[a:b]].tobytes(), x[sent[a:b]].tobytes(), (row[s:e] - a).astype(np.int32).tobytes(), cell[s:e].astype(np.int32).tobytes(), own[s:e].tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "ids", "vectors", "row", "cell", "own"])
+                # of each vector how many cells follow; a cell that it belongs to is written as -1 - cell
+                times = np.bincount(row[s:e] - a, minlength=b - a).astype(np.uint16)
+                rows.append((int(group[s]), ids[sent[a:b]].tobytes(), x[sent[a:b]].tobytes(), times.tobytes(), np.where(own[s:e], -1 - cell[s:e], cell[s:e]).astype(np.int32).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["group", "ids", "vectors", "times", "cells"])
 
     return run
 
@@ -217,11 +219,10 @@ def _search(dim: int, k: int, least: float):
         def column(name: str, kind) -> list[np.ndarray]:
             return [np.frombuffer(v, kind) for v in tab.column(name).to_pylist()]
 
-        each = column("ids", np.int64)
-        ids, x = np.concatenate(each), np.concatenate(column("vectors", np.float32)).reshape(-1, dim)
-        before = np.concatenate([[0], np.cumsum([len(i) for i in each])])
-        row = np.concatenate([r + b for r, b in zip(column("row", np.int32), before)])
-        cell, own = np.concatenate(column("cell", np.int32)), np.concatenate(column("own", bool))
+        ids, x = np.concatenate(column("ids", np.int64)), np.concatenate(column("vectors", np.float32)).reshape(-1, dim)
+        row, cell = np.repeat(np.arange(len(ids)), np.concatenate(column("times", np.uint16))), np.concatenate(column("cells", np.int32))
+        own = cell < 0
+        cell = np.where(own, -1 - cell, cell)
         by = np.argsort(cell, kind="stable")
         row, cell, own = row[by], cell[by], own[by]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
@@ -281,7 +282,7 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k:
     forest = Forest(got, trees, max(8, int(leaf * share)))
     plan = spark.sparkContext.broadcast((forest, Layout(forest, got, firsts_n)))  # grows with the sample only
     near = (
-        one.mapInArrow(_route(plan, dim, probes), "group int, ids binary, vectors binary, row binary, cell binary, own binary")
+        one.mapInArrow(_route(plan, dim, probes), "group int, ids binary, vectors binary, times binary, cells binary")
         .groupBy("group")
         .applyInArrow(_search(dim, k, least), "id long, neighbor long, similarity double")
         .distinct()
