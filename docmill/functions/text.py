@@ -30,21 +30,21 @@ def strip_page_markers(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(f"<!-- {PAGE_LABEL}:")), closed).otherwise(text)
 
 
+#: A link or a picture, of which its text stays; applied twice, as a link can hold a picture.
+_LINK = r"!\[([^\]]*)\]\([^)]+\)|\[([^\]]+)\]\([^)]+\)"
+#: Pairs of marks around a run of text without them.
+_PAIRS = {"*": r"\*{1,3}", "_": "_{1,3}", "`": "`"}
+
+
 def strip_markdown(text: Column) -> Column:
-    """Markdown as plain text: images as their alt text, links as theirs, no heading marks, emphasis, inline
-    code marks or rules; runs of blank lines closed."""
-    for pattern, to in (
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"\*{1,3}([^*]+)\*{1,3}", "$1"),
-        (r"_{1,3}([^_]+)_{1,3}", "$1"),
-        (r"`([^`]+)`", "$1"),
-        (r"(?m)^-{3,}$", ""),
-        (r"\n{3,}", "\n\n"),
-    ):
-        text = F.regexp_replace(text, pattern, to)
-    return strip(text)
+    """Markdown as plain text: pictures and links as their text, no heading marks, emphasis, inline code marks or
+    rules; runs of blank lines closed. A picture or link without a target stays as it is."""
+    for _ in range(2):
+        text = F.regexp_replace(text, _LINK, "$1$2")
+    text = F.regexp_replace(text, r"(?md)^#{1,6}\s+", "")
+    for mark, run in _PAIRS.items():
+        text = F.regexp_replace(text, f"{run}([^{mark}]+){run}", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?md)^[-*_]{3,}\s*$", ""), r"\n{3,}", "\n\n"))
 
 
 def words(text: Column) -> Column:
@@ -106,19 +106,22 @@ def elapsed(start: Column, end: Column) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    """The kind of a chunk by its form: figure, frontmatter, references, abstract, table or prose."""
-    s = strip(text)
-    refs = F.regexp_count(s, F.lit(r"(?m)^(?:- \[[0-9]+\]|[A-Z][a-z]+.*\([0-9]{4}\))"))
-    lines = F.filter(F.transform(F.split(s, "\n"), strip), lambda x: x != "")
+    """The kind of a chunk by its form: figure, frontmatter, references, abstract, table or prose.
+
+    The lines are looked at once; the first kind whose test holds counts.
+    """
+    lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: x != "")
+    entries = F.size(F.filter(lines, lambda x: x.rlike(r"^- \[[0-9]+\]|^[A-Z][a-z]+.*\([0-9]{4}\)")))
     bars = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("|"))))
-    return (
-        F.when(F.contains(text, F.lit("**Figure description:**")) | text.rlike(r"!\[[^\]]*\]\([^)]+\)"), "figure")
-        .when(F.startswith(s, F.lit("---\n")) | F.startswith(s, F.lit("> **Classification:")), "frontmatter")
-        .when(refs >= 2, "references")
-        .when(s.rlike(r"(?mi)^#+ Abstract"), "abstract")
-        .when((F.size(lines) > 0) & (bars * 2 > F.size(lines)), "table")
-        .otherwise("prose")
-    )
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    tests = {
+        "figure": F.contains(text, F.lit("**Figure description:**")) | text.rlike(r"!\[[^\]]*\]\([^)]+\)"),
+        "frontmatter": ((first == "---") & (F.size(lines) > 1)) | F.startswith(first, F.lit("> **Classification:")),
+        "references": entries >= 2,
+        "abstract": F.exists(lines, lambda x: x.rlike(r"(?i)^#+ Abstract")),
+        "table": 2 * bars > F.size(lines),
+    }
+    return F.coalesce(*(F.when(holds, kind) for kind, holds in tests.items()), F.lit("prose"))
 
 
 def usable_text_layer(text: Column, least: int = 200, most: int = 12_000) -> Column:
@@ -132,8 +135,10 @@ def usable_text_layer(text: Column, least: int = 200, most: int = 12_000) -> Col
     return F.when(ok, F.substring(s, 1, most))
 
 
-def title_ok(title: Column) -> Column:
+def title_ok(title: Column, capitals: Column | bool = False) -> Column:
     """Whether a text can be a heading: 1 to 15 words, at most 120 characters, no closing comma or stop, a
-    capital or figure first."""
+    capital or figure first. Where capitals is true four of five letters must be capitals."""
     n = F.size(F.filter(F.split(title, r"\s+"), lambda t: t != ""))
-    return (n >= 1) & (n <= 15) & (F.length(title) <= 120) & ~title.rlike(r"[.,;]\s*$") & title.rlike(r"^[A-Z0-9ÄÖÜÀÉ]")
+    fits = (n >= 1) & (n <= 15) & (F.length(title) <= 120) & ~title.rlike(r"[.,;]\s*$") & title.rlike(r"^[\p{Lu}0-9]")
+    loud = F.regexp_count(title, F.lit(r"\p{Lu}")) * 5 >= F.regexp_count(title, F.lit(r"\p{L}")) * 4
+    return fits & (~(F.lit(capitals) if isinstance(capitals, bool) else capitals) | loud)

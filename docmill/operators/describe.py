@@ -42,10 +42,11 @@ def strip_generated(lines: DataFrame) -> DataFrame:
 
 def reply_text(reply: Column) -> Column:
     """The text of a chat reply (JSON), whose content is a string or a list of typed parts."""
-    content = F.get_json_object(reply, "$.choices[0].message.content")
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    # as a variant the content keeps its kind: a text that begins with a bracket is no list
+    content = F.try_variant_get(F.try_parse_json(reply), "$.choices[0].message.content", "variant")
+    parts = F.try_variant_get(content, "$", "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
-    return F.when(F.startswith(F.ltrim(content), F.lit("[")) & parts.isNotNull(), joined).otherwise(content)
+    return F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), joined).otherwise(F.try_variant_get(content, "$", "string"))
 
 
 class Describer(Protocol):

@@ -125,38 +125,84 @@ def runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
 
 
-def page_regions(ink: np.ndarray, band_gap: int = 4, gutter: int = 7) -> list[tuple[int, int, int, int]]:
-    """(x0, y0, x1, y1) of regions of an ink bitmap in reading order: bands between blank rows; bands with one
-    gutter near the middle are read column by column; without a gutter the page is one region."""
+#: Blank rows between bands, blank columns of a gutter, rows of a band that can have columns, share of the page's
+#: height that a region of columns or a region of its own has; fixed values for bitmaps of 50 dots an inch.
+BAND_GAP, GUTTER, COLUMN_ROWS, REGION_SHARE = 4, 7, 20, 0.04
+
+Box = tuple[float, float, float, float]
+
+
+def gutter_of(ink: np.ndarray) -> np.ndarray:
+    """The columns of a band's gutter as flags: of the blank runs in the middle two fifths the one nearest the centre
+    that has a seventh of the ink or so (15 %) on either side; none in a band of few rows."""
+    height, width = ink.shape
+    found = np.zeros(width, bool)
+    if height < COLUMN_ROWS:
+        return found
+    weight = ink.sum(0)
+    before = np.concatenate([[0], np.cumsum(weight)])
+    blank = weight == 0
+    blank[: int(width * 0.3)] = blank[int(width * 0.7) :] = False
+    sides = [(abs((a + b) / 2 - width / 2), a, b) for a, b in runs(blank, GUTTER) if min(before[a], before[-1] - before[b]) >= 0.15 * max(1, before[-1])]
+    if sides:
+        _, a, b = min(sides)
+        found[a:b] = True
+    return found
+
+
+def bands_of(ink: np.ndarray, gap: int = 1) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of rows with ink; gaps of fewer blank rows don't part them."""
+    rows = np.asarray(ink, bool).any(1)
+    at = np.flatnonzero(rows)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > gap)
+    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + 1).tolist()))
+
+
+def page_regions(ink: np.ndarray) -> list[Box]:
+    """(x0, y0, x1, y1) of the regions of an ink bitmap in reading order; none if it cannot be cut.
+
+    Neighbouring bands with a common gutter are read column by column, the others across the page; a sliver
+    joins the region above it. A page of one region is cut at the blank rows nearest its middle.
+    """
     ink = np.asarray(ink, bool)
     height, width = ink.shape
-    rows = ink.any(1)
-    if not rows.any():
+    least = REGION_SHARE * height
+    parts: list[tuple[int, int, np.ndarray]] = []
+    for a, b in bands_of(ink, BAND_GAP):
+        gutter = gutter_of(ink[a:b])
+        if parts:
+            begin, _, held = parts[-1]
+            common = np.zeros(width, bool)
+            for s, e in runs(held & gutter, GUTTER):
+                common[s:e] = True
+            if common.any() or not (held.any() or gutter.any()):
+                parts[-1] = (begin, b, common)
+                continue
+        parts.append((a, b, gutter))
+    boxes: list[Box] = []
+    for a, b, gutter in parts:
+        at = np.flatnonzero(gutter)
+        middle = (at[0] + at[-1]) / 2 if len(at) and b - a > least else None
+        for x0, x1 in [(0, width)] if middle is None else [(0, middle), (middle, width)]:
+            above = boxes[-1] if boxes else None
+            if above and b - a < least and (above[0], above[2]) == (x0, x1):
+                boxes[-1] = (x0, above[1], x1, b)
+            else:
+                boxes.append((x0, a, x1, b))
+    return boxes if len(boxes) > 1 else halves(ink) if boxes else []
+
+
+def halves(ink: np.ndarray) -> list[Box]:
+    """A page cut in two at the blank rows nearest the middle of its ink; nothing if there are none inside."""
+    height, width = np.asarray(ink).shape
+    bands = bands_of(ink)
+    if len(bands) < 2:
         return []
-    blank = runs(~rows, band_gap)
-    cuts = [0, *[(a + b) // 2 for a, b in blank if a > 0 and b < height], height]
-    bands = [(a, b) for a, b in zip(cuts, cuts[1:]) if rows[a:b].any()]
-
-    def middle(a: int, b: int) -> int | None:
-        cols = ink[a:b].sum(0)
-        lo, hi = int(width * 0.3), int(width * 0.7)
-        found = [((s + e) // 2 + lo) for s, e in runs(cols[lo:hi] == 0, gutter)]
-        found = [x for x in found if min(cols[:x].sum(), cols[x:].sum()) >= 0.15 * cols.sum()]
-        return min(found, key=lambda x: abs(x - width / 2), default=None)
-
-    groups: list[tuple[int, int, int | None]] = []
-    for a, b in bands:
-        x = middle(a, b)
-        if x is not None and groups and groups[-1][2] is not None and abs(groups[-1][2] - x) <= gutter:
-            groups[-1] = (groups[-1][0], b, groups[-1][2])
-        else:
-            groups.append((a, b, x))
-    if all(x is None for *_, x in groups):
-        return [(0, 0, width, height)]
-    out = []
-    for a, b, x in groups:
-        out += [(0, a, width, b)] if x is None else [(0, a, x, b), (x, a, width, b)]
-    return out
+    middle = (bands[0][0] + bands[-1][1]) / 2
+    cut = min(((a[1] + b[0]) / 2 for a, b in zip(bands, bands[1:])), key=lambda y: abs(y - middle))
+    return [(0, 0, width, cut), (0, cut, width, height)]
 
 
 def printed_lines(words: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.session import spread
+from docmill.session import materialize, spread
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Weight of a kind of chunk in a ranking; fixed values.
@@ -79,58 +84,81 @@ def bm25(chunks: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] =
     return hits.select("id", score.alias("score"))
 
 
-def build_postings(chunks: DataFrame, path: str, buckets: int = 256, columns: tuple[str, ...] = ("text", "source", "section")) -> None:
-    """Write an inverted index: postings (term, id, field, positions) partitioned by a hash of the term, the
-    lengths of rows, and one row of statistics. A search then reads the buckets of its terms only."""
-    p = postings(chunks, columns).groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    p = p.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # rows of one bucket go to a few tasks by id, so that a frequent term fills no task alone
-    p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
+#: Parts of an index by a hash of the source, and folders of its postings by a hash of the term.
+SOURCE_BUCKETS, TERM_BUCKETS = 64, 64
+
+
+def _bucket(c: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def term_bucket(term: str, buckets: int) -> int:
+    """The bucket of a term, as _bucket gives it, without a job."""
+    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def posting_rows(chunks: DataFrame, columns: tuple[str, ...] = ("text", "source", "section"), buckets: int = TERM_BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An inverted index: ``bucket``, ``term``, ``id``, ``field``, ``positions`` and ``dl``, the length of the row, so
+    that a search needs no other table; also columns of the row to keep."""
+    size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    sized = chunks.select("id", size.alias("dl"), *keep, *columns)
+    parts = [sized.select("id", "dl", *keep, F.posexplode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term"), F.lit(i).alias("field")) for i, c in enumerate(columns)]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    p = every.groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"), *[F.first(c).alias(c) for c in ("dl", *keep)])
+    return p.withColumn("bucket", _bucket(F.col("term"), buckets))
+
+
+def row_sizes(chunks: DataFrame, columns: tuple[str, ...] = ("text", "source", "section")) -> DataFrame:
+    """``n``, ``tokens``: what BM25 needs to know of all rows together; sums of parts of an index add up."""
     size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
-    lengths = chunks.select("id", size.alias("dl"))
-    lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
-    spark = chunks.sparkSession
-    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"))
-    stats.coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
+    return chunks.select(size.alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+
+
+def build_postings(chunks: DataFrame, path: str, buckets: int = TERM_BUCKETS, columns: tuple[str, ...] = ("text", "source", "section")) -> None:
+    """Write posting_rows in folders by bucket, and a row of sizes. A search then reads the buckets of its terms only."""
+    # rows of one bucket go to a few tasks by id, so that a frequent term fills no task alone
+    rows = posting_rows(chunks, columns, buckets).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "term", "id").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
+    row_sizes(chunks, columns).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats")
 
 
 def bm25_postings(spark: SparkSession, path: str, phrases: list[list[str]]) -> DataFrame:
-    """What bm25 gives, from a written index: partitions are pruned to the buckets of the terms, and term
-    filters are pushed to the scan."""
+    """What bm25 gives, from a written index. Reads one row of sizes at once; the rest is one plan."""
     stats = spark.read.parquet(f"{path}/stats").first()
-    lengths = spark.read.parquet(f"{path}/lengths")
-    table = spark.read.parquet(f"{path}/postings")
-    hits, score = None, F.lit(0.0)
-    for j, phrase in enumerate(p for p in phrases if p):
+    return score_postings(spark.read.parquet(f"{path}/postings"), phrases, stats["n"], stats["tokens"], stats["buckets"])
+
+
+def score_postings(table: DataFrame, phrases: list[list[str]], n: int, total: int, buckets: int) -> DataFrame:
+    """``id``, ``score`` of the rows in which every phrase occurs.
+
+    Partitions are pruned to the buckets of the terms, and term filters reach the scan; each posting carries
+    the length of its row, so nothing else is joined but the number of rows that hold a phrase.
+    """
+    phrases = [p for p in phrases if p]
+    if not phrases:
+        return table.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits, average = None, total / max(1, n)
+    for j, phrase in enumerate(phrases):
         x = None
         for d, word in enumerate(phrase):
-            bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(word)), F.lit(stats["buckets"]))).first()[0]
-            one = table.where((F.col("bucket") == int(bucket)) & (F.col("term") == word)).select("id", "field", F.col("positions").alias(f"p{d}"))
+            one = table.where((F.col("bucket") == term_bucket(word, buckets)) & (F.col("term") == word)).select("id", "field", F.col("positions").alias(f"p{d}"), *(["dl"] if d == 0 else []))
             x = one if x is None else x.join(one, ["id", "field"])
         starts = F.col("p0")
         for d in range(1, len(phrase)):
             starts = F.array_intersect(starts, _shift(F.col(f"p{d}"), d))
-        f = x.select("id", F.size(starts).alias("f")).where("f > 0").groupBy("id").agg(F.sum("f").alias(f"f{j}"))
-        n = f.count()
-        idf = max(1e-6, _idf(stats["n"], n))
-        c = F.col(f"f{j}").cast("double")
-        score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"]))))
+        f = x.select("id", "dl", F.size(starts).alias("f")).where("f > 0").groupBy("id").agg(F.sum("f").cast("double").alias("f"), F.first("dl").alias("dl"))
+        idf = F.ln((n - F.col("holding") + 0.5) / (F.col("holding") + 0.5))
+        part = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / average))
+        f = f.join(F.broadcast(f.agg(F.count("*").alias("holding")))).select("id", part.alias(f"s{j}"))  # one row
         hits = f if hits is None else hits.join(f, "id")
-    if hits is None:
-        return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
-    return hits.join(lengths, "id").select("id", score.alias("score"))
+    return hits.select("id", sum((F.col(f"s{j}") for j in range(len(phrases))), F.lit(0.0)).alias("score"))
 
 
 def _shift(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda e: e - by)
 
 
-def _idf(rows: int, holding: int) -> float:
-    import math
-
-    return math.log((rows - holding + 0.5) / (holding + 0.5))
-
-
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The k rows of highest score; ties by id."""
     return scored.orderBy(F.col(by).desc(), "id").limit(k)
@@ -182,8 +210,12 @@ def weight(kind: Column) -> Column:
 
 def hybrid(chunks: DataFrame, phrases: list[list[str]], query: list[float], k: int = 10) -> DataFrame:
     """Text and vector search, each cut to its best 2k, fused, weighted by kind, cut to k."""
-    lists = ranked(bm25(chunks, phrases), 2 * k, "text", 0).unionByName(ranked(semantic(chunks, query), 2 * k, "semantic", 1))
-    both = fuse(lists).join(chunks.select("id", "content_type"), "id")
+    return fused(chunks, bm25(chunks, phrases), semantic(chunks, query), k)
+
+
+def fused(chunks: DataFrame, text: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """The same of scores (id, score) from any text and vector search over chunks."""
+    both = fuse(ranked(text, 2 * k, "text", 0).unionByName(ranked(vectors, 2 * k, "semantic", 1))).join(chunks.select("id", "content_type"), "id")
     both = both.withColumn("weighted_score", F.col("rrf_score") * weight(F.col("content_type")))
     return both.orderBy(F.col("weighted_score").desc(), F.col("rrf_score").desc(), "first", "id").limit(k).select("id", "method", "rrf_score", "weighted_score")
 
@@ -198,14 +230,20 @@ def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def section_context(hits: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
-    """``id``, ``section_context``: the nearest chunks of the same parent, joined by blank lines."""
-    h = hits.where("coalesce(parent_id, '') <> ''").select("id", "source", "parent_id", F.col("chunk_index").alias("at"))
-    c = chunks.select(F.col("id").alias("other"), "source", "parent_id", "chunk_index", "text")
-    x = h.join(c, ["source", "parent_id"]).where("id <> other")
-    w = Window.partitionBy("id").orderBy(F.abs(F.col("chunk_index") - F.col("at")), "chunk_index", "other")
-    x = x.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    parts = F.array_sort(F.collect_list(F.struct("n", "text")))
-    found = x.groupBy("id").agg(F.array_join(F.transform(parts, lambda s: s["text"]), "\n\n").alias("section_context"))
+    """``id``, ``section_context``: the nearest chunks of the same parent, joined by blank lines.
+
+    The nearest have one of the `most` indexes on either side, or the hit's own, so one window over the indexes
+    of each parent finds them; no hit meets all chunks of its parent. hits must be rows of chunks.
+    """
+    c = chunks.where("coalesce(parent_id, '') <> ''").select("id", "source", "parent_id", "chunk_index", "text")
+    c = c.join(hits.select("source", "parent_id").distinct(), ["source", "parent_id"], "left_semi")
+    # chunks indexed again share an index; those of the smallest ids come first
+    by_index = c.groupBy("source", "parent_id", "chunk_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "chunk_index", "text"))), 1, most + 1).alias("here"))
+    w = Window.partitionBy("source", "parent_id").orderBy("chunk_index").rowsBetween(-most, most)
+    near = by_index.select("source", "parent_id", "chunk_index", F.flatten(F.collect_list("here").over(w)).alias("near"))
+    x = hits.select("id", "source", "parent_id", "chunk_index").join(near, ["source", "parent_id", "chunk_index"])
+    others = F.transform(F.filter("near", lambda s: s["id"] != F.col("id")), lambda s: F.struct(F.abs(s["chunk_index"] - F.col("chunk_index")).alias("d"), s["chunk_index"].alias("i"), s["id"].alias("n"), s["text"].alias("t")))
+    found = x.select("id", F.array_join(F.transform(F.slice(F.array_sort(others), 1, most), lambda s: s["t"]), "\n\n").alias("section_context"))
     return hits.select("id").join(found, "id", "left").fillna("", ["section_context"])
 
 
@@ -229,8 +267,8 @@ def result_columns(chunks: DataFrame) -> DataFrame:
 
 
 def list_indexes(chunks: DataFrame) -> DataFrame:
-    """Chunks by source, and a total."""
-    return chunks.rollup("source").agg(F.count("*").alias("chunk_count")).select(F.coalesce("source", F.lit("(total)")).alias("source"), "chunk_count")
+    """Chunks by source, and a total (``is_total``); a null source is a source like others."""
+    return chunks.rollup("source").agg(F.count("*").alias("chunk_count"), (F.grouping("source") == 1).alias("is_total")).select("source", "is_total", "chunk_count")
 
 
 def replace_by_source(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -238,50 +276,135 @@ def replace_by_source(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("source").distinct(), "source", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", vector: str = "embedding") -> DataFrame:
+    """chunks with the vectors an embedder gives for their texts, asked batch by batch; null texts count as empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in embed(texts.fillna("").tolist())], dtype=object)
+
+    return chunks.withColumn(vector, run(F.col(text)))
+
+
 class Index:
-    """A chunk index in a folder, partitioned by index name."""
+    """A chunk index in a folder.
+
+    Every ingest writes a version: the chunks of all parts (hashes of sources) that it touches, and the postings
+    text search reads, in folders by a hash of the term. A manifest names the version in which each part counts;
+    it is written last, so a write that fails half way leaves the manifest before it in force.
+    """
 
     def __init__(self, spark: SparkSession, path: str, name: str) -> None:
         self.spark, self.path, self.name = spark, path.rstrip("/"), name
+        if self.path.endswith(".db"):  # the path is the index itself, whatever its name
+            self.where = self.path
+        else:
+            self.where = f"{self.path}/index_name={name}"
 
-    @property
-    def where(self) -> str:
-        return f"{self.path}/index_name={self.name}"
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        p = hadoop.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
     def exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        p = hadoop.Path(self.where)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self._version() >= 0
 
-    def chunks(self) -> DataFrame:
-        if not self.exists():
+    def _version(self) -> int:
+        """The number of the last manifest that was written whole; -1 without one."""
+        done = [int(x.split("=")[1]) for x in self._names(f"{self.where}/manifest") if x.startswith("version=")]
+        return max((v for v in done if "_SUCCESS" in self._names(f"{self.where}/manifest/version={v}")), default=-1)
+
+    def _manifest(self) -> list:
+        """(bucket, version, n, tokens) of every folder that counts; at most SOURCE_BUCKETS rows."""
+        version = self._version()
+        if version < 0:
             raise FileNotFoundError(f"no index {self.name!r} in {self.path}")
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.where}/version={self._version()}")
+        return self.spark.read.parquet(f"{self.where}/manifest/version={version}").collect()
+
+    def _read(self, kind: str, rows: list) -> DataFrame:
+        """The rows of the parts that count, version by version; filters on the part reach the scan."""
+        parts: dict[int, list[int]] = {}
+        for r in rows:
+            parts.setdefault(r["version"], []).append(r["bucket"])
+        paths = [f"{self.where}/{kind}/version={v}" for v in sorted(parts)]
+        x = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.where}/{kind}").parquet(*paths)
+        alive = functools.reduce(Column.__or__, [(F.col("version") == v) & F.col("source_bucket").isin(b) for v, b in sorted(parts.items())])
+        return x.where(alive).drop("version", "source_bucket")
 
-    def _version(self) -> int:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        p = hadoop.Path(self.where)
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)
-        done = [s.getPath().getName().split("=")[1] for s in found if s.getPath().getName().startswith("version=")]
-        return max(map(int, done)) if done else -1
-
-    def ingest(self, new: DataFrame) -> int:
-        """Replace the sources that new holds; a new version is written before it counts."""
-        version = self._version() + 1 if self.exists() else 0
-        every = replace_by_source(self.chunks(), new) if version else new
-        every.write.mode("errorifexists").parquet(f"{self.where}/version={version}")
+    def chunks(self) -> DataFrame:
+        return self._read("chunks", self._manifest())
+
+    def ingest(self, new: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> int:
+        """Replace the sources that new holds; only parts with these sources are read and written. With an embedder
+        the vectors are made here. Returns the rows of new; an empty new changes nothing."""
+        if embed is not None:
+            new = embedded(new, embed)
+        part = _bucket(F.coalesce("source", F.lit("")), SOURCE_BUCKETS)
+        new = materialize(new.withColumn("source_bucket", part), "ingest")
+        touched = {r[0] for r in new.select("source_bucket").distinct().collect()}
+        if not touched:
+            return 0
+        old = self._manifest() if self.exists() else []
+        mine = [r for r in old if r["bucket"] in touched]
+        version = self._version() + 1
+        while f"version={version}" in self._names(f"{self.where}/chunks"):  # left behind by a write that failed
+            version += 1
+        every = new
+        if mine:
+            gone = new.select(F.col("source").alias("__s")).distinct()
+            kept = self._read("chunks", mine).join(gone, F.col("source").eqNullSafe(F.col("__s")), "left_anti")
+            every = kept.withColumn("source_bucket", part).unionByName(new, allowMissingColumns=True)
+        at = f"{self.where}/{{}}/version={version}"
+        every.sortWithinPartitions("source_bucket").write.mode("errorifexists").parquet(at.format("chunks"))
+        written = self.spark.read.parquet(at.format("chunks"))
+        texts = ("text", "source", "section")
+        searched = written.select("id", "source_bucket", *[F.col(c) if c in written.columns else F.lit(None).cast("string").alias(c) for c in texts])
+        # rows of one term bucket go to a few tasks by id, so that a frequent term fills no task alone
+        rows = posting_rows(searched, texts, TERM_BUCKETS, ("source_bucket",)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4)))
+        rows.sortWithinPartitions("bucket", "term", "id").write.mode("errorifexists").partitionBy("bucket").parquet(at.format("postings"))
+        size = sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in texts), F.lit(0))
+        counted = searched.select("source_bucket", size.alias("dl")).groupBy("source_bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()
+        rows = [(r["bucket"], r["version"], r["n"], r["tokens"]) for r in old if r["bucket"] not in touched] + [(r["source_bucket"], version, r["n"], r["tokens"]) for r in counted]
+        self.spark.createDataFrame(rows, "bucket int, version int, n long, tokens long").coalesce(1).write.mode("errorifexists").parquet(f"{self.where}/manifest/version={version}")
         return new.count()
 
-    def search(self, query: str, vector: list[float] | None = None, mode: str = "hybrid", k: int = 10) -> DataFrame:
-        phrases = phrases_of(query)
-        c = self.chunks()
+    def text_search(self, phrases: list[list[str]]) -> DataFrame:
+        """``id``, ``score`` by BM25, from the postings of the query's terms alone."""
+        rows = self._manifest()
+        return score_postings(self._read("postings", rows), phrases, sum(r["n"] for r in rows), sum(r["tokens"] for r in rows), TERM_BUCKETS)
+
+    def search(self, query: str, vector: list[float] | None = None, mode: str = "hybrid", k: int = 10, context: bool = False, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+        """The k best chunks for a query, with all their columns but the vector; with context also the texts
+        around them, of their section and of its figures. An embedder makes the query's vector if none is given."""
+        phrases, c = phrases_of(query), self.chunks()
+        if vector is None:
+            vector = [float(x) for x in embed([query])[0]] if embed is not None and mode != "text" else []
         if mode == "text":
-            found = top(bm25(c, phrases), k)
+            found = top(self.text_search(phrases), k)
         elif mode == "semantic":
-            found = top(semantic(c, vector or []), k)
+            found = top(semantic(c, vector), k)
         else:
-            found = hybrid(c, phrases, vector or [], k)
-        return found.join(c.drop("embedding"), "id")
+            found = fused(c, self.text_search(phrases), semantic(c, vector), k)
+        found = found.join(c.drop("embedding"), "id")
+        if not context:
+            return found
+        around = neighbours(found, c)
+        return around.join(section_context(found, c), "id").join(figure_context(found, c), "id")
+
+
+def indexes(spark: SparkSession, path: str) -> DataFrame:
+    """``index_name``, ``source``, ``is_total``, ``chunk_count`` of all indexes in a folder; none gives no row."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+    found = [Index(spark, path, n.split("=", 1)[1]) for n in names if n.startswith("index_name=")]
+    parts = [list_indexes(x.chunks()).select(F.lit(x.name).alias("index_name"), "source", "is_total", "chunk_count") for x in found if x.exists()]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "index_name string, source string, is_total boolean, chunk_count long")
 
 
 def phrases_of(query: str) -> list[list[str]]:

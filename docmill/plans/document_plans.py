@@ -76,14 +76,21 @@ def t11_split_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- cleanup ------------------------------------------------------------------------------------
 
-_RANK = "CASE WHEN m LIKE 'TOP SECRET%' THEN 5 WHEN m LIKE 'SECRET%' THEN 4 WHEN m LIKE 'CONFIDENTIAL%' THEN 3 WHEN m LIKE 'CUI%' OR m LIKE 'CONTROLLED%' OR m LIKE 'FOUO%' OR m LIKE 'FOR OFFICIAL%' THEN 2 WHEN m LIKE 'UNCLASSIFIED%' THEN 1 ELSE 0 END"
-_C01 = f"""f AS (SELECT doc, markdown, list_transform(regexp_extract_all(markdown, '(?mi)({clean.BANNER})', 1), lambda b: upper(regexp_replace(b, '^\\s+|\\s+$', '', 'g'))) AS found FROM docs),
-m AS (SELECT doc, arg_max(m, ({_RANK}, length(m), m)) AS best FROM (SELECT doc, unnest(found) AS m FROM f) GROUP BY doc),
-bare AS (SELECT doc, regexp_replace(regexp_replace(markdown, '(?mi){clean.BANNER}', '', 'g'), '(?mi){clean.PAGE_OF}', '', 'g') AS t FROM docs),
-c01 AS (SELECT bare.doc, CASE WHEN best IS NOT NULL THEN '> **Classification:** ' || best || chr(10) || chr(10) || regexp_replace(t, '^\\n+', '') ELSE t END AS markdown FROM bare LEFT JOIN m ON bare.doc = m.doc)"""
-
-
-@query(f"WITH {DOCS_SQL}, {_C01} SELECT doc, markdown FROM c01")
+# Written from the description of the pass, marking by marking.
+_WITH_CAVEAT = {
+    5: ("TOP SECRET", "SCI|NOFORN|SI|TK|HCS|ORCON"), 4: ("SECRET", "NOFORN|REL TO|LIMDIS|ORCON"), 3: ("CONFIDENTIAL", ""), 1: ("UNCLASSIFIED", "FOUO|FOR OFFICIAL USE ONLY|CUI|NOFORN|REL TO|LIMDIS"),
+}
+_RANK = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{m}(?:\\s*//\\s*(?:{c})[A-Z0-9_\\s/,]*)?') THEN {r}" for r, (m, c) in _WITH_CAVEAT.items()) + " WHEN s IN ('CUI', 'CONTROLLED UNCLASSIFIED INFORMATION', 'FOUO', 'FOR OFFICIAL USE ONLY') THEN 2 ELSE 0 END"
+_C01 = f"""b AS (SELECT doc, line_no, line, upper({_S}) AS s FROM lines), r AS (SELECT *, {_RANK} AS rk FROM b),
+best AS (SELECT doc, arg_max(s, (rk, length(s), s)) AS best FROM r WHERE rk > 0 GROUP BY doc),
+gone AS (SELECT *, rk > 0 OR regexp_full_match(s, 'PAGE\\s+\\d+\\s+OF\\s+\\d+') AS g FROM r),
+runs AS (SELECT *, sum(CASE WHEN g OR s = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY line_no) AS run, g OR s = '' AS thin FROM gone),
+near AS (SELECT *, bool_or(g) OVER (PARTITION BY doc, run, thin) AS hit, row_number() OVER (PARTITION BY doc, run, thin ORDER BY line_no) AS k FROM runs),
+left_over AS (SELECT doc, string_agg(CASE WHEN thin AND hit THEN '' ELSE line END, chr(10) ORDER BY line_no) AS t FROM near WHERE NOT (thin AND hit) OR k = 1 GROUP BY doc),
+c01 AS (SELECT l.doc, CASE WHEN best IS NOT NULL THEN '> **Classification:** ' || best || chr(10) || chr(10) || regexp_replace(t, '^\n+', '') ELSE t END AS markdown FROM left_over l LEFT JOIN best ON l.doc = best.doc)"""
+
+
+@query(f"{_L}, {_C01} SELECT doc, markdown FROM c01")
 def c01_classification(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc", clean.classification(F.col("markdown")).alias("markdown"))
 
@@ -113,7 +120,14 @@ def c04_page_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return clean.drop_page_numbers(_lines(spark, sf))
 
 
-@query()
+# DuckDB's expressions cannot look around, so each line is told apart: of placeholders alone, else marks go one by one.
+_P = r"!\[[^\]]*\]\(figure\)"
+_C05 = rf"""y AS (SELECT doc, line_no, line, regexp_full_match(line, '[ \t]*(?:{_P}[ \t]*)+') AS whole, lag(line) OVER w AS above FROM lines WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+z AS (SELECT doc, line_no, line, whole, coalesce(lag(whole) OVER w, false) AS after_whole FROM y WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+c05 AS (SELECT doc, string_agg(regexp_replace(regexp_replace(regexp_replace(line, '^[ \t]*{_P}[ \t]*|[ \t]*{_P}[ \t]*$', '', 'g'), '[ \t]*{_P}[ \t]*', ' ', 'g'), '^ (?:{_P})', '', 'g'), chr(10) ORDER BY line_no) AS markdown FROM z WHERE NOT whole AND NOT (after_whole AND regexp_full_match(line, '[ \t]*')) GROUP BY doc)"""
+
+
+@query(f"{_L}, {_C05} SELECT doc, markdown FROM c05")
 def c05_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc", clean.placeholders(F.col("markdown")).alias("markdown"))
 
@@ -138,7 +152,7 @@ def c07_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def c00_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return headings.normalize_headings(clean.clean_documents(docs(spark, sf)))
+    return clean.clean_documents(docs(spark, sf))
 
 
 # --- headings -----------------------------------------------------------------------------------
@@ -175,14 +189,14 @@ def n10_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PLAIN = r"""p AS (SELECT doc, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM lines), q AS (SELECT doc, line_no, length(regexp_extract(s, '^(#{1,6})\s+.*$', 1)) AS level, CASE WHEN regexp_extract(s, '^(#{1,6})\s+.*$', 1) <> '' THEN regexp_replace(regexp_replace(s, '^#{1,6}\s+', ''), '\s*#*\s*$', '') ELSE s END AS t FROM p WHERE s <> ''),
-r AS (SELECT doc, line_no, level, t FROM q WHERE NOT regexp_matches(t, '^(\*|_)'))"""
+r AS (SELECT doc, line_no, level, CASE WHEN regexp_full_match(t, '\*\*.+\*\*') AND length(t) > 4 THEN trim(t[3:-3]) WHEN regexp_full_match(t, '__.+__') AND length(t) > 4 THEN trim(t[3:-3]) WHEN regexp_full_match(t, '\*.+\*') THEN trim(t[2:-2]) WHEN regexp_full_match(t, '_.+_') THEN trim(t[2:-2]) ELSE t END AS t FROM q)"""
 
 
 @query(_L + ", " + _PLAIN + " SELECT doc, CAST(line_no AS INT) AS line_no, CAST(level AS INT) AS level, t AS heading FROM r WHERE level > 0")
 def h01_plain(spark: SparkSession, sf: str) -> DataFrame:
     level, text = headings.plain(F.col("line"))
     x = _lines(spark, sf).select("doc", "line_no", level.alias("level"), text.alias("heading"), F.col("line"))
-    return x.where("level > 0").where(~F.regexp_replace("line", r"^\s*#{1,6}\s+", "").rlike(r"^(\*|_)")).select("doc", "line_no", "level", "heading")
+    return x.where("level > 0").select("doc", "line_no", "level", "heading")
 
 
 _NUMS = _PLAIN + r""", n AS (SELECT doc, line_no, t, regexp_extract(t, '^([IVX]{1,5})\.\s+\S.*$', 1) AS rom, regexp_extract(t, '^([A-H])\.\s+\S.*$', 1) AS let, regexp_extract(t, '^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})\.?\s+\S.*$', 1) AS dec FROM r),
@@ -193,7 +207,7 @@ num AS (SELECT doc, line_no, scheme, CASE scheme WHEN 'roman' THEN CAST(rp AS VA
 
 @query(_L + ", " + _NUMS + " SELECT doc, CAST(line_no AS INT) AS line_no, scheme, number FROM num")
 def h02_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    x = _lines(spark, sf).where(~F.regexp_replace("line", r"^\s*(#{1,6}\s+)?", "").rlike(r"^(\*|_)"))
+    x = _lines(spark, sf)
     _, text = headings.plain(F.col("line"))
     scheme, number = headings.parse_number(text)
     return x.select("doc", "line_no", scheme.alias("scheme"), F.array_join(F.transform(number, lambda p: p.cast("string")), ".").alias("number")).where("scheme <> ''")
@@ -220,9 +234,19 @@ def h03_normalized(spark: SparkSession, sf: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------
 
 
-@query(
-    f"WITH {DOCS_SQL} SELECT doc, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(markdown, '!\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s+', '', 'g'), '\\*{{1,3}}([^*]+)\\*{{1,3}}', '\\1', 'g'), '_{{1,3}}([^_]+)_{{1,3}}', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'), '(?m)^-{{3,}}$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM docs"
-)
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, to in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
+_PLAINTEXT = _replaced(
+    "markdown", (r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", r"\1"), (r"_{1,3}([^_]+)_{1,3}", r"\1"), ("`([^`]+)`", r"\1"),
+    (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+)
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc, {_PLAINTEXT} AS plain FROM docs")
 def t13_plaintext(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc", T.strip_markdown(F.col("markdown")).alias("plain"))
 
@@ -252,7 +276,16 @@ def t22_elapsed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", T.elapsed(F.lit("2020-01-01").cast("timestamp"), F.col("ts").cast("timestamp")).alias("elapsed"))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM w),
+e AS (SELECT a.doc_id, p, a.pos FROM t a CROSS JOIN range(1, 41) r(p) JOIN t b ON b.doc_id = a.doc_id AND b.pos = a.pos + p AND b.tok = a.tok),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, p ORDER BY pos) AS g FROM e),
+i AS (SELECT doc_id, p, min(pos) AS s FROM g GROUP BY doc_id, p, g HAVING count(*) + p >= greatest(40, 8 * p)),
+u AS (SELECT i.doc_id FROM i JOIN t ON t.doc_id = i.doc_id AND t.pos >= i.s AND t.pos < i.s + i.p GROUP BY i.doc_id, i.p, i.s HAVING bool_or(regexp_matches(tok, '[A-Za-z]')) AND NOT bool_or(tok = '|')),
+h AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t WHERE regexp_full_match(tok, '[A-Za-z]{1,2}')),
+soup AS (SELECT doc_id FROM h GROUP BY doc_id, g HAVING count(*) >= 30)
+SELECT doc_id AS doc, doc_id IN (SELECT doc_id FROM u UNION ALL SELECT doc_id FROM soup) AS has_loop FROM documents"""
+)
 def t01_find_loops(spark: SparkSession, sf: str) -> DataFrame:
     return repair.find_loops(table(spark, sf, "documents"), "doc_id", "text")
 

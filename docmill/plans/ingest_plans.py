@@ -114,24 +114,27 @@ def s08_complete(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.complete(p, o.where("page_count is not null").groupBy(F.col("pdf").alias("doc")).agg(F.max("page_count").alias("page_count")))
 
 
-@query("WITH s AS (SELECT DISTINCT 'host/' || source AS id FROM sources), n AS (SELECT DISTINCT coalesce(source, '') AS name FROM manifest), t AS (SELECT regexp_replace(id, '^.*/', '') AS tail, min(id) AS one FROM s GROUP BY 1 HAVING count(*) = 1) SELECT n.name, coalesce(s.id, t.one) AS resolved FROM n LEFT JOIN s ON s.id = n.name LEFT JOIN t ON t.tail = n.name")
+@query("WITH s AS (SELECT DISTINCT 'host/' || source AS id FROM sources), a AS (SELECT DISTINCT 'alias of ' || source AS alias, 'host/' || source AS id FROM sources), n AS (SELECT DISTINCT coalesce(source, '') AS name FROM manifest UNION SELECT 'alias of ' || source FROM manifest WHERE source IS NOT NULL UNION SELECT 'host/' || source FROM manifest WHERE source IS NOT NULL UNION SELECT 'nobody'), t AS (SELECT regexp_replace(id, '^.*/', '') AS tail, min(id) AS one FROM s GROUP BY 1 HAVING count(*) = 1) SELECT n.name, coalesce(s.id, a.id, t.one) AS resolved FROM n LEFT JOIN s ON s.id = n.name LEFT JOIN a ON a.alias = n.name LEFT JOIN t ON t.tail = n.name")
 def s29_resolve(spark: SparkSession, sf: str) -> DataFrame:
     served = table(spark, sf, "sources").select(F.concat(F.lit("host/"), "source").alias("id")).distinct()
-    names = table(spark, sf, "manifest").select(F.coalesce("source", F.lit("")).alias("name")).distinct()
-    none = served.where("false").select(F.col("id").alias("alias"), "id")
-    return ingest.resolve_names(names, served, none)
+    aliases = table(spark, sf, "sources").select(F.concat(F.lit("alias of "), "source").alias("alias"), F.concat(F.lit("host/"), "source").alias("id")).distinct()
+    m = table(spark, sf, "manifest").select("source")
+    forms = F.array(F.coalesce("source", F.lit("")), F.concat(F.lit("alias of "), "source"), F.concat(F.lit("host/"), "source"), F.lit("nobody"))
+    names = m.select(F.explode(forms).alias("name")).where("name is not null").distinct()
+    return ingest.resolve_names(names, served, aliases)
 
 
-@query("SELECT r_name AS name, CASE WHEN try_cast(trim(r_name) AS INT) IS NULL THEN 8 ELSE try_cast(trim(r_name) AS INT) END AS n, lower(r_name) NOT IN ('0', 'false', 'no', 'off') AS flag FROM (SELECT r_name FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'OFF')")
+@query("SELECT name, CASE WHEN regexp_full_match(trim(name), '[+-]?[0-9]+') THEN CAST(trim(name) AS INT) ELSE 8 END AS n, CASE WHEN name IS NULL OR trim(name) = '' THEN true ELSE lower(trim(name)) NOT IN ('0', 'false', 'no', 'off') END AS flag FROM (SELECT r_name AS name FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT unnest(['OFF', ' off ', '', ' ', NULL, '0', 'No', '-3', '1.5']))")
 def p12_env(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "region").select("r_name").unionAll(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string"))).unionAll(spark.sql("select 'OFF' as r_name"))
-    return r.select(F.col("r_name").alias("name"), ingest.env_int(F.col("r_name"), 8).alias("n"), ingest.env_flag(F.col("r_name"), True).alias("flag"))
+    more = spark.createDataFrame([(x,) for x in ("OFF", " off ", "", " ", None, "0", "No", "-3", "1.5")], "name string")
+    r = table(spark, sf, "region").select(F.col("r_name").alias("name")).unionAll(table(spark, sf, "nation").select(F.col("n_nationkey").cast("string"))).unionAll(more)
+    return r.select("name", ingest.env_int(F.col("name"), 8).alias("n"), ingest.env_flag(F.col("name"), True).alias("flag"))
 
 
-@query("SELECT zotero_key, regexp_replace(regexp_replace(regexp_replace(' ' || url || '/v1/', '^\\s+|\\s+$', '', 'g'), '/+$', ''), '/v1$', '') AS base FROM zotero_items WHERE url IS NOT NULL AND NOT regexp_matches(url, '/$')")
+@query("SELECT zotero_key, CASE WHEN length(zotero_key) % 2 = 0 THEN 1 ELSE 0 END AS kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || url || '/v1/', '^\\s+|\\s+$', '', 'g'), '/+$', ''), '/v1$', ''), '/+$', '') AS base, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^\\s+|\\s+$', '', 'g'), '/+$', ''), '/v1$', ''), '/+$', '') AS plain FROM zotero_items WHERE url IS NOT NULL")
 def p13_base_url(spark: SparkSession, sf: str) -> DataFrame:
-    z = table(spark, sf, "zotero_items").where("url is not null").where(~F.col("url").endswith("/"))
-    return z.select("zotero_key", T.base_url(F.concat(F.lit(" "), "url", F.lit("/v1/"))).alias("base"))
+    z = table(spark, sf, "zotero_items").where("url is not null")
+    return z.select("zotero_key", F.when(F.length("zotero_key") % 2 == 0, 1).otherwise(0).alias("kind"), T.base_url(F.concat(F.lit(" "), "url", F.lit("/v1/"))).alias("base"), T.base_url(F.col("url")).alias("plain"))
 
 
 @query("SELECT id, text IS NULL OR text = '' OR starts_with(text, '[Image description unavailable') AS gone FROM chunks")
@@ -170,7 +173,7 @@ def a09_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("value is not null").groupBy("event_type").agg(F.round(evaluate.weighted_mean(F.col("value"), F.col("user_id")), 6).alias("mean"))
 
 
-@query()
+@query("SELECT id, '![x](' || replace(replace(replace(replace(replace(url_encode(source || '_images/a b' || id || '.png'), '+', '%20'), '%2F', '/'), '%7E', '~'), '*', '%2A'), '%21', '%21') || ')' AS markdown FROM chunks")
 def s20_link_images(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks").select("id", F.concat(F.lit("![x](a b"), F.col("id").cast("string"), F.lit(".png)")).alias("m"), F.concat(F.lit("a b"), F.col("id").cast("string"), F.lit(".png")).alias("i"), "source")
     return c.select("id", files.link_images(F.col("m"), F.col("i"), F.col("source")).alias("markdown"))

@@ -32,10 +32,17 @@ def t18_inject(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "manifest").select("stem", zotero.inject(F.col("stem"), F.lit("---\n---")).alias("doc"), zotero.needs_new_name(F.col("pdf_hash")).alias("rename"))
 
 
-@query(r"SELECT id, regexp_replace(section, '^\s+|\s+$', '', 'g') AS prose, regexp_replace(text, '^\s+|\s+$', '', 'g') AS data FROM chunks WHERE section IS NOT NULL AND NOT regexp_matches(text || section, '(?i)data:')")
+# What stands before the first line that begins with DATA: (its marks aside), and what follows the words.
+_DATA = r"'(?mi)^\s*\**DATA:\**\s*'"
+
+
+@query(
+    rf"""WITH t AS (SELECT id, coalesce(section, '') || chr(10) || CASE WHEN id % 2 = 0 THEN '**DATA:** ' ELSE '' END || text AS d FROM chunks), m AS (SELECT id, d, regexp_extract(d, {_DATA}) AS mark FROM t)
+SELECT id, regexp_replace(CASE WHEN mark = '' THEN d ELSE substring(d, 1, strpos(d, mark) - 1) END, '^\s+|\s+$', '', 'g') AS prose, CASE WHEN mark = '' THEN '' ELSE regexp_replace(substring(d, strpos(d, mark) + length(mark)), '^\s+|\s+$', '', 'g') END AS data FROM m"""
+)
 def t16_split_data(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").where("section is not null").where(~F.concat("text", "section").rlike("(?i)data:"))
-    prose, data = describe.split_data(F.concat("section", F.lit("\n**DATA:** "), "text"))
+    c = table(spark, sf, "chunks")
+    prose, data = describe.split_data(F.concat(F.coalesce("section", F.lit("")), F.lit("\n"), F.when(F.col("id") % 2 == 0, "**DATA:** ").otherwise(""), "text"))
     return c.select("id", prose.alias("prose"), data.alias("data"))
 
 
@@ -60,8 +67,7 @@ def t23_reply_text(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks")
     whole = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
     parts = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))).alias("content")).alias("message"))).alias("choices")))
-    plain = ~F.startswith(F.ltrim("text"), F.lit("["))
-    return c.select("id", describe.reply_text(F.when((F.col("id") % 2 == 0) & plain, whole).otherwise(parts)).alias("reply"))
+    return c.select("id", describe.reply_text(F.when(F.col("id") % 2 == 0, whole).otherwise(parts)).alias("reply"))
 
 
 @query(
@@ -88,17 +94,13 @@ def h07_span_lines(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.span_lines(_spans(spark, sf)).select("doc", "line_no", "key", F.round("size", 4).alias("size"), "bold")
 
 
-@query(f"WITH {_SL} SELECT DISTINCT doc, key, max(CAST(size AS DOUBLE)) OVER (PARTITION BY doc, key) AS size FROM sl WHERE (size > 8 OR bold AND size >= 8) AND line_no % 5 = 0 AND key <> ''")
+@query(
+    f"""WITH {_SL}, ld AS (SELECT *, lead(key, 1) OVER w AS k1, lead(key, 2) OVER w AS k2, lead(key, 3) OVER w AS k3 FROM sl WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+ex AS (SELECT doc, size, bold, unnest([key, key || k1, key || k1 || k2, key || k1 || k2 || k3]) AS k FROM ld), h AS (SELECT DISTINCT doc, key FROM sl WHERE key <> ''),
+met AS (SELECT h.doc, h.key, size, bold FROM h JOIN ex ON ex.doc = h.doc AND ex.k = h.key UNION ALL SELECT h.doc, h.key, size, bold FROM h JOIN sl ON sl.doc = h.doc AND length(h.key) >= 8 AND length(sl.key) > length(h.key) AND starts_with(sl.key, h.key))
+SELECT doc, key, max(CAST(size AS DOUBLE)) AS size FROM met WHERE size > 8 OR (bold AND size >= 8) GROUP BY doc, key"""
+)
 def j15_heading_style(spark: SparkSession, sf: str) -> DataFrame:
-    s = geometry.span_lines(_spans(spark, sf))
-    heads = s.where("line_no % 5 = 0 and key <> ''").select("doc", "key").distinct()
-    # only lines of the headings themselves, so that the SQL can be plain
-    only = s.where("line_no % 5 = 0")
-    return geometry.heading_style(heads, only, s.select("doc").distinct().withColumn("size", F.lit(8.0))).select("doc", "key", "size")
-
-
-@query()
-def j15_heading_style_all(spark: SparkSession, sf: str) -> DataFrame:
     s = geometry.span_lines(_spans(spark, sf))
     return geometry.heading_style(s.where("key <> ''").select("doc", "key"), s, s.select("doc").distinct().withColumn("size", F.lit(8.0))).select("doc", "key", "size")
 

@@ -112,7 +112,7 @@ def j09_figure_context(spark: SparkSession, sf: str) -> DataFrame:
     return search.figure_context(search.bm25(c, P2).join(c, "id").select("id", "source", "parent_id", "chunk_index"), c)
 
 
-@query("SELECT coalesce(source, '(total)') AS source, count(*) AS chunk_count FROM chunks GROUP BY ROLLUP (source)")
+@query("SELECT source, grouping(source) = 1 AS is_total, count(*) AS chunk_count FROM chunks GROUP BY ROLLUP (source)")
 def r08_list_indexes(spark: SparkSession, sf: str) -> DataFrame:
     return search.list_indexes(table(spark, sf, "chunks"))
 
@@ -138,3 +138,41 @@ def a15_corpus_terms(spark: SparkSession, sf: str) -> DataFrame:
 def r03_norms(spark: SparkSession, sf: str) -> DataFrame:
     sq = F.aggregate(F.transform("embedding", lambda e: e.cast("double") * e), F.lit(0.0), lambda s, e: s + e)
     return table(spark, sf, "embeddings").select("vec_id", "label", F.round(sq, 4).alias("sq"))
+
+
+def _toy_embedder(texts: list[str]) -> list[list[float]]:
+    """Lengths and letters as a vector, for use without a model."""
+    return [[float(len(t)), float(t.count("e")), float(t.count("a")), float(t.count(" "))] for t in texts]
+
+
+_EMBEDDED = "[length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'a', '')), length(text) - length(replace(text, ' ', ''))]"
+
+
+@query(f"SELECT id, source, CAST(list_sum({_EMBEDDED}) AS BIGINT) AS total FROM chunks WHERE source NOT LIKE '%a%' UNION ALL SELECT id + 1000000, source, CAST(list_sum({_EMBEDDED}) AS BIGINT) FROM chunks WHERE source LIKE '%a%'")
+def r01_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources are ingested, some of them again; every row is embedded on the way in."""
+    c = table(spark, sf, "chunks").drop("embedding", "metadata")
+    ix = search.Index(spark, scratch(spark, "index"), "lib")
+    ix.ingest(c, _toy_embedder)
+    ix.ingest(c.where("source like '%a%'").withColumn("id", F.col("id") + 1000000), _toy_embedder)
+    return ix.chunks().select("id", "source", F.aggregate(F.transform("embedding", lambda e: e.cast("long")), F.lit(0).cast("long"), lambda s, e: s + e).alias("total"))
+
+
+@query(f"WITH {_bm25_sql(P1)} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 10")
+def r02_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Text search of an index that was written in two goes, over its postings."""
+    c = table(spark, sf, "chunks").select("id", "source", "section", "text")
+    ix = search.Index(spark, scratch(spark, "index"), "lib")
+    ix.ingest(c.where("source like '%a%'"))
+    ix.ingest(c.where("source not like '%a%'"))
+    return search.top(ix.text_search(P1), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT n AS index_name, source, grouping(source) = 1 AS is_total, count(*) AS chunk_count FROM (SELECT 'even' AS n, source FROM chunks WHERE id % 2 = 0 UNION ALL SELECT 'odd', source FROM chunks WHERE id % 2 = 1) GROUP BY GROUPING SETS ((n, source), (n))")
+def r08_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two indexes in one folder that hold all chunks between them."""
+    c = table(spark, sf, "chunks").select("id", "source", "section", "text")
+    path = scratch(spark, "indexes")
+    for n, name in enumerate(("even", "odd")):
+        search.Index(spark, path, name).ingest(c.where(F.col("id") % 2 == n))
+    return search.indexes(spark, path)

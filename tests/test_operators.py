@@ -65,6 +65,29 @@ def test_page_numbers_need_a_blank_or_heading(spark):
     assert cleaned(spark, clean.drop_page_numbers, "7\na") == ["a"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [("A\n\nSECRET//NOFORN\n\nB", "> **Classification:** SECRET//NOFORN\n\nA\n\nB"), ("SECRET//NOFORN\nThe plan begins now\nB", "> **Classification:** SECRET//NOFORN\n\nThe plan begins now\nB"), ("CUI\n\nUnclassified // FOUO, LIMDIS\nB", "> **Classification:** CUI\n\nB"),
+     ("SECRET//LATER\nB", "SECRET//LATER\nB"), ("confidential//anything, here\nB", "> **Classification:** CONFIDENTIAL//ANYTHING, HERE\n\nB"), ("CUI//SP\nB", "CUI//SP\nB"), ("A\nPage 2 of 9\nB", "A\n\nB"), ("", "")],
+)
+def test_banners_are_lines(spark, text, want):
+    assert docs(spark, text).select(clean.classification(F.col("markdown"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("[![alt](a.png)](b) and ![x](y)", "alt and x"), ("[text]() stays", "[text]() stays"), ("a\n***\nb\n___\nc\n---\nd", "a\n\nb\n\nc\n\nd"), ("## Head\n**b** _i_ `c`", "Head\nb i c"), (" \n", "")],
+)
+def test_plain_text(spark, text, want):
+    assert docs(spark, text).select(T.strip_markdown(F.col("markdown"))).first()[0] == want
+
+
+def test_headings_are_renumbered_before_sentences_are_rejoined(spark):
+    text = "1 Scope\n\nlower case goes on.\n\n1.1 Terms\n\nText.\n\n2 Rules\n\nText."
+    got = clean.clean_documents(docs(spark, text)).first()["markdown"].split("\n")
+    assert "## 1 Scope" in got and "### 1.1 Terms" in got and "lower case goes on." in got
+
+
 def test_placeholders(spark):
     got = docs(spark, "Intro.\n\n![x](figure)\n\n![y](figure) Program ![z](figure) Frame\n\nEnd.").select(clean.placeholders(F.col("markdown"))).first()[0]
     assert got == "Intro.\n\nProgram Frame\n\nEnd."
@@ -99,19 +122,34 @@ def test_rejoin_equals_a_greedy_pass_on_random_lines(spark):
 # --- headings ---
 
 
-def test_renumber_decimal_and_roman():
+def renumbered(spark, *texts):
+    got = headings.normalize_headings(docs(spark, *texts))
+    return [r["markdown"] for r in got.orderBy("doc").collect()]
+
+
+def test_renumber_decimal_and_roman(spark):
     text = "Title\n\n1 Introduction\n\nText.\n\n1.1 Scope\n\nText.\n\n2 Method\n\n3. buy milk\n\n# Notes\n\nText."
-    got = headings.renumber_headings(text).split("\n")
+    roman = "I. INTRODUCTION\n\nA. FIRST PART\n\nB. SECOND PART\n\nII. METHOD\n\nA. AGAIN"
+    one, two, three, four, five = renumbered(spark, text, roman, "1 Only\n\ntext", None, "")
+    got = one.split("\n")
     assert "## 1 Introduction" in got and "### 1.1 Scope" in got and "## 2 Method" in got and "3. buy milk" in got and "### Notes" in got
-    roman = "I. INTRODUCTION\n\nA. First Part\n\nB. Second Part\n\nII. METHOD\n\nA. Again"
-    assert headings.renumber_headings(roman).count("### ") == 3
-    assert headings.renumber_headings("1 Only\n\ntext") == "1 Only\n\ntext"
-    assert headings.renumber_headings(None) is None
+    assert two.count("### ") == 3 and two.count("## I") == 2
+    assert three == "1 Only\n\ntext" and four is None and five == ""
+
+
+def test_numbers_must_follow(spark):
+    lists = "1 Scope\n\ntext\n\n2 Terms\n\ntext\n\n5 Too far\n\ntext\n\n3 Rules\n\nA. Letter without roman\n\nI. mixed case of a roman title here"
+    skipped = "1 Scope\n\n1.2 One skipped\n\n1.4 Another\n\n1.4.1 Deep\n\n2 Next\n\nRELATED WORK\n\n## **3 Marked**"
+    one, two = (x.split("\n") for x in renumbered(spark, lists, skipped))
+    assert "5 Too far" in one and "## 3 Rules" in one and "A. Letter without roman" in one and "I. mixed case of a roman title here" in one
+    assert [x for x in two if x.startswith("#")] == ["## 1 Scope", "### 1.2 One skipped", "### 1.4 Another", "#### 1.4.1 Deep", "## 2 Next", "## RELATED WORK", "## 3 Marked"]
+    flags = rows(headings.is_numbered(lines.explode_lines(docs(spark, lists, "1 One\n\ntext"))), "doc")
+    assert flags == [(0, True), (1, False)]
 
 
-def test_title_run_into_its_text_and_fences():
+def test_title_run_into_its_text_and_fences(spark):
     text = "1 A\n\nx\n\n1.1 B\nThis paragraph has many more than eight words in it.\n\n2 C\n\n```\n3 D\n```"
-    got = headings.renumber_headings(text).split("\n")
+    got = renumbered(spark, text)[0].split("\n")
     assert "### 1.1 B" in got and "3 D" in got
 
 
@@ -133,21 +171,65 @@ def test_size_levels_by_anchor():
 # --- repair ---
 
 
-@pytest.mark.parametrize("text, loop", [(PHRASE * 300, True), ("S. T. " * 4, False), (PHRASE * 3, False), ("| [x] " * 60, False), ("0.0 " * 100, False), ("a b c d " * 200, True)])
-def test_loops_by_islands_and_by_hand(spark, text, loop):
+@pytest.mark.parametrize(
+    "text, loop",
+    [(PHRASE * 300, True), ("S. " * 400, True), ("$\\quad$ " * 200, True), ("S. T. " * 4, False), (PHRASE * 3, False), ("| [x] " * 60, False), ("0.0 " * 100, False), ("a b c d " * 200, True), ("alpha x|y " * 60, True), ("| --- " * 6000 + PHRASE * 40, True), ("", False), (None, False)],
+)
+def test_loops(spark, text, loop):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     assert repair.find_loops(df, "id", "text").first()["has_loop"] == loop == (repair.collapse_loops(text) != text)
 
 
-def test_random_tokens_agree(spark):
+def greedy(tokens):
+    """The cuts of a plain scan from the left."""
+    out, i, n = [], 0, len(tokens)
+    while i < n:
+        j = i
+        while j < n and len(tokens[j]) <= 2 and tokens[j].isalpha():
+            j += 1
+        best = (j, 0) if j - i >= repair.MIN_SOUP else None
+        for p in range(1, repair.MAX_PERIOD + 1):
+            if best or i + p >= n:
+                break
+            unit = tokens[i : i + p]
+            k = i
+            while k + p < n and tokens[k] == tokens[k + p]:
+                k += 1
+            if "|" not in unit and any(c.isalpha() for t in unit for c in t) and k - i + p >= max(repair.MIN_SPAN, repair.MIN_TIMES * p) and k > i:
+                best = (k + p, p)
+        if best:
+            out.append((i, *best))
+            i = best[0]
+        else:
+            i += 1
+    return out
+
+
+def test_cuts_equal_a_plain_scan():
     rng = np.random.default_rng(3)
-    texts = []
-    for _ in range(120):
-        unit = list(rng.choice(["alpha", "be", "42", "|", "c"], rng.integers(1, 6)))
-        texts.append(" ".join([*rng.choice(["x1", "yy", "zeta"], rng.integers(0, 9)), *unit * int(rng.integers(1, 60)), "end"]))
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = dict(rows(repair.find_loops(df, "id", "text"), "doc"))
-    assert got == {i: bool(repair._spans(t.split())) for i, t in enumerate(texts)}
+    hits = 0
+    for _ in range(400):
+        tokens = []
+        for _ in range(int(rng.integers(1, 4))):
+            tokens += list(rng.choice(["alpha", "be", "42", "|", "c", "dd"], rng.integers(1, 6))) * int(rng.integers(1, 30)) + list(rng.choice(["x1", "yy", "zeta"], rng.integers(0, 4)))
+        got = repair.cuts([str(t) for t in tokens])
+        assert got == greedy([str(t) for t in tokens])
+        hits += len(got)
+    assert hits > 100
+
+
+def test_recovery_of_a_looping_page():
+    loop = "Start of it. " + PHRASE * 60
+    asked = []
+
+    def ask(what):
+        asked.append(what)
+        return {"left": "Left text.", "right": "Right text."}.get(what, loop)
+
+    assert repair.recover(ask, lambda: ["left", "right"], lambda t: "") == "Left text.\n\nRight text." and asked == ["page", "page", "left", "right"]
+    more = iter(["more words follow here " * 4 + ". " + " ".join(f"w{i}" for i in range(30)), "few"])
+    assert repair.recover(lambda w: loop, list, lambda t: next(more)).startswith("Start of it.\nmore words")
+    assert repair.recover(lambda w: "fine", list, lambda t: "") == "fine"
 
 
 def test_collapse_keeps_one_unit():
@@ -159,8 +241,10 @@ def test_collapse_keeps_one_unit():
 
 @pytest.mark.parametrize(
     "src, want",
-    [("a $\\rightarrow$ b", "a → b"), ("$\\text{plain words}$", "plain words"), ("$\\textbf{bold}$ x", "**bold** x"), ("5$\\text{\\%}$", "5%"), ("$x^2 + y$", "$x^2 + y$"), ("costs $5 and $6", "costs $5 and $6"), ("`$\\to$`", "`$\\to$`"), ("$\\quad$", " ")],
-)
+    [("a $\\rightarrow$ b", "a → b"), ("$\\text{plain words}$", "plain words"), ("$\\textbf{bold}$ x", "**bold** x"), ("5$\\text{\\%}$", "5%"), ("$x^2 + y$", "$x^2 + y$"), ("costs $5 and $6", "costs $5 and $6"), ("`$\\quad$` and\n```\n$\\text{a}$\n```",) * 2,
+     ("$\\text{A}\\quad 0.92$", "A 0.92"), ("losses of $\\text{\\$5}$ million", "losses of \\$5 million"), ("$$\\text{Total}\\qquad 42$$", "Total 42"), ("a $\\quad$ b", "a   b"), ("$\\square$ $\\S$ $\\uparrow$ $\\blacksquare$", "☐ § ↑ ■"),
+     ("$\\alpha\\quad\\beta$", "$\\alpha \\beta$"), ("$\\operatorname{rank}$", "rank"), ("$$\\times$$",) * 2, ("$\\text{S}\\text{O}\\text{F}$", "SOF")],
+)
 def test_clean_latex(src, want):
     assert repair.clean_latex(src) == want
 
@@ -240,6 +324,59 @@ def test_rank_fusion(spark):
     assert [r["id"] for r in got] == [2, 1, 3] and got[0]["method"] == "text+semantic" and abs(got[0]["rrf_score"] - 2 / 62) < 1e-12
 
 
+def test_failed_ingests_leave_the_index_as_it_was(spark, tmp_path):
+    ix = search.Index(spark, str(tmp_path), "lib")
+    rows_ = spark.createDataFrame([(1, "a", "s", "threat report"), (2, "b", None, "other words"), (3, None, "s", "no source")], "id long, source string, section string, text string")
+    assert ix.ingest(rows_) == 3 and ix.ingest(rows_.limit(0)) == 0
+    (tmp_path / "index_name=lib" / "manifest" / "version=7").mkdir()  # not written whole
+    (tmp_path / "index_name=lib" / "chunks" / "version=1").mkdir()
+    assert ix._version() == 0 and ix.chunks().count() == 3
+    assert ix.ingest(spark.createDataFrame([(9, None, "s", "again without source")], rows_.schema)) == 1
+    assert sorted(r["id"] for r in ix.chunks().collect()) == [1, 2, 9]
+    assert [r["id"] for r in ix.text_search([["again"]]).collect()] == [9] and ix.text_search([["no"]]).count() == 0
+    scored = dict(rows(ix.text_search([["source"]]), "id"))
+    assert scored == pytest.approx(dict(rows(search.bm25(ix.chunks(), [["source"]]), "id")))
+
+
+def test_embedding_on_the_way_in_and_context(spark, tmp_path):
+    embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    ix = search.Index(spark, str(tmp_path), "lib")
+    c = spark.createDataFrame([(i, "a", i, "p", "s", t, k) for i, (t, k) in enumerate((("one threat", "prose"), ("![x](y.png)", "figure"), (None, "prose")))], "id long, source string, chunk_index int, parent_id string, section string, text string, content_type string")
+    assert ix.ingest(c, embed) == 3
+    assert [r["embedding"] for r in ix.chunks().orderBy("id").collect()] == [[10.0, 1.0], [11.0, 1.0], [0.0, 1.0]]
+    got = ix.search("threat", mode="text", context=True).collect()
+    assert [(r["id"], r["context_after"], r["section_context"], r["figure_context"]) for r in got] == [(0, "![x](y.png)", "![x](y.png)", "![x](y.png)")]
+    assert {r["id"] for r in ix.search("threat", embed=embed, k=5).collect()} == {0, 1, 2}
+
+
+def test_indexes_are_listed_with_totals(spark, tmp_path):
+    schema = "id long, source string, section string, text string"
+    assert search.indexes(spark, str(tmp_path / "none")).count() == 0
+    search.Index(spark, str(tmp_path), "one").ingest(spark.createDataFrame([(1, "a", "", "x"), (2, None, "", "y")], schema))
+    search.Index(spark, str(tmp_path), "two").ingest(spark.createDataFrame([(1, "a", "", "x")], schema))
+    got = {(r["index_name"], r["source"], r["is_total"]): r["chunk_count"] for r in search.indexes(spark, str(tmp_path)).collect()}
+    assert got == {("one", "a", False): 1, ("one", None, False): 1, ("one", None, True): 2, ("two", "a", False): 1, ("two", None, True): 1}
+    assert search.Index(spark, str(tmp_path / "x.db"), "any").where.endswith("x.db")
+
+
+def test_term_buckets_agree(spark):
+    words = ["a", "threat", "café", "日本", "x" * 100]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", search._bucket(F.col("w"), 64).alias("b"))
+    assert {r["w"]: r["b"] for r in df.collect()} == {w: search.term_bucket(w, 64) for w in words}
+
+
+def test_section_context_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(i, rng.choice("ab"), rng.choice(["p", "q", "", None]), rng.randrange(12), f"t{i}") for i in range(120)]
+    c = spark.createDataFrame(data, "id long, source string, parent_id string, chunk_index int, text string")
+    got = dict(rows(search.section_context(c.select("id", "source", "parent_id", "chunk_index"), c), "id"))
+    for i, s, p, k, _ in data:
+        near = sorted((abs(x[3] - k), x[3], x[0], x[4]) for x in data if p and x[1:3] == (s, p) and x[0] != i)[:4]
+        assert got[i] == "\n\n".join(x[3] for x in near)
+
+
 def test_index_ingest_and_search(spark, tmp_path):
     ix = search.Index(spark, str(tmp_path), "lib")
     with pytest.raises(FileNotFoundError):
@@ -335,7 +472,21 @@ def test_regions_in_reading_order():
     assert len(got) == 3 and got[0][3] <= got[1][1] + 1 and got[1][0] < got[2][0]
     pie = np.zeros((40, 100), bool)
     pie[5:35, 30:70] = True
-    assert geometry.page_regions(pie) == [(0, 0, 100, 40)] and geometry.page_regions(np.zeros((5, 5))) == []
+    assert geometry.page_regions(pie) == [] and geometry.page_regions(np.zeros((5, 5))) == []
+    pie[39, 30:70] = True  # something below: cut at the gap
+    assert geometry.page_regions(pie) == [(0, 0, 100, 37.0), (0, 37.0, 100, 40)]
+
+
+def test_columns_share_a_gutter_and_slivers_join():
+    ink = np.zeros((200, 100), bool)
+    for a, b in ((0, 60), (66, 130), (136, 190)):  # three bands of two columns
+        ink[a:b, 4:45] = ink[a:b, 55:96] = True
+    ink[196:199, 10:90] = True  # a footer across the page
+    got = geometry.page_regions(ink)
+    assert [(x[0], x[2]) for x in got] == [(0, 49.5), (49.5, 100), (0, 100)] and got[0][1:4:2] == got[1][1:4:2] == (0, 190)
+    assert geometry.gutter_of(ink[:10]).sum() == 0  # too few rows to have columns
+    ink[:, 55:96] = False
+    assert not geometry.gutter_of(ink[:60]).any()  # no ink on one side
 
 
 def test_merging_to_a_fixpoint(spark):
@@ -363,13 +514,13 @@ def test_empty_inputs(spark):
 def test_heading_style_of_all_lines_equals_brute_force(spark, tmp_path):
     import random
 
-    from docmill.plans.more_plans import _spans, j15_heading_style_all
+    from docmill.plans.more_plans import _spans, j15_heading_style
 
     rng = random.Random(3)
     words = ["ab", "abab", "part", "partlist", "partlistab", "listab", "hot plate"]
     parts = [(i, f"Brand#{i % 4}", rng.choice(words), rng.randrange(1, 50)) for i in rng.sample(range(1, 400), 200)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = {(r["doc"], r["key"]): r["size"] for r in j15_heading_style_all(spark, str(tmp_path)).collect()}
+    got = {(r["doc"], r["key"]): r["size"] for r in j15_heading_style(spark, str(tmp_path)).collect()}
     by_doc = {}
     for r in geometry.span_lines(_spans(spark, str(tmp_path))).orderBy("page_no", "line_no").collect():
         by_doc.setdefault(r["doc"], []).append(r)
@@ -390,4 +541,4 @@ def test_rectangles_of_all_rows_are_read(spark, tmp_path):
     rows_ = [(1, 1, 5, 1, 30.0, "A"), (1, 2, 300, 1, 30.0, "N"), (2, 1, 300, 50, 30.0, "R")]
     spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert chart_plans.g02_merged_rects(spark, str(tmp_path)).count() == 3
-    assert chart_plans.k04_reading_order_all(spark, str(tmp_path)).count() == 3
+    assert chart_plans.k04_reading_order(spark, str(tmp_path)).count() == 3

@@ -10,8 +10,10 @@ def test_backlog_resumes(spark, tmp_path):
     args = (spark, "id int, t string", src, out, ck, lambda d: d, ["id"])
     assert run_backlog(*args) == 2
     assert run_backlog(*args) == 2
-    spark.createDataFrame([(3, "c")], "id int, t string").write.mode("append").parquet(src)
-    assert run_backlog(*args) == 3
+    spark.createDataFrame([(3, "c"), (1, "again")], "id int, t string").write.mode("append").parquet(src)
+    assert run_backlog(*args) == 3  # a key of an earlier batch is not written again
+    got = {r["id"]: r["t"] for r in spark.read.parquet(f"{out}/batch=*").collect()}
+    assert got == {1: "a", 2: "b", 3: "c"}
 
 
 def test_a_failed_page_is_a_row(spark):
