@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import content_type, stable_id, strip, strip_page_markers
+from docmill.operators import charts, headings
+from docmill.operators.lines import explode_lines, page_index, page_ranges
 from docmill.session import spread
 
 TOKEN = re.compile(r"\S+")
@@ -126,15 +129,49 @@ def semantic_chunks(text: str, size: int, threshold: float = 0.1, embed: Callabl
 CHUNKERS: dict[str, Callable[[str, int], list[Raw]]] = {"recursive": recursive_chunks, "sentence": sentence_chunks, "semantic": semantic_chunks}
 
 
-def _chunk(strategy: str, size: int):
+Embedder = Callable[[str], list[float]]
+
+
+def chunker(strategy: str, embed: Embedder | None = None) -> Callable[[str, int], list[Raw]]:
+    """A chunker by name. The semantic one takes an embedder; where that fails a text is cut recursively."""
+    if strategy != "semantic":
+        return CHUNKERS[strategy]
+
+    def cut(text: str, size: int) -> list[Raw]:
+        try:
+            return semantic_chunks(text, size, embed=embed or hashed_embedding)
+        except Exception:  # noqa: BLE001  (a document is cut anyhow)
+            return recursive_chunks(text, size)
+
+    return cut
+
+
+def _places(text: str, held: dict[str, str]) -> Callable[[int], int]:
+    """Offsets in a text with held blocks as offsets in the text itself."""
+    starts, shifts, shift = [], [], 0
+    for key, block in held.items():  # in the order they stand in
+        at = text.index(key, starts[-1] if starts else 0)
+        starts.append(at + len(key))
+        shift += len(block) - len(key)
+        shifts.append(shift)
+
+    def place(at: int) -> int:
+        k = bisect.bisect_right(starts, at)
+        return at + (shifts[k - 1] if k else 0)
+
+    return place
+
+
+def _chunk(strategy: str, size: int, embed: Embedder | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = CHUNKERS[strategy]
+        cut = chunker(strategy, embed)
         for batch in batches:
             cols: dict[str, list] = {c: [] for c in ("doc", "chunk_index", "text", "start_index", "end_index", "token_count")}
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 held_text, held = protect_figures(text)
+                place = _places(held_text, held)
                 for k, (a, b, n) in enumerate(cut(held_text, size)):
-                    for c, v in zip(cols, (doc, k, restore_figures(held_text[a:b], held), a, b, n)):
+                    for c, v in zip(cols, (doc, k, restore_figures(held_text[a:b], held), place(a), place(b), n)):
                         cols[c].append(v)
             types = (batch.column("doc").type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], names=list(cols))
@@ -142,33 +179,70 @@ def _chunk(strategy: str, size: int):
     return run
 
 
-def chunk_documents(df: DataFrame, doc: str = "doc", text: str = "markdown", strategy: str = "recursive", size: int = 1024) -> DataFrame:
+def chunk_documents(df: DataFrame, doc: str = "doc", text: str = "markdown", strategy: str = "recursive", size: int = 1024, embed: Embedder | None = None) -> DataFrame:
     """``doc``, ``chunk_index``, ``text``, ``start_index``, ``end_index``, ``token_count``, ``content_type``, ``has_figure``.
 
-    Figure blocks are never cut. Offsets are those of the text in which each figure block is one token.
-    Null texts give nothing.
+    Figure blocks are never cut. Offsets are those of the document, markers included. Null texts give nothing.
     """
     rows = spread(df.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text")))
     kind = rows.schema["doc"].dataType.simpleString()
-    out = rows.mapInArrow(_chunk(strategy, size), f"doc {kind}, chunk_index int, text string, start_index int, end_index int, token_count int")
+    out = rows.mapInArrow(_chunk(strategy, size, embed), f"doc {kind}, chunk_index int, text string, start_index int, end_index int, token_count int")
     return with_kind(out.withColumn("text", strip_page_markers(F.col("text"))))
 
 
+def with_charts(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``has_structured_chart_data``, ``chart_data`` and ``vega_lite_spec`` of the comments in their text."""
+    has, data, spec = charts.metadata(F.col("text"))
+    return chunks.withColumns({"has_structured_chart_data": has, "chart_data": data, "vega_lite_spec": spec})
+
+
+def chunk_markdown(df: DataFrame, doc: str = "doc", text: str = "markdown", source: str | None = None, strategy: str = "recursive", size: int = 1024, embed: Embedder | None = None) -> DataFrame:
+    """chunk_documents with all that a chunk knows of its place: ``section`` (breadcrumb as of its start), ``page_start``
+    and ``page_end`` (null without markers), the chart data in it, and ``doc_title``, ``doc_author``, ``doc_year``,
+    ``doc_doi`` of its document. source names a column with the file's name; doc counts as one without it.
+    """
+    d = df.select(F.col(doc).alias("doc"), F.col(text).alias("markdown"), F.col(source or doc).cast("string").alias("source"))
+    if strategy == "hierarchical":
+        lines = explode_lines(d)
+        parts = headings.sections(headings.heading_index(lines), d.select("doc", F.length("markdown").alias("length")), preamble=True)
+        chunks = hierarchical(parts, d.select("doc", "markdown"), "semantic", size, embed)
+    else:
+        chunks = chunk_documents(d, "doc", "markdown", strategy, size, embed)
+        lines = explode_lines(d)
+        spans = chunks.select("doc", F.col("chunk_index").alias("span_no"), F.col("start_index").cast("long").alias("start"))
+        path = headings.sections_of_spans(spans, headings.heading_index(lines).withColumn("offset", F.col("offset").cast("long")))
+        chunks = chunks.join(path.select("doc", F.col("span_no").alias("chunk_index"), F.col("path").alias("section")), ["doc", "chunk_index"])
+    chunks = with_pages(chunks, lines)
+    about = document_metadata(F.col("markdown"), F.col("source"))
+    return with_charts(chunks).join(d.select("doc", "source", *[c.alias(n) for n, c in about.items()]), "doc")
+
+
+def with_pages(chunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Chunks (doc, chunk_index, start_index, end_index) with the pages their span covers, as of the markers in lines."""
+    spans = chunks.select("doc", F.col("chunk_index").alias("span_no"), F.col("start_index").cast("long").alias("start"), F.col("end_index").cast("long").alias("end"))
+    found = page_ranges(spans, page_index(lines).withColumn("offset", F.col("offset").cast("long")))
+    return chunks.join(found.select("doc", F.col("span_no").alias("chunk_index"), "page_start", "page_end"), ["doc", "chunk_index"])
+
+
 def with_kind(chunks: DataFrame) -> DataFrame:
     x = chunks.withColumn("content_type", content_type(F.col("text")))
     return x.withColumn("has_figure", (F.col("content_type") == "figure") | F.contains("text", F.lit("![")))
 
 
-def hierarchical(sections: DataFrame, texts: DataFrame, strategy: str = "recursive", size: int = 1024) -> DataFrame:
+def hierarchical(sections: DataFrame, texts: DataFrame, strategy: str = "recursive", size: int = 1024, embed: Embedder | None = None) -> DataFrame:
     """Chunks within sections, with stable ids, siblings and counts.
 
-    sections (doc, section_idx, start, end, path), texts (doc, markdown).
+    sections (doc, section_idx, start, end, path), texts (doc, markdown). ``section_chunk_index`` counts within a
+    section, ``chunk_index`` within the document; offsets are those of the document.
     """
     s = sections.join(texts, "doc").select(F.struct("doc", "section_idx", "start", "path").alias("doc"), F.substring("markdown", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("markdown"))
-    c = chunk_documents(s, "doc", "markdown", strategy, size).select("doc.*", "chunk_index", "text", "start_index", "token_count", "content_type", "has_figure")
+    c = chunk_documents(s, "doc", "markdown", strategy, size, embed).select("doc.*", "chunk_index", "text", "start_index", "end_index", "token_count", "content_type", "has_figure")
     c = c.withColumn("parent_id", stable_id(F.col("doc"), F.lit("section"), F.col("section_idx"), F.col("path")))
     c = c.withColumn("chunk_id", stable_id(F.col("doc"), F.col("parent_id"), F.col("chunk_index"), F.col("start") + F.col("start_index")))
-    return siblings(c.withColumnRenamed("chunk_index", "section_chunk_index"))
+    c = siblings(c.withColumnRenamed("chunk_index", "section_chunk_index"))
+    w = Window.partitionBy("doc").orderBy("section_idx", "section_chunk_index")
+    c = c.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("section", F.element_at(F.split("path", " > "), -1))
+    return c.withColumns({"start_index": (F.col("start") + F.col("start_index")).cast("int"), "end_index": (F.col("start") + F.col("end_index")).cast("int")}).withColumnRenamed("path", "section_path")
 
 
 def siblings(chunks: DataFrame, parent: str = "parent_id", order: str = "section_chunk_index") -> DataFrame:

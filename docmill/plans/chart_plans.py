@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import charts, geometry
+from docmill.plans.fixtures import DOCS_SQL, docs
 from docmill.plans.registry import query
 from docmill.session import table
 
@@ -79,60 +80,105 @@ def g02_merged_rects(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.merge_by_page(_rects(spark, sf))
 
 
-def _charts(spark: SparkSession, sf: str) -> DataFrame:
-    """A chart of every part, with untidy strings, an empty point and values of all forms."""
+def _raw_charts(spark: SparkSession, sf: str) -> DataFrame:
+    """A chart of every part, with untidy strings, an empty point, values of all forms and, for some, a table."""
     p = table(spark, sf, "part")
-    num = F.col("p_size").cast("string")
+    num, key = F.col("p_size").cast("string"), F.col("p_partkey")
     point = lambda x, y: F.struct(x.cast("string").alias("x"), y.cast("string").alias("y"), F.lit(None).cast("string").alias("label"))
-    ys = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("~"), num)).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("1,"), F.lpad(num, 3, "0"))).otherwise(num)
-    series = F.array(F.struct(F.concat(F.lit(" "), F.col("p_brand"), F.lit("  s ")).alias("name"), F.array(point(F.col("p_type"), ys), point(F.lit(" "), F.lit(None))).alias("points")), F.struct(F.lit("empty").alias("name"), F.array().cast("array<struct<x:string,y:string,label:string>>").alias("points")))
-    kind = F.when(F.col("p_partkey") % 3 == 0, "line_chart").when(F.col("p_partkey") % 3 == 1, "bar_chart").otherwise("diagram")
-    conf = F.when(F.col("p_partkey") % 4 == 0, "Exact").when(F.col("p_partkey") % 4 == 1, "sure").otherwise(F.lit(None).cast("string"))
-    raw = F.struct(kind.alias("figure_type"), F.concat(F.lit(" a  "), F.col("p_name")).alias("title"), series.alias("series"), conf.alias("confidence"), F.lit(None).cast("string").alias("notes"))
-    return p.select("p_partkey", "p_size", F.col("p_partkey").alias("id"), raw.alias("raw")).select("id", "p_size", charts.normalize(F.col("raw")).alias("chart"))
+    ys = F.when(key % 5 == 0, F.concat(F.lit("~"), num)).when(key % 5 == 1, F.concat(F.lit("1,"), F.lpad(num, 3, "0"))).when(key % 5 == 2, F.concat(num, F.lit(".50"))).otherwise(num)
+    none = F.array().cast(charts._POINTS)
+    series = F.array(F.struct(F.concat(F.lit(" "), F.col("p_brand"), F.lit("  s ")).alias("name"), F.array(point(F.col("p_type"), ys), point(F.lit(" "), F.lit(None))).alias("points")), F.struct(F.lit("empty").alias("name"), none.alias("points")))
+    series = F.when(key % 7 < 5, series)
+    kind = F.when(key % 3 == 0, "line_chart").when(key % 3 == 1, "bar_chart").otherwise("diagram")
+    conf = F.when(key % 4 == 0, "Exact").when(key % 4 == 1, "sure").otherwise(F.lit(None).cast("string"))
+    axis = lambda label, unit: F.struct(label.alias("label"), unit.cast("string").alias("unit"))
+    rows = F.array(F.create_map(F.lit("Name"), F.concat(F.lit("a|"), F.col("p_brand")), F.lit("Size"), F.concat(F.lit("0"), num)), F.create_map(F.lit("Name"), F.lit("b  c"), F.lit("More"), F.lit("~1,000")))
+    grid = F.when(key % 2 == 0, F.struct(F.array(F.lit(" Name "), F.lit(" ")).alias("columns"), rows.alias("rows")))
+    raw = F.struct(
+        kind.alias("figure_type"), F.concat(F.lit(" a  "), F.col("p_name")).alias("title"), axis(F.lit(" Kind  of "), F.lit(None)).alias("x_axis"), axis(F.lit(None).cast("string"), F.lit(" mm ")).alias("y_axis"),
+        series.alias("series"), grid.alias("table"), conf.alias("confidence"), F.when(key % 6 == 0, " two\nlines ").alias("notes"),
+    )
+    return p.select("p_partkey", "p_size", key.alias("id"), raw.alias("raw"))
+
+
+def _charts(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw_charts(spark, sf).select("id", "p_size", charts.normalize(F.col("raw")).alias("chart"))
 
 
-_Y = "CASE p_partkey % 5 WHEN 0 THEN '~' || p_size WHEN 1 THEN '1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') ELSE CAST(p_size AS VARCHAR) END"
+_Y = "CASE p_partkey % 5 WHEN 0 THEN '~' || p_size WHEN 1 THEN '1' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 2 THEN p_size || '.5' ELSE CAST(p_size AS VARCHAR) END"
 _KIND = "CASE p_partkey % 3 WHEN 0 THEN 'line_chart' WHEN 1 THEN 'bar_chart' ELSE 'diagram' END"
 _CONF = "CASE p_partkey % 4 WHEN 0 THEN 'exact' ELSE 'low' END"
 _T = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_TITLE = _T.format("' a  ' || p_name")
+_NAME = _T.format("p_brand || '  s '")
+_X = _T.format("p_type")
+#: Parts with points, with a table, and with either.
+_PTS, _TAB = "(p_partkey % 7 < 5)", "(p_partkey % 2 = 0)"
 
 
-@query(f"SELECT p_partkey AS id, {_T.format(chr(39) + ' a  ' + chr(39) + ' || p_name')} AS title, {_T.format('p_brand || ' + chr(39) + '  s ' + chr(39))} AS series, {_T.format('p_type')} AS x, {_Y} AS y, {_CONF} AS confidence, 1 AS n FROM part")
+@query(
+    f"SELECT p_partkey AS id, {_TITLE} AS title, CASE WHEN {_PTS} THEN {_NAME} END AS series, CASE WHEN {_PTS} THEN {_X} END AS x, CASE WHEN {_PTS} THEN {_Y} END AS y, {_CONF} AS confidence, CASE WHEN {_PTS} THEN 1 ELSE 0 END AS n, 'Kind of/' AS x_axis, '/mm' AS y_axis, CASE WHEN {_TAB} THEN 'Name,Size,More' ELSE '' END AS columns, "
+    f"CASE WHEN {_TAB} THEN p_size || ';~1000' ELSE ';' END AS cells, CASE WHEN p_partkey % 6 = 0 THEN 'two lines' ELSE '' END AS notes FROM part WHERE {_PTS} OR {_TAB}"
+)
 def g05_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.get(F.col("chart.series"), F.lit(0))
+    c = F.col("chart")
+    s = F.get(c["series"], F.lit(0))
     pt = F.get(s["points"], F.lit(0))
-    return _charts(spark, sf).select("id", F.col("chart.title").alias("title"), s["name"].alias("series"), pt["x"].alias("x"), pt["y"].alias("y"), F.col("chart.confidence").alias("confidence"), F.size("chart.series").alias("n"))
+    cell = lambda row, col: F.coalesce(F.try_element_at(F.get(c["table"]["rows"], F.lit(row)), F.lit(col)), F.lit(""))
+    x = _charts(spark, sf).where("chart is not null")
+    return x.select(
+        "id", c["title"].alias("title"), s["name"].alias("series"), pt["x"].alias("x"), pt["y"].alias("y"), c["confidence"].alias("confidence"), F.size(c["series"]).alias("n"), F.concat_ws("/", c["x_axis"]["label"], c["x_axis"]["unit"]).alias("x_axis"), F.concat_ws("/", c["y_axis"]["label"], c["y_axis"]["unit"]).alias("y_axis"),
+        F.array_join(c["table"]["columns"], ",").alias("columns"), F.concat_ws(";", cell(0, "Size"), cell(1, "More")).alias("cells"), c["notes"].alias("notes"),
+    )
 
 
-@query(f"SELECT p_partkey AS id, {_KIND} <> 'diagram' AND p_partkey % 5 <> 0 AS has_data FROM part")
+@query(f"SELECT p_partkey AS id, CASE WHEN {_PTS} OR {_TAB} THEN {_KIND} <> 'diagram' AND {_PTS} AND p_partkey % 5 <> 0 END AS has_data FROM part")
 def p09_has_data(spark: SparkSession, sf: str) -> DataFrame:
     return _charts(spark, sf).select("id", charts.has_data(F.col("chart")).alias("has_data"))
 
 
-@query(f"SELECT p_partkey AS id, CASE WHEN {_CONF} = 'exact' AND (p_partkey % 5 <= 1 OR p_partkey % 2 = 1) THEN 'estimated' ELSE {_CONF} END AS confidence FROM part")
+_PRINTED = "(p_partkey % 2 = 0)"
+_OK = f"({_PRINTED} AND (NOT {_PTS} OR p_partkey % 5 > 2))"
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN {_CONF} = 'exact' AND NOT {_OK} THEN 'estimated' ELSE {_CONF} END AS confidence, concat_ws('; ', CASE WHEN p_partkey % 6 = 0 THEN 'two lines' END, CASE WHEN {_CONF} = 'exact' AND NOT {_OK} THEN 'values are not all printed in the figure' END) AS notes FROM part WHERE {_PTS} OR {_TAB}")
 def g06_ground(spark: SparkSession, sf: str) -> DataFrame:
-    printed = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Parts 0.5 and "), F.col("p_size").cast("string"), F.lit(" % of all")))
-    return _charts(spark, sf).select("id", charts.ground(F.col("chart"), printed).alias("confidence"))
+    printed = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Parts 0.25 and "), F.col("p_size").cast("string"), F.lit(" % of all")))
+    x = _charts(spark, sf).where("chart is not null").select("id", charts.grounded(F.col("chart"), printed).alias("c"))
+    return x.select("id", "c.confidence", "c.notes")
 
 
-@query(
-    f"SELECT p_partkey AS id, '> **Chart data:** ' || {_KIND} || ' — ' || {_T.format(chr(39) + ' a  ' + chr(39) + ' || p_name')} || ' (' || {_CONF} || ')' || chr(10) || '>' || chr(10) || '> | series | x | y |' || chr(10) || '> |---|---|---|' || chr(10) || '> | ' || {_T.format('p_brand || ' + chr(39) + '  s ' + chr(39))} || ' | ' || {_T.format('p_type')} || ' | ' || {_Y} || ' |' AS block FROM part"
-)
+_NL = "chr(10)"
+_SUMMARY = f"'> ' || concat_ws('; ', {_KIND}, {_TITLE}, 'confidence=' || {_CONF})"
+_GRID = f"'>' || {_NL} || '> | Name | Size | More |' || {_NL} || '> | --- | --- | --- |' || {_NL} || '> | a\|' || p_brand || ' | ' || p_size || ' |  |' || {_NL} || '> | b c |  | ~1000 |'"
+_POINT = f"'>' || {_NL} || '> | Series | X | Y | Label |' || {_NL} || '> | --- | --- | --- | --- |' || {_NL} || '> | ' || {_NAME} || ' | ' || {_X} || ' | ' || {_Y} || ' |  |'"
+
+
+@query(f"SELECT p_partkey AS id, CASE WHEN {_PTS} OR {_TAB} THEN concat_ws({_NL}, '> **Structured chart data:**', {_SUMMARY}, CASE WHEN {_TAB} THEN {_GRID} END, CASE WHEN {_PTS} THEN {_POINT} END, CASE WHEN p_partkey % 6 = 0 THEN '> Notes: two lines' END) ELSE '' END AS block FROM part")
 def g07_render(spark: SparkSession, sf: str) -> DataFrame:
     return _charts(spark, sf).select("id", charts.render(F.col("chart")).alias("block"))
 
 
-@query(f"SELECT p_partkey AS id, CASE WHEN contains({_KIND}, 'line') THEN 'line' ELSE 'bar' END AS mark FROM part")
-def g08_mark(spark: SparkSession, sf: str) -> DataFrame:
-    return _charts(spark, sf).select("id", charts.mark(F.col("chart.figure_type")).alias("mark"))
+@query(
+    f"SELECT p_partkey AS id, CASE WHEN contains({_KIND}, 'line') THEN 'line' ELSE 'bar' END AS mark, {_TITLE} AS title, 'Kind of' AS x_title, 'Y (mm)' AS y_title, CASE WHEN {_PTS} THEN 'series' END AS color, CASE WHEN {_PTS} THEN {_X} ELSE 'a|' || p_brand END AS x, "
+    f"CAST(ltrim(CASE WHEN {_PTS} THEN {_Y} ELSE CAST(p_size AS VARCHAR) END, '~') AS DOUBLE) AS y, {_CONF} <> 'exact' AS approximate FROM part WHERE {_PTS} OR {_TAB}"
+)
+def g08_spec(spark: SparkSession, sf: str) -> DataFrame:
+    x = _charts(spark, sf).select("id", charts.plot_spec(F.col("chart")).alias("s")).where("s is not null")
+    at = lambda path: F.get_json_object("s", f"$.{path}")
+    return x.select(
+        "id", at("mark").alias("mark"), at("description").alias("title"), at("encoding.x.title").alias("x_title"), at("encoding.y.title").alias("y_title"), at("encoding.color.field").alias("color"), at("data.values[0].x").alias("x"),
+        at("data.values[0].y").cast("double").alias("y"), at("usermeta.docmill.approximate").cast("boolean").alias("approximate"),
+    )
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS n FROM part")
-def g10_comments(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.when(F.col("id") % 3 == 0, F.lit('{"title": }')).otherwise(F.to_json(F.struct(F.col("chart.title").alias("title"))))
-    text = F.concat(F.lit("x <!-- chart-data: "), body, F.lit(" --> y"))
-    return _charts(spark, sf).select("id", F.size(charts.comments(text)).alias("n"))
+@query(f"SELECT p_partkey AS id, ({_PTS} OR {_TAB}) AS has, CASE WHEN {_PTS} OR {_TAB} THEN {_TITLE} END AS title, CASE WHEN {_PTS} OR {_TAB} THEN 2 END AS both FROM part")
+def g10_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    c = charts.comment(F.col("chart"))
+    broken = F.lit(f'<!-- {charts.COMMENT}: {{"title": }} -->')
+    one, two = (charts.metadata(F.concat(F.lit("x "), c, F.lit(" y "), rest, broken)) for rest in (F.lit(""), c))
+    x = _charts(spark, sf).select("id", one[0].alias("has"), F.get_json_object(one[1], "$.title").alias("title"), F.when(two[0], F.json_array_length(two[1])).alias("both"))
+    return x
 
 
 @query("SELECT l_orderkey AS image, max(n) AS hits FROM (SELECT l_orderkey, l_returnflag, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE abs(l_quantity - 25) <= 5 GROUP BY 1, 2) GROUP BY 1")
@@ -141,3 +187,12 @@ def e07_chart_score(spark: SparkSession, sf: str) -> DataFrame:
     c = li.select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("series"), F.concat(F.lit("Key "), F.col("l_linenumber").cast("string")).alias("x"), F.col("l_quantity").cast("string").alias("y"))
     t = li.select(F.col("l_orderkey").alias("image"), F.concat(F.lit("key "), F.col("l_linenumber").cast("string")).alias("key"), F.lit(25.0).alias("value"), F.lit(5.0).alias("tolerance")).distinct()
     return charts.score(c, t)
+
+
+@query(
+    f"WITH {DOCS_SQL} SELECT doc, replace(markdown, '![plot](img-1.png)' || chr(10), '![plot](img-1.png)' || chr(10) || '> **Figure description:** Costs $5 in \\x.' || chr(10) || '>' || chr(10) || '> A second part.' || chr(10) || '>' || chr(10) || '> | a |' || chr(10) || '> |---|' || chr(10) || chr(10)) AS markdown FROM docs"
+)
+def g11_inject(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf)
+    told = d.select("doc", F.explode(F.array(F.struct(F.lit("img-1.png").alias("image_id"), F.lit("Costs $5 in \\x.\n\nA second part.\nDATA:\n| a |\n|---|").alias("description")), F.struct(F.lit("figure").alias("image_id"), F.lit("[Image description unavailable: late]").alias("description")))).alias("t"))
+    return charts.inject(d, told.select("doc", "t.*", F.lit(None).cast("string").alias("printed")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.operators import chunking, clean, evaluate, headings, lines, repair
+from docmill.operators import chunking, clean, evaluate, geometry, headings, lines, repair
 from docmill.plans.fixtures import DOCS_SQL, LINES_SQL, PAGES_SQL, STRIP, docs
 from docmill.plans.registry import query
 from docmill.session import table
@@ -345,6 +345,45 @@ def n06_recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(docs(spark, sf), size=128)
 
 
+@query()
+def n06_chunks_with_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the page-marked documents with sections, pages, chart data and metadata."""
+    return chunking.chunk_markdown(_marked(spark, sf), size=128)
+
+
+@query(
+    f"{_L}, {_HIDX}, {_PATH}, len AS (SELECT doc, length(markdown) AS n FROM docs), st AS (SELECT doc, pos AS a, level FROM h UNION ALL SELECT len.doc, 0, 0 FROM len LEFT JOIN (SELECT doc, min(pos) AS f FROM h GROUP BY doc) q ON len.doc = q.doc WHERE f IS NULL OR f > 0), "
+    "se AS (SELECT st.doc, a, coalesce(lead(a) OVER (PARTITION BY st.doc ORDER BY a), n) AS b FROM st JOIN len ON st.doc = len.doc), "
+    "c AS (SELECT se.doc, a, b, substring(markdown, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS t FROM se JOIN docs ON docs.doc = se.doc) SELECT doc, CAST(a AS BIGINT) AS start_at, CAST(len(regexp_extract_all(t, '\\S+')) AS BIGINT) AS tokens FROM c WHERE regexp_matches(t, '\\S')"
+)
+def n07_sections_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of every section together hold as many tokens as the section (figure blocks count as they stand)."""
+    d = docs(spark, sf)
+    s = headings.sections(headings.heading_index(_lines(spark, sf)), d.select("doc", F.length("markdown").alias("length")))
+    c = chunking.hierarchical(s, d, size=64)
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda t: t != ""))
+    return c.groupBy("doc", F.col("start").cast("long").alias("start_at")).agg(F.sum(n).alias("tokens"))
+
+
+def _book(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Page-marked documents whose blocks of a few words are headings, and the spans of a text layer that shows them:
+    by their length in one of three sizes, some bold, the rest of the text in ten points."""
+    ls = lines.explode_lines(_marked(spark, sf)).withColumn("n", F.size(F.filter(F.split("line", r"\s+"), lambda t: t != "")))
+    head = (F.col("n").between(1, 5)) & F.col("line").rlike("^[A-Z][a-z]")
+    marked = ls.select("doc", "line_no", F.when(head, F.concat(F.lit("# "), "line")).otherwise(F.col("line")).alias("line"))
+    page = F.last(F.when(T.is_page_marker(F.col("line")), F.regexp_extract("line", r"(\d+)", 1).cast("int")), True).over(Window.partitionBy("doc").orderBy("line_no"))
+    spans = ls.withColumn("page_no", page).where("n > 0 and page_no is not null").select(
+        "doc", "page_no", "line_no", F.lit(0).alias("span_no"), F.col("line").alias("text"), F.when(head, F.element_at(F.array(F.lit(11.0), F.lit(14.0), F.lit(20.0)), F.col("n") % 3 + 1)).otherwise(10.0).alias("size"), F.when(F.col("n") % 2 == 0, "Sans-Bold").otherwise("Sans").alias("font"), F.lit(0).alias("flags"),
+    )
+    return marked, spans
+
+
+@query()
+def h05_font_levels(spark: SparkSession, sf: str) -> DataFrame:
+    marked, spans = _book(spark, sf)
+    return lines.implode_lines(headings.font_levels(marked, geometry.span_lines(spans)))
+
+
 @query()
 def n08_sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf, "documents"), "doc_id", "text", "sentence", 256)

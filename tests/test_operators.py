@@ -164,8 +164,33 @@ def test_breadcrumbs_and_sections(spark):
     assert headings.sections(idx, n, preamble=False).count() == 5
 
 
-def test_size_levels_by_anchor():
-    assert headings.size_levels([20, 19.5, 19.25, 19.0, 14]) == {20: 1, 19.5: 1, 19.25: 1, 19.0: 2, 14: 3}
+def test_tiers_by_anchor(spark):
+    sizes = spark.createDataFrame([(1, float(x)) for x in (20, 19.5, 19.25, 19.0, 14)] + [(2, 11.0)], "doc int, size double")
+    assert {(r["doc"], r["size"]): r["tier"] for r in headings.tiers(sizes).collect()} == {(1, 20.0): 20.0, (1, 19.5): 20.0, (1, 19.25): 20.0, (1, 19.0): 19.0, (1, 14.0): 14.0, (2, 11.0): 11.0}
+
+
+def test_levels_by_font_size(spark):
+    pages = [
+        "# Field Guide to Testing\n\n# Getting Started\n\nText.",
+        "# Planning Ahead\n\n# Choosing Tools\n\nText.\n\n```sh\n# install the tools\n```\n\n## Writing Cases\n\n# Chart Title Inside A Figure\n\nText.",
+        "### Running Suites\n\n# Reading Results\n\nText.",
+    ]
+    text = "\n\n".join(f"<!-- page: {i} -->\n\n{p}" for i, p in enumerate(pages, 1))
+    numbered = text.replace("# Getting", "# 1. Getting").replace("# Planning", "# 2. Planning").replace("### Running", "### 3. Running")
+    shown = [[("Field Guide to Testing", 20, 0), ("Getting Started", 14, 16)], [("Planning", 14, 16), ("Ahead", 14, 16), ("Choosing Tools", 11, 16), ("Writing Cases", 11, 16)], [("Running Suites", 14.4, 16), ("Reading Results", 11, 16)]]
+    spans = []
+    for doc in (0, 1, 2):
+        for page, heads in enumerate(shown, 1):
+            for n, (t, size, flags) in enumerate(heads):
+                spans.append((doc, page, 2 * n, 0, t, float(size), "Sans", flags))
+                spans += [(doc, page, 100 + 10 * n + k, 0, "Ordinary body text set at ten points in the prose of the book.", 10.0, "Sans", 0) for k in range(8)]
+    spans = spark.createDataFrame(spans, "doc int, page_no int, line_no int, span_no int, text string, size double, font string, flags int")
+    d = docs(spark, text, numbered, "# A\n\n# B", "")
+    got = dict(rows(lines.implode_lines(headings.font_levels(lines.explode_lines(d), geometry.span_lines(spans))), "doc"))
+    assert [x for x in got[0].replace("# install the tools", "").split("\n") if x.startswith("#")] == [
+        "# Field Guide to Testing", "## Getting Started", "## Planning Ahead", "### Choosing Tools", "### Writing Cases", "### Chart Title Inside A Figure", "## Running Suites", "### Reading Results",
+    ]
+    assert "```sh\n# install the tools\n```" in got[0] and got[1] == numbered and got[2] == "# A\n\n# B" and got[3] == ""
 
 
 # --- repair ---
@@ -269,13 +294,42 @@ def test_figures_are_never_cut(spark):
     assert {r["content_type"] for r in got if block in r["text"]} == {"figure"}
 
 
+def test_chunks_know_their_place(spark):
+    figure = "![plot](p.png)\n> **Figure description:** many words in here\n> and more of them"
+    note = '<!-- chart-data: {"chart_data": {"title": "T"}, "vega_lite_spec": null} -->'
+    text = f"<!-- page: 4 -->\n\n# A Title\n\n{figure}\n\nSome text of the first page. More of it.\n\n<!-- page: 5 -->\n\n## Part\n\nText of the second page goes on. {note}"
+    got = chunking.chunk_markdown(docs(spark, text, "no pages", None), size=8).orderBy("doc", "chunk_index").collect()
+    mine = [r for r in got if r["doc"] == 0]
+    # offsets are those of the document, so the text stands where they say
+    assert all(r["text"].split()[-1] in text[r["start_index"] : r["end_index"]] for r in mine if r["text"].strip())
+    assert {r["section"] for r in mine} <= {"", "A Title", "A Title > Part"}
+    last = mine[-1]
+    assert (last["page_start"], last["page_end"], last["doc_title"], last["section"]) == (5, 5, "A Title", "A Title > Part")
+    assert last["has_structured_chart_data"] and last["chart_data"] == '{"title":"T"}' and mine[0]["page_start"] == 4 and "page:" not in mine[0]["text"]
+    other = [r for r in got if r["doc"] == 1]
+    assert len(other) == 1 and other[0]["page_start"] is None and not other[0]["has_structured_chart_data"]
+    tree = chunking.chunk_markdown(docs(spark, text), strategy="hierarchical", size=8).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in tree] == list(range(len(tree))) and tree[-1]["page_start"] == 5 and tree[-1]["section"] == "Part"
+
+
+def test_a_failing_embedder_falls_back(spark):
+    def broken(sentence):
+        raise RuntimeError("no model")
+
+    text = "One sentence here. Another one follows it. And a third."
+    got = chunking.chunk_documents(docs(spark, text), strategy="semantic", size=5, embed=broken).orderBy("chunk_index").collect()
+    assert [(r["start_index"], r["end_index"], r["token_count"]) for r in got] == chunking.recursive_chunks(text, 5)
+    seen = chunking.semantic_chunks(text, 50, embed=lambda s: [1.0, 0.0] if "One" in s else [0.0, 1.0])
+    assert len(seen) == 2
+
+
 def test_hierarchical_ids_and_siblings(spark):
     text = "# Course\nintro words\n## Metrics\n" + "alpha beta. " * 20
     d = docs(spark, text)
     s = headings.sections(headings.heading_index(lines.explode_lines(d)), d.select("doc", F.length("markdown").alias("length")))
     c = chunking.hierarchical(s, d, size=10).orderBy("section_idx", "section_chunk_index").collect()
     assert len({r["chunk_id"] for r in c}) == len(c) and c[0]["previous_chunk_id"] == ""
-    inner = [r for r in c if r["path"].endswith("Metrics")]
+    inner = [r for r in c if r["section_path"].endswith("Metrics")]
     assert len(inner) > 1 and inner[0]["next_chunk_id"] == inner[1]["chunk_id"] and inner[0]["section_chunk_count"] == len(inner)
 
 
@@ -447,17 +501,30 @@ def test_chart_json():
 
 def test_grounding(spark):
     def chart(*ys):
-        return {"figure_type": "bar_chart", "title": "t", "series": [{"name": "s", "points": [{"x": "a", "y": y, "label": None} for y in ys]}], "confidence": "exact", "notes": None}
+        return {"figure_type": "bar_chart", "title": "t", "x_axis": None, "y_axis": None, "table": None, "series": [{"name": "s", "points": [{"x": "a", "y": y, "label": None} for y in ys]}], "confidence": "exact", "notes": None}
 
-    schema = "i int, c struct<figure_type:string,title:string,series:array<struct<name:string,points:array<struct<x:string,y:string,label:string>>>>,confidence:string,notes:string>, p string"
+    schema = f"i int, c {charts.CHART}, p string"
     data = [(0, chart("7", "15"), "Venues 7 15 10"), (1, chart("0.33", "0.2"), "33% 20%"), (2, chart("7", "9"), "7 15"), (3, chart("7"), None), (4, chart("~15"), "15")]
     df = spark.createDataFrame(data, schema).withColumn("n", charts.normalize(F.col("c")))
     assert [r[1] for r in rows(df.select("i", charts.ground(F.col("n"), F.col("p"))), "i")] == ["exact", "exact", "estimated", "estimated", "estimated"]
 
 
-def test_injection():
-    got = charts.inject("A ![x](i.png) B", {"i.png": 'Line one.\nLine two.\nCHART_JSON: {"a": 1}', "j.png": "[Image description unavailable]"})
-    assert "> **Figure description:** Line one.\n> Line two." in got and '<!-- chart-data: {"a": 1} -->' in got
+def test_injection(spark):
+    d = spark.createDataFrame([(1, "A ![x](dir/i (1).png)\n\n\nB ![y](j.png)"), (2, "plain"), (3, None)], "doc int, markdown string")
+    reply = 'Line one.\n\n- a list\n---\n**DATA:**\n| a |\nCHART_JSON:\n{"figure_type": "bar_chart", "confidence": "exact", "series": [{"name": "s", "points": [{"x": "a", "y": "9.0"}]}]}'
+    told = spark.createDataFrame([(1, "i (1).png", reply, "only 7 printed"), (1, "j.png", "[Image description unavailable: x]", None), (9, "k.png", "none", None)], "doc int, image_id string, description string, printed string")
+    got = dict(rows(charts.inject(d, told), "doc"))
+    assert got[2] == "plain" and got[3] is None
+    assert got[1].startswith("A ![x](dir/i (1).png)\n> **Figure description:** Line one.\n>\n> - a list") and got[1].endswith("-->\n\nB ![y](j.png)")
+    assert "\n> | a |\n" in got[1] and "confidence=estimated" in got[1] and "values are not all printed" in got[1] and "> | s | a | 9.0 |  |" in got[1]
+    found = rows(charts.images_with_charts(docs(spark, got[1])).select("image"), "image")
+    assert found == [("dir/i (1).png",)]
+
+
+def test_normal_forms_of_values(spark):
+    forms = [("1,234.50", "1234.5"), ("007", "7"), ("~1,000", "~1000"), (" a  b ", "a b"), ("7.00", "7.0"), ("+5", "5"), ("-0.10", "-0.1"), ("", ""), (None, None), ("0", "0"), ("~x", "~x")]
+    df = spark.createDataFrame(forms, "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", charts.value(F.col("t")).alias("got")).collect())
 
 
 # --- geometry and scores ---
