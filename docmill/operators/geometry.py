@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.operators import figures
+
 
 def intersects(a: str, b: str, gap: float = 0.0) -> Column:
     """Whether rectangles a.* and b.* (x0, y0, x1, y1) touch, one grown by gap."""
@@ -91,18 +93,7 @@ def scanned(pages: DataFrame) -> DataFrame:
 
 def merge_rects(rects: list[tuple[float, float, float, float]], gap: float = 6.0) -> list[tuple[float, float, float, float]]:
     """Rectangles that touch within gap united, until none do."""
-    out = [tuple(map(float, r)) for r in rects]
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(out)):
-            for j in range(len(out) - 1, i, -1):
-                a, b = out[i], out[j]
-                if a[0] - gap <= b[2] and b[0] <= a[2] + gap and a[1] - gap <= b[3] and b[1] <= a[3] + gap:
-                    out[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                    del out[j]
-                    changed = True
-    return out
+    return [tuple(r) for r in figures.merge(np.array(rects, float).reshape(-1, 4), gap).tolist()]
 
 
 def merge_by_page(rects: DataFrame, gap: float = 6.0) -> DataFrame:

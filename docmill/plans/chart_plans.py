@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators import charts, geometry
+from docmill.operators import charts, figures, geometry
 from docmill.plans.fixtures import DOCS_SQL, docs
 from docmill.plans.registry import query
 from docmill.session import table
@@ -150,7 +150,7 @@ def g06_ground(spark: SparkSession, sf: str) -> DataFrame:
 
 _NL = "chr(10)"
 _SUMMARY = f"'> ' || concat_ws('; ', {_KIND}, {_TITLE}, 'confidence=' || {_CONF})"
-_GRID = f"'>' || {_NL} || '> | Name | Size | More |' || {_NL} || '> | --- | --- | --- |' || {_NL} || '> | a\|' || p_brand || ' | ' || p_size || ' |  |' || {_NL} || '> | b c |  | ~1000 |'"
+_GRID = f"'>' || {_NL} || '> | Name | Size | More |' || {_NL} || '> | --- | --- | --- |' || {_NL} || '> | a\\|' || p_brand || ' | ' || p_size || ' |  |' || {_NL} || '> | b c |  | ~1000 |'"
 _POINT = f"'>' || {_NL} || '> | Series | X | Y | Label |' || {_NL} || '> | --- | --- | --- | --- |' || {_NL} || '> | ' || {_NAME} || ' | ' || {_X} || ' | ' || {_Y} || ' |  |'"
 
 
@@ -196,3 +196,36 @@ def g11_inject(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf)
     told = d.select("doc", F.explode(F.array(F.struct(F.lit("img-1.png").alias("image_id"), F.lit("Costs $5 in \\x.\n\nA second part.\nDATA:\n| a |\n|---|").alias("description")), F.struct(F.lit("figure").alias("image_id"), F.lit("[Image description unavailable: late]").alias("description")))).alias("t"))
     return charts.inject(d, told.select("doc", "t.*", F.lit(None).cast("string").alias("printed")))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a document for each supplier: an image for each line item of flag A, drawn paths for the others, and a
+    line of text for every item."""
+    li = table(spark, sf, "lineitem")
+    x0, y0 = (F.col("l_partkey") % 400 + 50).cast("double"), (F.col("l_suppkey") * 7 + F.col("l_orderkey") * 13) % 600 + 60.0
+    box = [x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + F.col("l_quantity") * 3).alias("y1")]
+    image = F.col("l_returnflag") == "A"
+    text = F.concat(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Figure "), (F.col("l_partkey") % 9).cast("string"), F.lit(" "))).otherwise("label "), F.col("l_returnflag"))
+    rows = li.select(
+        (F.col("l_orderkey") % 7).cast("string").alias("doc"), F.floor(F.col("l_orderkey") / 64).cast("int").alias("page_no"), F.when(image, F.struct(*box)).alias("image"), F.when(~image, F.struct(*box, (F.col("l_linenumber") % 3 > 0).alias("shown"))).alias("path"),
+        F.when(~image, F.struct(*box)).alias("cluster"), F.struct(x0.alias("x0"), (y0 - 12).alias("y0"), (x0 + 60).alias("x1"), (y0 - 2).alias("y1"), text.alias("text"), F.lit(0).alias("mono"), F.col("l_linenumber").alias("block")).alias("line"),
+    )
+    lists = [F.array_sort(F.collect_list(c)).alias(n) for c, n in (("image", "images"), ("path", "paths"), ("cluster", "clusters"))]
+    x = rows.groupBy("doc", "page_no").agg(*lists, F.array_sort(F.collect_list("line")).alias("lines"))
+    none = F.array()
+    return x.select("doc", "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), "images", "paths", "clusters", none.cast(f"array<{figures.RECT}>").alias("tables"), "lines", none.cast("array<struct<x0:double,y0:double,x1:double,y1:double,chars:int>>").alias("hidden"), F.lit(100).alias("chars"))
+
+
+@query()
+def f01_detected_figures(spark: SparkSession, sf: str) -> DataFrame:
+    return figures.find_figures(_pages(spark, sf))
+
+
+@query()
+def f11_placed_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures linked into texts of their pages, which hold a placeholder, a caption or neither."""
+    p = _pages(spark, sf)
+    k = F.col("page_no") % 3
+    text = F.when(k == 0, "![figure](figure)\n\nFigure 3: A photo.").when(k == 1, "Text.\n\n![x](figure)\n\nmore").otherwise("Plain text.")
+    pages = p.select("doc", F.col("page_no").cast("long").alias("part_no"), "page_no", text.alias("text"))
+    return figures.place_figures(pages, figures.find_figures(p))
