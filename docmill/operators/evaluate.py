@@ -66,16 +66,90 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(w > 0, F.sum(value * weight) / w)
 
 
-def match_headings(truth: list[tuple[str, int]], found: list[tuple[str, int]]) -> tuple[float, float]:
-    """(recall, hierarchy): headings found in order by their first words, and pairs that step alike."""
-    at, hits = 0, []
-    key = lambda s: " ".join(s.lower().split()[:4])
-    for text, depth in truth:
-        j = next((i for i in range(at, len(found)) if key(found[i][0]) == key(text)), None)
-        if j is not None:
-            hits.append((depth, found[j][1]))
-            at = j + 1
-    sign = lambda x: (x > 0) - (x < 0)
-    pairs = list(zip(hits, hits[1:]))
-    same = sum(sign(b[0] - a[0]) == sign(b[1] - a[1]) for a, b in pairs)
-    return len(hits) / max(1, len(truth)), same / len(pairs) if pairs else 1.0
+def heading_match(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc``, ``recall``, ``hierarchy`` of headings: truth (doc, seq, text, depth), found (doc, line_no, text, level).
+
+    In order, each truth takes the next heading whose first four words are equal; hierarchy is the share of
+    neighbouring matches that step up, down or stay alike, 1 without any. The match is a fold over the headings of
+    one document.
+    """
+    key = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != ""), 1, 4), " ")
+    t = truth.select("doc", "seq", key.alias("k"), "depth").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("seq", "k", "depth"))).alias("t"))
+    f = found.select("doc", "line_no", key.alias("k"), "level").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "k", "level"))).alias("f"))
+    state = "struct<at:int,hits:array<struct<depth:int,level:int>>>"
+
+    def step(s: Column, h: Column) -> Column:
+        rest = F.slice(F.col("f"), s["at"] + 1, F.greatest(F.lit(0), F.size("f") - s["at"]))
+        at = F.array_position(F.transform(rest, lambda x: x["k"]), h["k"]).cast("int")
+        hit = F.struct(h["depth"].cast("int").alias("depth"), F.get(rest, at - 1)["level"].cast("int").alias("level"))
+        return F.struct(F.when(at > 0, s["at"] + at).otherwise(s["at"]).alias("at"), F.when(at > 0, F.concat(s["hits"], F.array(hit))).otherwise(s["hits"]).alias("hits")).cast(state)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<depth:int,level:int>>").alias("hits")).cast(state)
+    none = F.array().cast("array<struct<line_no:int,k:string,level:int>>")
+    x = t.join(f, "doc", "left").withColumn("f", F.coalesce(F.col("f").cast("array<struct<line_no:int,k:string,level:int>>"), none))
+    x = x.select("doc", F.size("t").alias("n"), F.aggregate("t", start, step)["hits"].alias("h"))
+    after = F.slice("h", 2, F.greatest(F.lit(0), F.size("h") - 1))
+    alike = F.zip_with(F.slice("h", 1, F.greatest(F.lit(0), F.size("h") - 1)), after, lambda a, b: (F.signum(b["depth"] - a["depth"]) == F.signum(b["level"] - a["level"])).cast("int"))
+    pairs = F.aggregate(alike, F.lit(0), lambda s, e: s + e)
+    return x.select("doc", F.size("h").alias("matched"), (F.size("h") / F.col("n")).alias("recall"), F.when(F.size("h") > 1, pairs / (F.size("h") - 1)).otherwise(1.0).alias("hierarchy"))
+
+
+def roll_up(metrics: DataFrame, by: list[str], values: list[str], pages: str = "pages", totals: list[str] | None = None) -> DataFrame:
+    """Page-weighted means of values by some columns, sums of totals, and for headings (n_headings, h_recall,
+    h_hierarchy, if there) the recall by their number and the hierarchy by the pairs matched."""
+    out = [F.round(weighted_mean(F.col(v), F.col(pages)), 6).alias(v) for v in values] + [F.sum(t).alias(t) for t in totals or []]
+    if {"n_headings", "h_recall", "h_hierarchy"} <= set(metrics.columns):
+        matched = F.round(F.col("h_recall") * F.col("n_headings"))
+        out += [F.try_divide(F.sum(matched), F.sum("n_headings")).alias("h_recall"), weighted_mean(F.col("h_hierarchy"), F.greatest(F.lit(0), matched - 1)).alias("h_hierarchy")]
+    return metrics.groupBy(*by).agg(F.sum(pages).alias(pages), *out)
+
+
+def with_total(rows: DataFrame, label: str, values: list[str], name: str = "total") -> DataFrame:
+    """Rows with a row of sums below."""
+    return rows.select(label, *values).unionByName(rows.agg(*[F.sum(v).alias(v) for v in values]).select(F.lit(name).alias(label), *values))
+
+
+def heading_truth(lines: DataFrame, expected: DataFrame) -> DataFrame:
+    """``doc``, ``seq``, ``text``, ``depth``: numbered headings of a text layer in the strict order of their numbers.
+
+    lines: doc, line_no, line; expected: doc, schemes that count (array). Of a scheme only the very next number is
+    taken: one more at the same depth, a first child, or one more at an ancestor's depth.
+    """
+    from docmill.operators import headings
+
+    _, text = headings.plain(F.col("line"))
+    scheme, number = headings.parse_number(F.col("text"))
+    x = lines.select("doc", "line_no", text.alias("text")).withColumn("scheme", scheme).withColumn("number", number.cast("array<int>"))
+    x = x.join(expected, "doc").where(F.array_contains("schemes", F.col("scheme")))
+    own = x.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "number"))).alias("c"))
+    state = "struct<last:array<int>,out:array<struct<text:string,depth:int>>>"
+
+    def step(s: Column, c: Column) -> Column:
+        last, n = s["last"], c["number"]
+        k = F.size(n)
+        lead = F.slice(n, 1, k - 1)
+        child = (k == F.size(last) + 1) & (lead == last) & (F.element_at(n, -1) == 1)
+        next_ = (k <= F.size(last)) & (lead == F.slice(last, 1, k - 1)) & (F.element_at(n, -1) == F.try_element_at(last, k) + 1)
+        ok = F.coalesce(child | next_, F.lit(False))
+        return F.struct(F.when(ok, n).otherwise(last).alias("last"), F.when(ok, F.concat(s["out"], F.array(F.struct(c["text"].alias("text"), k.alias("depth"))))).otherwise(s["out"]).alias("out")).cast(state)
+
+    start = F.struct(F.array().cast("array<int>").alias("last"), F.array().cast("array<struct<text:string,depth:int>>").alias("out")).cast(state)
+    return own.select("doc", F.posexplode(F.aggregate("c", start, step)["out"]).alias("seq", "h")).select("doc", "seq", "h.text", "h.depth")
+
+
+def table_cells(cells: DataFrame) -> DataFrame:
+    """Rows of tables of another tool: cells (doc, table_no, row, col, text) as ``doc``, ``table_no``, ``row``, ``cells``."""
+    parts = F.array_sort(F.collect_list(F.struct("col", "text")))
+    return cells.groupBy("doc", "table_no", "row").agg(F.transform(parts, lambda s: s["text"]).alias("cells"))
+
+
+def pages_at_breaks(df: DataFrame, doc: str, text: str, mark: str = "<!-- page break -->") -> DataFrame:
+    """``doc``, ``page_no``, ``markdown`` of texts that another tool parts by a mark."""
+    p = df.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, r"\Q" + mark + r"\E", -1)).alias("i", "markdown"))
+    return p.select("doc", (F.col("i") + 1).alias("page_no"), "markdown")
+
+
+def metric_rows(docs: DataFrame, runs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Outputs (doc, tool, ...) with what is known of their document and run; those of either that have none are left
+    out."""
+    return outputs.join(docs, "doc").join(runs, "tool")

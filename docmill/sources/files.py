@@ -91,12 +91,12 @@ def with_retry(call: Callable[[], str], retries: int = 3, base: float = 2.0, jit
     raise AssertionError
 
 
-def write_atomic(path: str, text: str) -> None:
-    """A file that is either the old or the new one, never half."""
+def write_atomic(path: str, data: str | bytes) -> None:
+    """A file that is either the old or the new one, never half; on mounted folders."""
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".part-")
     try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(text)
+        with os.fdopen(fd, "wb") as f:
+            f.write(data.encode() if isinstance(data, str) else data)
             f.flush()
             os.fsync(f.fileno())
         os.replace(tmp, path)
@@ -106,17 +106,69 @@ def write_atomic(path: str, text: str) -> None:
         raise
 
 
+def _write_files(df: DataFrame, folder: str, name: Column, data: Column) -> int:
+    """One file per row, each written whole by its task through the file system of the folder; how many."""
+    rows = df.select(name.alias("name"), data.cast("binary").alias("data"))
+    if folder.startswith("file:") or "://" not in folder:
+        root = folder.removeprefix("file://")
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for n, d in zip(b.column("name").to_pylist(), b.column("data").to_pylist()):
+                    path = os.path.join(root, n)
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    write_atomic(path, d or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    else:
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+            from pyarrow import fs
+
+            target, root = fs.FileSystem.from_uri(folder)  # object stores put a file in place as a whole
+            for b in batches:
+                for n, d in zip(b.column("name").to_pylist(), b.column("data").to_pylist()):
+                    with target.open_output_stream(f"{root}/{n}") as f:
+                        f.write(d or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_documents(docs: DataFrame, folder: str, name: str = "stem", text: str = "markdown", suffix: str = ".md") -> int:
-    """One file per document in a shared folder, each written whole by its task; the number written."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    """One file per document in a shared folder or an object store; the number written. A null text is an empty file."""
+    return _write_files(docs, folder, F.concat(F.col(name), F.lit(suffix)), F.coalesce(F.col(text), F.lit("")))
+
+
+def write_images(images: DataFrame, folder: str) -> int:
+    """Pictures (stem, image_id, content) under <stem>_images; names without suffix are PNG. The number written."""
+    return _write_files(images, folder, F.concat("stem", F.lit("_images/"), image_file(F.col("image_id"))), F.col("content"))
+
+
+def write_json(rows: DataFrame, folder: str, name: str = "stem", value: str = "value") -> int:
+    """One JSON file per row, of a struct, map or array column."""
+    return _write_files(rows, folder, F.concat(F.col(name), F.lit(".json")), F.to_json(F.col(value), {"pretty": "true"}))
+
+
+def images_out(docs: DataFrame, images: DataFrame, extract: bool, embed: bool) -> DataFrame:
+    """Documents (stem, markdown) with references to images (stem, image_id, content) linked to their files or turned
+    into data; extracting goes before embedding, and without either documents stay as they are."""
+    if not extract and not embed:
+        return docs
+    own = images.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("image_id", *([] if extract else ["content"])))).alias("__i"))
+
+    def step(text: Column, i: Column) -> Column:
+        return link_images(text, i["image_id"], F.col("stem")) if extract else embed_image(text, i["image_id"], i["content"])
+
+    x = docs.join(own, "stem", "left")
+    return x.withColumn("markdown", F.when(F.col("__i").isNull(), F.col("markdown")).otherwise(F.aggregate("__i", F.col("markdown"), step))).drop("__i")
 
-        for b in batches:
-            for n, t in zip(b.column(name).to_pylist(), b.column(text).to_pylist()):
-                write_atomic(os.path.join(folder, n + suffix), t or "")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    return docs.select(name, text).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def image_file(image_id: Column) -> Column:
+    return F.when(image_id.rlike(r"\.[A-Za-z0-9]+$"), image_id).otherwise(F.concat(image_id, F.lit(".png")))
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -126,8 +178,8 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def link_images(markdown: Column, image_id: Column, stem: Column) -> Column:
     """An image reference turned into the percent-encoded path of its file; names without suffix are PNG."""
-    name = F.when(image_id.rlike(r"\.[A-Za-z0-9]+$"), image_id).otherwise(F.concat(image_id, F.lit(".png")))
-    return F.replace(markdown, F.concat(F.lit("]("), image_id, F.lit(")")), F.concat(F.lit("]("), percent_encode(F.concat(stem, F.lit("_images/"), name)), F.lit(")")))
+    path = percent_encode(F.concat(stem, F.lit("_images/"), image_file(image_id)))
+    return F.replace(markdown, F.concat(F.lit("]("), image_id, F.lit(")")), F.concat(F.lit("]("), path, F.lit(")")))
 
 
 def embed_image(markdown: Column, image_id: Column, content: Column) -> Column:

@@ -38,3 +38,13 @@ def inject(markdown: Column, front: Column) -> Column:
 def needs_new_name(stem: Column) -> Column:
     """Whether a file name starts without a letter in its first three characters."""
     return ~F.substring(stem, 1, 3).rlike("[A-Za-z]")
+
+
+def find_collection(collections: DataFrame, name: str) -> DataFrame:
+    """The first collection (group_no, name, ...) of that name in any case; no row without one."""
+    return collections.where(F.lower("name") == name.lower()).orderBy("group_no", "name").limit(1)
+
+
+def find_group(groups: DataFrame, wanted: str) -> DataFrame:
+    """Groups (id, name) by number, or by name in any case."""
+    return groups.where(F.col("id") == int(wanted)) if wanted.isdigit() else groups.where(F.lower("name") == wanted.lower())

@@ -562,13 +562,35 @@ def test_merging_to_a_fixpoint(spark):
     assert geometry.merge_by_page(r).count() == 2
 
 
-def test_heading_match_and_order():
-    truth = [("1 Intro", 1), ("1.1 Scope", 2), ("2 Method", 1)]
-    assert evaluate.match_headings(truth, [("1 Intro", 2), ("1.1 Scope", 3), ("2 Method", 2)]) == (1.0, 1.0)
-    assert evaluate.match_headings(truth, [("1 Intro", 2), ("2 Method", 3)])[0] == pytest.approx(2 / 3)
+def test_heading_match_and_order(spark):
+    truth = spark.createDataFrame([(d, i, t, k) for d in (1, 2, 3) for i, (t, k) in enumerate((("1 Intro", 1), ("1.1 Scope", 2), ("2 Method", 1)))], "doc int, seq int, text string, depth int")
+    found = spark.createDataFrame([(1, 0, "1 intro", 2), (1, 5, "1.1 Scope", 3), (1, 7, "2 Method", 2), (2, 1, "1 Intro", 2), (2, 3, "2 Method", 3), (2, 9, "1.1 Scope", 3)], "doc int, line_no int, text string, level int")
+    got = {r["doc"]: (r["matched"], round(r["recall"], 6), r["hierarchy"]) for r in evaluate.heading_match(truth, found).collect()}
+    assert got == {1: (3, 1.0, 1.0), 2: (2, 0.666667, 1.0), 3: (0, 0.0, 1.0)}
     assert evaluate.order_similarity("alpha beta gamma", "alpha beta gamma") == 1.0
 
 
+def test_heading_truth_is_strict(spark):
+    ls = spark.createDataFrame([(1, i, t) for i, t in enumerate(["1 Intro", "3 Too far", "1.1 Scope", "2 items were", "2.2 Skipped", "2.1 Next", "3 Method", "I. ROMAN"])], "doc int, line_no int, line string")
+    want = spark.createDataFrame([(1, ["decimal"])], "doc int, schemes array<string>")
+    assert rows(evaluate.heading_truth(ls, want).select("seq", "text", "depth"), "seq") == [(0, "1 Intro", 1), (1, "1.1 Scope", 2), (2, "2 items were", 1), (3, "2.1 Next", 2), (4, "3 Method", 1)]
+
+
+def test_roll_ups(spark):
+    m = spark.createDataFrame([("a", "x", 10, 0.5, 4, 0.5, 1.0, 2), ("b", "x", 30, 0.9, 10, 0.8, 0.5, 3), ("c", "y", 0, 0.3, 0, 0.0, 1.0, 4)], "doc string, tool string, pages int, recall double, n_headings int, h_recall double, h_hierarchy double, tables int")
+    got = {r["tool"]: r for r in evaluate.roll_up(m, ["tool"], ["recall"], totals=["tables"]).collect()}
+    assert got["x"]["recall"] == pytest.approx(0.8) and got["x"]["tables"] == 5 and got["x"]["h_recall"] == pytest.approx(10 / 14) and got["x"]["h_hierarchy"] == pytest.approx((1 * 1.0 + 7 * 0.5) / 8)
+    assert got["y"]["recall"] is None
+    assert rows(evaluate.with_total(m, "doc", ["tables"]), "tables")[-1] == ("total", 9)
+
+
+def test_other_tools_outputs(spark):
+    d = spark.createDataFrame([(1, "a<!-- page break -->b"), (2, "c")], "doc int, t string")
+    assert rows(evaluate.pages_at_breaks(d, "doc", "t"), "doc", "page_no") == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]
+    cells = spark.createDataFrame([(1, 0, 0, 1, "y"), (1, 0, 0, 0, "x"), (1, 0, 1, 0, "z")], "doc int, table_no int, row int, col int, text string")
+    assert rows(evaluate.table_cells(cells).select("row", "cells"), "row") == [(0, ["x", "y"]), (1, ["z"])]
+
+
 def test_empty_inputs(spark):
     none = docs(spark, "x").limit(0)
     assert clean.clean_documents(none).count() == 0
