@@ -1,3 +1,3 @@
 """docmill: document analytics as PySpark DataFrame transformations."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -49,6 +49,14 @@ def reply_text(reply: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), joined).otherwise(F.try_variant_get(content, "$", "string"))
 
 
+def requests(images: DataFrame, cache: DataFrame) -> DataFrame:
+    """``content_hash``, ``content``, ``context`` of what is to be asked: each picture (content, context) once, and none
+    that the cache (content_hash, description) holds an answer for."""
+    known = cache.where(~unavailable(F.col("description"))).select("content_hash").distinct()
+    keyed = images.withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16)).dropDuplicates(["content_hash"])
+    return keyed.join(known, "content_hash", "left_anti").select("content_hash", "content", "context")
+
+
 class Describer(Protocol):
     """Describes one picture in its context; raises on failure."""
 
@@ -63,9 +71,7 @@ def describe(images: DataFrame, cache: DataFrame, make: Callable[[], Describer],
     """
     import pandas as pd
 
-    key = F.substring(F.sha2("content", 256), 1, 16)
-    known = cache.where(~unavailable(F.col("description"))).select("content_hash").distinct()
-    todo = images.withColumn("content_hash", key).dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").select("content_hash", "content", "context")
+    todo = requests(images, cache)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()

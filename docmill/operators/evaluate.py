@@ -60,6 +60,13 @@ def leaked(lines: DataFrame) -> DataFrame:
     return x.groupBy("doc").agg(F.count(F.when((F.col("inside") == 1) & (F.col("s") != "") & ~F.startswith("s", F.lit(">")), 1)).alias("leaked"))
 
 
+def repeated_pages(pages: DataFrame) -> DataFrame:
+    """Pages (doc, page_no, markdown) that stand alike in another document too; blank ones are left out."""
+    x = pages.where(F.col("markdown").rlike(r"\S")).withColumn("__h", F.sha2("markdown", 256))
+    often = x.groupBy("__h").agg(F.count_distinct("doc").alias("n")).where("n > 1").select("__h")
+    return x.join(often, "__h", "left_semi").drop("__h")
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean by weight; null without any weight."""
     w = F.sum(F.when(value.isNotNull(), weight))

@@ -29,6 +29,7 @@ MIN_AREA, MIN_WIDTH, MIN_HEIGHT = 0.02, 0.12, 0.05
 FRAGMENT_GAP, REGION_GAP, LABEL_REACH, LABEL_CHARS, GLYPH, MARGIN, CAPTION_REACH = 10, 6, 18, 60, 20, 4, 40
 TEXT_CHARS, TEXT_LINE, TEXT_SHARE, TEXT_MARKS, CODE_SHARE, CODE_LINE, CODE_CHARS, PROSE_WIDTH, PROSE_LINE = 100, 40, 0.4, 6, 0.5, 30, 20, 0.25, 25
 BLANK_INK, INK, REPEAT_PAGES, PICTORIAL_CHARS = 0.005, 200, 3, 30
+# How captions and placeholders begin; fixed values.
 _CAPTION = r"(?:fig(?:ure)?|chart|exhibit|plate)\.?\s*(\d+[a-z]?)\b"
 CAPTION = re.compile(rf"\s*{_CAPTION}", re.I)
 CAPTION_LINE = re.compile(rf"^[ \t>*_#]*{_CAPTION}", re.I | re.M)

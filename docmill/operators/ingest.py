@@ -148,3 +148,14 @@ def description_cache(found: DataFrame) -> DataFrame:
 def retryable(status: Column, name: Column) -> Column:
     """Whether a failure is worth another try, by its status or the name of its class."""
     return F.coalesce(status.isin(*RETRY_STATUS) | (status >= 500), F.lit(False)) | F.coalesce(name.rlike("Timeout|Connect"), F.lit(False))
+
+
+def lookup(rows: DataFrame, known: DataFrame, keys: list[str], value: str, default: str) -> DataFrame:
+    """rows with the value that known has for their keys (one row each), or a default; null keys have none."""
+    return rows.join(known.select(*keys, value), keys, "left").fillna({value: default})
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps as one; of keys that both hold the right one's value counts. Null maps count as empty ones."""
+    only = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
+    return F.when(right.isNull(), left).when(left.isNull(), right).otherwise(F.map_concat(only, right))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.plans import chart_plans, document_plans, ingest_plans, more_plans, search_plans  # noqa: F401  (they register themselves)
+from docmill.plans import chart_plans, document_plans, extra_plans, ingest_plans, more_plans, search_plans  # noqa: F401  (they register themselves)
 from docmill.plans.registry import QUERIES, SQL
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docmill.functions.text import usable_text_layer
 from docmill.operators.figures import PAGE, is_blank
 
-#: Names of typewriter fonts; render mode of invisible text.
+#: Names of typewriter fonts; render mode of invisible text; fixed values.
 _MONO = re.compile(r"mono|courier|consol|menlo|code|typewriter", re.I)
 _HIDDEN = 3
 #: Dots an inch of a page that is transcribed, of one whose ink is looked at, and of a crop that is tried for ink.
