@@ -88,7 +88,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, total_tokens: int | None = No
     hash of the id and the seed. Null ids, null or empty texts, null sources and sources without a target
     are left out; repeated rows of one id and source count once. Empty tables give an empty mixture.
     Other columns are not read. A source may hold any part of the rows: its running sums are built in
-    parts.
+    parts. Jobs run while the result is built: they write tables to the shared folder.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").where("doc_id is not null and source is not null and text is not null")
     known = targets.where("source is not null").select("source").distinct()

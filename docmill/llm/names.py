@@ -377,7 +377,7 @@ def link_names(names: DataFrame) -> DataFrame:
     Names of one group name the same person, organisation or publication; group_id is one of them. Null
     and blank strings are left out; strings without letters or digits stand alone. Repeated rows count
     once. An empty input gives an empty result. Fields are never linked with one another; only names of
-    the field 'creators' can be persons.
+    the field 'creators' can be persons. Jobs run while the result is built: they write tables to the shared folder.
     """
     nodes = names.where("field_name is not null and name is not null and trim(name) <> ''").select(F.concat_ws("\x01", "field_name", "name").alias("node")).distinct()
     nodes = materialize(nodes, "names")

@@ -359,7 +359,9 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     the threshold, a < b.
 
     Null ids, null texts and texts without a word are in neither table. Repeated rows with one id count
-    once. Other columns of df are not read. An empty df gives empty tables.
+    once. Other columns of df are not read. An empty df gives empty tables. Jobs run while the result is built: they
+    write tables to the shared folder. Classes whose keys begin with the same 8 bytes are told apart when they are
+    verified; only a pair of such classes that are near to each other would be missed.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")

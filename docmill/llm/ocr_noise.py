@@ -9,7 +9,7 @@
   the confusions is decoded by Viterbi, line by line. What misreadings of other words explain of a word's
   count is no evidence for it; nothing else keeps a candidate out.
 
-The counts cover all pages of the corpus. They are kept as two tables of 2**``bits`` counters each, so that
+The counts cover all pages of the corpus. They are kept as two tables of 2**23 counters each, so that
 what is broadcast has a fixed size (16 MB) at any scale; what a counter holds on average is taken off what it
 says, so a full table says nothing rather than something wrong. How the probability of a misreading is
 shared among the confusions is estimated from the corpus: every word that misreadings explain counts for the

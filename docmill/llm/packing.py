@@ -238,7 +238,8 @@ def pack_documents(df: DataFrame, containers: DataFrame, id_col: str = "doc_id",
 
     Null ids and null or empty texts have no piece. Repeated rows with one id and size count once, as do
     repeated kinds (the smallest capacity holds); kinds that are null or under one token are left out.
-    Empty tables give an empty result. Other columns are not read. containers is a small fixed table.
+    Empty tables give an empty result. Other columns are not read. containers is a small fixed table. Jobs run while
+    the result is built: they write tables to the shared folder.
     """
     kinds = containers.where("container_kind is not null and capacity_tokens >= 1").groupBy("container_kind").agg(F.min("capacity_tokens").cast("int").alias("capacity")).collect()
     if not kinds:
