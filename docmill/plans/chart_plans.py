@@ -11,27 +11,29 @@ from docmill.plans.registry import query
 from docmill.session import table
 
 
-def _rects(spark: SparkSession, sf: str, flag: str | None = None) -> DataFrame:
+def _rects(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    li = li if flag is None else li.where(F.col("l_returnflag") == flag)
+    li = li if only is None else li.where(only)
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") * 7 % 700).cast("double")
     return li.select(
         F.floor(F.col("l_orderkey") / 16).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 2).alias("x1"), (y0 + F.col("l_quantity")).alias("y1")
     )
 
 
-_R = "SELECT l_orderkey // 16 AS page, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_partkey % 500 AS DOUBLE) + l_quantity * 2 AS x1, CAST(l_suppkey * 7 % 700 AS DOUBLE) + l_quantity AS y1 FROM lineitem WHERE l_returnflag = '{}'"
-_R_ALL = _R.split(" WHERE ")[0]
+_R_ALL = "SELECT l_orderkey // 16 AS page, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_partkey % 500 AS DOUBLE) + l_quantity * 2 AS x1, CAST(l_suppkey * 7 % 700 AS DOUBLE) + l_quantity AS y1 FROM lineitem"
+#: All rectangles as two sides.
+_ONE, _OTHER = "l_returnflag = 'A'", "l_returnflag <> 'A'"
+_SIDES = f"{{}} AS ({_R_ALL} WHERE {_ONE}), {{}} AS ({_R_ALL} WHERE {_OTHER})"
 
 
-@query(f"WITH a AS ({_R.format('A')}), b AS ({_R.format('R')}) SELECT a.page, a.id, b.id AS other, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) + 1e-9, 6) AS share FROM a JOIN b ON a.page = b.page AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+@query(f"WITH {_SIDES.format('a', 'b')} SELECT a.page, a.id, b.id AS other, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) + 1e-9, 6) AS share FROM a JOIN b ON a.page = b.page AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def j11_rect_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.overlap_share(_rects(spark, sf, "A"), _rects(spark, sf, "R")).withColumn("share", F.round(F.col("share") + 1e-9, 6))
+    return geometry.overlap_share(_rects(spark, sf, _ONE), _rects(spark, sf, _OTHER)).withColumn("share", F.round(F.col("share") + 1e-9, 6))
 
 
-@query(f"WITH f AS ({_R.format('A')}), c AS ({_R.format('R')}), g AS (SELECT c.page, c.id AS caption, f.id AS figure, greatest(c.y0 - f.y1, f.y0 - c.y1) AS gap FROM c JOIN f ON c.page = f.page AND c.x0 < f.x1 AND f.x0 < c.x1) SELECT page, caption, arg_min(figure, (gap, figure)) AS figure FROM g WHERE gap BETWEEN -4 AND 40 GROUP BY page, caption")
+@query(f"WITH {_SIDES.format('f', 'c')}, g AS (SELECT c.page, c.id AS caption, f.id AS figure, greatest(c.y0 - f.y1, f.y0 - c.y1) AS gap FROM c JOIN f ON c.page = f.page AND c.x0 < f.x1 AND f.x0 < c.x1) SELECT page, caption, arg_min(figure, (gap, figure)) AS figure FROM g WHERE gap BETWEEN -4 AND 40 GROUP BY page, caption")
 def j12_nearest_caption(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry.nearest_caption(_rects(spark, sf, "A"), _rects(spark, sf, "R"))
+    return geometry.nearest_caption(_rects(spark, sf, _ONE), _rects(spark, sf, _OTHER))
 
 
 @query(f"WITH a AS ({_R_ALL}) SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x0 >= 500 * 0.45 THEN 1 ELSE 0 END, y0, id) AS place FROM a")

@@ -251,9 +251,12 @@ def t13_plaintext(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc", T.strip_markdown(F.col("markdown")).alias("plain"))
 
 
-@query("SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(section, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda t: t <> ''), lambda t: '\"' || replace(t, '\"', '\"\"') || '\"'), ' ') AS escaped FROM chunks WHERE section IS NOT NULL AND trim(section) <> ''")
+@query(
+    "WITH t AS (SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(section, ''), '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda t: t <> ''), lambda t: '\"' || replace(t, '\"', '\"\"') || '\"'), ' ') AS e FROM chunks) "
+    "SELECT id, CASE WHEN e = '' THEN '\"\"' ELSE e END AS escaped FROM t"
+)
 def t12_fts_escape(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").where("section is not null and trim(section) <> ''").select("id", T.fts_query(F.col("section")).alias("escaped"))
+    return table(spark, sf, "chunks").select("id", T.fts_query(F.coalesce("section", F.lit(""))).alias("escaped"))
 
 
 @query("SELECT id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: '> ' || x), chr(10)) AS quoted FROM chunks")

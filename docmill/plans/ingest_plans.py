@@ -149,10 +149,10 @@ def s15_creators(spark: SparkSession, sf: str) -> DataFrame:
     return z.select(files.creator_name(c).alias("creator")).groupBy("creator").agg(F.count("*").alias("items"))
 
 
-@query("SELECT sum(least(a.n, b.n)) AS shared FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) b ON a.k = b.k")
+@query("SELECT sum(least(a.n, b.n)) AS shared FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1) b ON a.k = b.k")
 def u01_multiset(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return li.where("l_returnflag = 'A'").select("l_partkey").intersectAll(li.where("l_returnflag = 'N'").select("l_partkey")).agg(F.count("*").alias("shared"))
+    return li.where("l_returnflag = 'A'").select("l_partkey").intersectAll(li.where("l_returnflag <> 'A'").select("l_partkey")).agg(F.count("*").alias("shared"))
 
 
 @query("SELECT stem, source, 'skipped' AS status FROM manifest WHERE output_path IS NOT NULL UNION ALL SELECT stem, source, 'processed' FROM manifest WHERE output_path IS NULL")
