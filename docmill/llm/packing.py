@@ -134,6 +134,8 @@ def fillings(count: dict[int, int], distinct: list[int], room: int, allowed: int
 
     for waste in range(min(allowed, room) + 1):
         for chosen in exact(room - waste, len(distinct)):
+            if chosen:
+                budget.left -= len(set(chosen)) ** 2 // 16  # what the comparisons below cost
             for s in chosen:
                 count[s] -= 1
             bad = dominated(chosen, waste, count, distinct)
