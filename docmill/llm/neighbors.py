@@ -15,6 +15,7 @@ since with ties broken by id nobody takes another of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,6 +248,13 @@ def _search(dim: int, k: int, least: float):
 _NEAR = pa.schema([("id", pa.int64()), ("neighbor", pa.int64()), ("similarity", pa.float64())])
 
 
+def effort(rows: int) -> tuple[int, int]:
+    """(trees, probes) for so many vectors: 2 and 16 up to 200,000, then a tree more for every tenfold and probes by the
+    cube root, as the same search finds less the more leaves there are."""
+    more = max(1.0, rows / 200_000)
+    return 2 + round(math.log10(more)), math.ceil(16 * more ** (1 / 3))
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """``id``, ``v``: rows whose vector has dim elements, none null, NaN or infinite, and not only zeros."""
     v = F.col(vector_col).cast("array<float>")
@@ -254,7 +262,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int = 2, probes: int = 16, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k: int = 5, least: float = -1.0, dim: int = 64, trees: int | None = None, probes: int | None = None, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``id``, ``neighbor``, ``similarity``: of each row its k most similar other rows by cosine.
 
     Rows without a usable vector take none and are taken by none. Only similarities of at least
@@ -276,6 +284,8 @@ def nearest(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", k:
         return spark.createDataFrame([], "id long, neighbor long, similarity double")
     once = rows.dropDuplicates(["id"])
     one = once.join(firsts, "id", "left_semi") if copies else once
+    usual = effort(firsts_n)
+    trees, probes = trees or usual[0], probes or usual[1]
     share = min(1.0, sample / firsts_n)
     some = one.where((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))) < share).select("v").limit(sample + sample // 8)
     got = unit(np.array([r[0] for r in some.toLocalIterator()], np.float64).reshape(-1, dim))

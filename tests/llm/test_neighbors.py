@@ -51,6 +51,11 @@ def test_large_leaves_are_dealt_into_parts(spark, monkeypatch):
     assert len(got & want) / len(want) > 0.97
 
 
+def test_effort_grows_with_the_vectors():
+    assert neighbors.effort(1) == neighbors.effort(200_000) == (2, 16)
+    assert neighbors.effort(2_000_000) == (3, 35) and neighbors.effort(200_000_000) == (5, 160)
+
+
 def test_every_branch_waits_in_the_queue():
     # a deep, lopsided tree: with as many probes as leaves every leaf comes up
     rng = np.random.default_rng(3)
