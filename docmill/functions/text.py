@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: what is used several times in an expression on arrays is not
+    shared by the engine."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def page_marker(page_no: Column) -> Column:
     return F.concat(F.lit(f"<!-- {PAGE_LABEL}: "), page_no.cast("string"), F.lit(" -->"))
 
@@ -110,18 +118,21 @@ def content_type(text: Column) -> Column:
 
     The lines are looked at once; the first kind whose test holds counts.
     """
+    def kind(lines: Column) -> Column:
+        entries = F.size(F.filter(lines, lambda x: x.rlike(r"^- \[[0-9]+\]|^[A-Z][a-z]+.*\([0-9]{4}\)")))
+        bars = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("|"))))
+        first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+        tests = {
+            "frontmatter": ((first == "---") & (F.size(lines) > 1)) | F.startswith(first, F.lit("> **Classification:")),
+            "references": entries >= 2,
+            "abstract": F.exists(lines, lambda x: x.rlike(r"(?i)^#+ Abstract")),
+            "table": 2 * bars > F.size(lines),
+        }
+        return F.coalesce(*(F.when(holds, name) for name, holds in tests.items()), F.lit("prose"))
+
+    figure = F.contains(text, F.lit("**Figure description:**")) | text.rlike(r"!\[[^\]]*\]\([^)]+\)")
     lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: x != "")
-    entries = F.size(F.filter(lines, lambda x: x.rlike(r"^- \[[0-9]+\]|^[A-Z][a-z]+.*\([0-9]{4}\)")))
-    bars = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("|"))))
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    tests = {
-        "figure": F.contains(text, F.lit("**Figure description:**")) | text.rlike(r"!\[[^\]]*\]\([^)]+\)"),
-        "frontmatter": ((first == "---") & (F.size(lines) > 1)) | F.startswith(first, F.lit("> **Classification:")),
-        "references": entries >= 2,
-        "abstract": F.exists(lines, lambda x: x.rlike(r"(?i)^#+ Abstract")),
-        "table": 2 * bars > F.size(lines),
-    }
-    return F.coalesce(*(F.when(holds, kind) for kind, holds in tests.items()), F.lit("prose"))
+    return F.when(figure, "figure").when(text.isNull(), "prose").otherwise(let(lines, kind))
 
 
 def usable_text_layer(text: Column, least: int = 200, most: int = 12_000) -> Column:
