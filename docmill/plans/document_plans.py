@@ -279,16 +279,17 @@ def t22_elapsed(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", T.elapsed(F.lit("2020-01-01").cast("timestamp"), F.col("ts").cast("timestamp")).alias("elapsed"))
 
 
-@query(
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM w),
-e AS (SELECT a.doc_id, p, a.pos FROM t a CROSS JOIN range(1, 41) r(p) JOIN t b ON b.doc_id = a.doc_id AND b.pos = a.pos + p AND b.tok = a.tok),
-g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, p ORDER BY pos) AS g FROM e),
-i AS (SELECT doc_id, p, min(pos) AS s FROM g GROUP BY doc_id, p, g HAVING count(*) + p >= greatest(40, 8 * p)),
-u AS (SELECT i.doc_id FROM i JOIN t ON t.doc_id = i.doc_id AND t.pos >= i.s AND t.pos < i.s + i.p GROUP BY i.doc_id, i.p, i.s HAVING bool_or(regexp_matches(tok, '[A-Za-z]')) AND NOT bool_or(tok = '|')),
-h AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t WHERE regexp_full_match(tok, '[A-Za-z]{1,2}')),
-soup AS (SELECT doc_id FROM h GROUP BY doc_id, g HAVING count(*) >= 30)
-SELECT doc_id AS doc, doc_id IN (SELECT doc_id FROM u UNION ALL SELECT doc_id FROM soup) AS has_loop FROM documents"""
-)
+#: Loops and soup of texts b (k, text), from the description: every period, every island, its unit.
+LOOPS = r"""w AS (SELECT k, regexp_extract_all(text, '\S+') AS w FROM b), t AS (SELECT k, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM w),
+e AS (SELECT x.k, p, x.pos FROM t x CROSS JOIN range(1, 41) r(p) JOIN t y ON y.k = x.k AND y.pos = x.pos + p AND y.tok = x.tok),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY k, p ORDER BY pos) AS g FROM e),
+i AS (SELECT k, p, min(pos) AS s FROM g GROUP BY k, p, g HAVING count(*) + p >= greatest(40, 8 * p)),
+u AS (SELECT i.k FROM i JOIN t ON t.k = i.k AND t.pos >= i.s AND t.pos < i.s + i.p GROUP BY i.k, i.p, i.s HAVING bool_or(regexp_matches(tok, '[A-Za-z]')) AND NOT bool_or(tok = '|')),
+h AS (SELECT k, pos - row_number() OVER (PARTITION BY k ORDER BY pos) AS g FROM t WHERE regexp_full_match(tok, '[A-Za-z]{1,2}')),
+loops AS (SELECT k FROM u UNION SELECT k FROM h GROUP BY k, g HAVING count(*) >= 30)"""
+
+
+@query(f"WITH b AS (SELECT doc_id AS k, text FROM documents), {LOOPS} SELECT k AS doc, k IN (SELECT k FROM loops) AS has_loop FROM b")
 def t01_find_loops(spark: SparkSession, sf: str) -> DataFrame:
     return repair.find_loops(table(spark, sf, "documents"), "doc_id", "text")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import describe, evaluate, headings, ingest, lines, repair
+from docmill.plans.document_plans import LOOPS
 from docmill.plans.fixtures import DOCS_SQL, LINES_SQL, PAGES_SQL, docs
 from docmill.plans.registry import query
 from docmill.session import table
@@ -45,7 +46,7 @@ def e10_repeated_pages(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.repeated_pages(p).groupBy("doc").agg(F.count("*").alias("repeated"))
 
 
-@query()
+@query(f"WITH {PAGES_SQL}, b AS (SELECT doc * 1000 + page_no AS k, markdown AS text FROM pages), {LOOPS} SELECT k // 1000 AS doc, k % 1000 AS page_no, k IN (SELECT k FROM loops) AS has_loop FROM b")
 def e10_loop_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = lines.pages(table(spark, sf, "ocr_results"), "ocr_id", "page_markdowns").select(F.struct("doc", "page_no").alias("page"), "markdown")
     return repair.find_loops(p, "page", "markdown").select("doc.*", "has_loop")
