@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import charts, figures, geometry
@@ -205,15 +205,21 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     line of text for every item."""
     li = table(spark, sf, "lineitem")
     x0, y0 = (F.col("l_partkey") % 400 + 50).cast("double"), (F.col("l_suppkey") * 7 + F.col("l_orderkey") * 13) % 600 + 60.0
-    box = [x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + F.col("l_quantity") * 3).alias("y1")]
-    image = F.col("l_returnflag") == "A"
-    text = F.concat(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Figure "), (F.col("l_partkey") % 9).cast("string"), F.lit(" "))).otherwise("label "), F.col("l_returnflag"))
-    rows = li.select(
-        (F.col("l_orderkey") % 7).cast("string").alias("doc"), F.floor(F.col("l_orderkey") / 64).cast("int").alias("page_no"), F.when(image, F.struct(*box)).alias("image"), F.when(~image, F.struct(*box, (F.col("l_linenumber") % 3 > 0).alias("shown"))).alias("path"),
-        F.when(~image, F.struct(*box)).alias("cluster"), F.struct(x0.alias("x0"), (y0 - 12).alias("y0"), (x0 + 60).alias("x1"), (y0 - 2).alias("y1"), text.alias("text"), F.lit(0).alias("mono"), F.col("l_linenumber").alias("block")).alias("line"),
-    )
-    lists = [F.array_sort(F.collect_list(c)).alias(n) for c, n in (("image", "images"), ("path", "paths"), ("cluster", "clusters"))]
-    x = rows.groupBy("doc", "page_no").agg(*lists, F.array_sort(F.collect_list("line")).alias("lines"))
+    # a page's items are dealt and gathered once, as they are; its lists are made from them
+    item = F.struct(x0.alias("x"), y0.alias("y"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 9).cast("byte").alias("k"), F.col("l_returnflag").alias("flag"))
+    rows = li.select((F.col("l_orderkey") % 7).cast("string").alias("doc"), F.floor(F.col("l_orderkey") / 64).cast("int").alias("page_no"), item.alias("i")).repartition("doc", "page_no")
+
+    def box(i: Column) -> list[Column]:
+        return [i["x"].alias("x0"), i["y"].alias("y0"), (i["x"] + i["q"] * 4).alias("x1"), (i["y"] + i["q"] * 3).alias("y1")]
+
+    def line(i: Column) -> Column:
+        text = F.concat(F.when(i["n"] == 1, F.concat(F.lit("Figure "), i["k"].cast("string"), F.lit(" "))).otherwise("label "), i["flag"])
+        return F.struct(i["x"].alias("x0"), (i["y"] - 12).alias("y0"), (i["x"] + 60).alias("x1"), (i["y"] - 2).alias("y1"), text.alias("text"), F.lit(0).alias("mono"), i["n"].alias("block"))
+
+    x = rows.groupBy("doc", "page_no").agg(F.collect_list("i").alias("items")).select(
+        "doc", "page_no", F.sort_array(F.transform(F.filter("items", lambda i: i["flag"] == "A"), lambda i: F.struct(*box(i)))).alias("images"),
+        F.sort_array(F.transform(F.filter("items", lambda i: i["flag"] != "A"), lambda i: F.struct(*box(i), (i["n"] % 3 > 0).alias("shown")))).alias("paths"), F.sort_array(F.transform("items", line)).alias("lines"),
+    ).withColumn("clusters", F.transform("paths", lambda i: F.struct(*[i[c].alias(c) for c in ("x0", "y0", "x1", "y1")])))
     none = F.array()
     return x.select("doc", "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), "images", "paths", "clusters", none.cast(f"array<{figures.RECT}>").alias("tables"), "lines", none.cast("array<struct<x0:double,y0:double,x1:double,y1:double,chars:int>>").alias("hidden"), F.lit(100).alias("chars"))
 
